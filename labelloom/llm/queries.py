@@ -7,9 +7,13 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from labelloom.llm.common import shared_dir
+from labelloom.llm.common import held_out, shared_dir
+from labelloom.llm.importance import resample_by_importance
+from labelloom.llm.language_id import identify_languages
+from labelloom.llm.quality_rules import judge_quality
 from labelloom.llm.token_counts import count_tokens
 from labelloom.llm.token_files import read_token_files, write_token_files
+from labelloom.llm.toxicity import score_toxicity
 from labelloom.shipping import ship_package
 
 
@@ -18,6 +22,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample_by_importance(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), train=~held_out())
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -28,5 +41,15 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op4_token_counts, op5_token_files)}
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = identify_languages(_table(spark, sf_dir, "documents"), train=~held_out())
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
+
+
+QUERIES = {f.__name__: f for f in (op2_importance, op3_toxicity, op4_token_counts, op5_token_files, op7_language_id, op8_quality_rules)}
 ORACLE: dict[str, str] = {}
