@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from labelloom.llm.common import held_out, shared_dir
 from labelloom.llm.importance import resample_by_importance
 from labelloom.llm.language_id import identify_languages
+from labelloom.llm.mixing import mix_sources
 from labelloom.llm.quality_rules import judge_quality
 from labelloom.llm.token_counts import count_tokens
 from labelloom.llm.token_files import read_token_files, write_token_files
 from labelloom.llm.toxicity import score_toxicity
+from labelloom.llm.url_filter import Rule, filter_urls
 from labelloom.shipping import ship_package
 
 
@@ -22,6 +24,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed, _ = mix_sources(_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
 def op2_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample_by_importance(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -41,6 +48,19 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, path)
 
 
+URL_RULES = [
+    Rule("block", "net", "/"),
+    Rule("allow", "example.net", "/en/"),
+    Rule("block", "example.com", "/de/"),
+    Rule("allow", "org", "/fr/"),
+]
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = filter_urls(_table(spark, sf_dir, "pages"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "template", "purity")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = identify_languages(_table(spark, sf_dir, "documents"), train=~held_out())
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
@@ -51,5 +71,5 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
 
 
-QUERIES = {f.__name__: f for f in (op2_importance, op3_toxicity, op4_token_counts, op5_token_files, op7_language_id, op8_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_importance, op3_toxicity, op4_token_counts, op5_token_files, op6_url_filter, op7_language_id, op8_quality_rules)}
 ORACLE: dict[str, str] = {}
