@@ -18,6 +18,7 @@ each time. A null id sorts first. An empty table gives an empty folder.
 from __future__ import annotations
 
 import json
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -103,16 +104,44 @@ def unpack(payload: bytes) -> np.ndarray:
     return (d + low[:, None]).reshape(-1)[:n]
 
 
+def _byte_letters() -> list[str]:
+    """By byte: the letter that stands for it in byte-level vocabularies.
+
+    Printable characters stand for themselves, the others for those from 256 on.
+    """
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = iter(range(256, 512))
+    return [chr(b if b in shown else next(hidden)) for b in range(256)]
+
+
 class _WordIds(dict):
-    """Ids of a word as bytes; the library encodes each word once."""
+    """Ids of a word as bytes; the library encodes each part of a word once.
+
+    A letter or digit followed by marks is a boundary to the pre-tokeniser, so
+    marks at the end are looked up apart. Marks that special tokens end in stay.
+    """
 
-    def __init__(self, tokenizer, kind: str):
+    def __init__(self, tokenizer, kind: str, plain: bool):
         super().__init__()
-        self.tokenizer, self.kind = tokenizer, kind
+        self.tokenizer, self.kind, self.plain, self.parts = tokenizer, kind, plain, {}
+        self.model, self.letters = tokenizer.model, _byte_letters()
+
+    def part(self, part: bytes) -> bytes:
+        found = self.parts.get(part)
+        if found is None:
+            text = part.decode()
+            if self.plain and text.isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text):
+                # lower-case letters alone are one piece as they stand: straight to the merges
+                ids = [t.id for t in self.model.tokenize("".join(map(self.letters.__getitem__, part)))]
+            else:
+                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            self.parts[part] = found = np.array(ids, self.kind).tobytes()
+        return found
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
-        self[word] = out = np.array(ids, self.kind).tobytes()
+        core = word.rstrip(b".,!?*&%$#")
+        cut = len(core) < len(word) and core[-1:].isalnum()
+        self[word] = out = self.part(core) + self.part(word[len(core) :]) if cut else self.part(word)
         return out
 
 
@@ -134,15 +163,22 @@ class Encoder:
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 65_536 else "<u4"
         pres = (config.get("pre_tokenizer") or {}).get("pretokenizers", [])
         split = next((p for p in pres if p.get("type") == "Split"), None)
-        dropped = bool(split) and split.get("behavior") == "Removed" and split.get("invert") and r"[^\s\p{L}\p{N}]+" in str(split.get("pattern"))
+        dropped = bool(split) and split.get("behavior") == "Removed" and split.get("invert") and r"[^\s\p{L}\p{N}]+" in split.get("pattern", {}).get("Regex", "")
+        self.lowers = "Lowercase" in json.dumps(config.get("normalizer")) and all(t["content"].startswith("<|") for t in config.get("added_tokens", []))
+        rules = [n.get("type") for n in (config.get("normalizer") or {}).get("normalizers", [])]
+        plain = rules == ["NFC", "Replace", "Lowercase"] and any(p.get("type") == "ByteLevel" for p in pres)
         spaced = any(" " in t["content"] or t.get("lstrip") or t.get("rstrip") for t in config.get("added_tokens", []))
-        self.words = _WordIds(self.tokenizer, self.kind) if dropped and not spaced else None
+        self.words = _WordIds(self.tokenizer, self.kind, plain) if dropped and not spaced else None
 
     def __call__(self, text: bytes) -> np.ndarray:
         if self.words is None:
             return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, np.uint32)
         if len(self.words) > CACHED_WORDS:
             self.words.clear()
+        if len(self.words.parts) > CACHED_WORDS:
+            self.words.parts.clear()
+        if self.lowers and b"<|" not in text:  # special tokens keep their case
+            text = text.lower()
         return np.frombuffer(b"".join(map(self.words.__getitem__, text.split())), self.kind).astype(np.uint32)
 
 
