@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from labelloom.llm.common import held_out, shared_dir
-from labelloom.llm import decontaminate
+from labelloom.llm import decontaminate, near_duplicates
 from labelloom.llm.decontaminate import mark_contaminated
 from labelloom.llm.importance import resample_by_importance
 from labelloom.llm.language_id import identify_languages
@@ -73,10 +73,14 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(_table(spark, sf_dir, "documents"), width=2)
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = mark_contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return marked.drop("text_hash")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_importance, op3_toxicity, op4_token_counts, op5_token_files, op6_url_filter, op7_language_id, op8_quality_rules, op10_decontamination)}
-ORACLE: dict[str, str] = {"op10_decontamination": decontaminate.oracle()}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_importance, op3_toxicity, op4_token_counts, op5_token_files, op6_url_filter, op7_language_id, op8_quality_rules, op9_near_duplicates, op10_decontamination)}
+ORACLE: dict[str, str] = {"op10_decontamination": decontaminate.oracle(), "op9_near_duplicates": near_duplicates.oracle()}
