@@ -25,6 +25,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -157,28 +158,49 @@ def kth_largest(df: DataFrame, key: str, k: int) -> float:
     return b / 8
 
 
-def resample_by_importance(
+@dataclass(frozen=True)
+class Resampling:
+    """A fitted draw: a row is kept if its key reaches the cut."""
+
+    ratio: np.ndarray
+    span: int
+    seed: int
+    cut: float
+
+    def log_importance(self, text: Column) -> Column:
+        return importance(text, self.ratio, self.span)
+
+    def key(self, id_: Column, text: Column) -> Column:
+        return self.log_importance(text) + gumbel(F.lit(self.seed), id_, F.xxhash64(text))
+
+    def kept(self, id_: Column, text: Column) -> Column:
+        return self.key(id_, text) >= self.cut
+
+
+def fit_resampling(
     docs: DataFrame, labels: DataFrame, span: int = 50, labelled: int = 20_000, cost: float = 10.0,
     id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", seed: int = 2,
-) -> DataFrame:
-    """(id, text hash, log importance, key, kept) of every row.
+) -> tuple[Resampling, DataFrame]:
+    """The draw, and (doc_id, text_hash, log_importance, key) of every row.
 
     `labelled` labelled rows at most make the target model and set the cut.
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    marked = labelled_sample(labels, label_col, labelled)
+    marked = stage(labelled_sample(labels.withColumnRenamed(id_col, "doc_id"), label_col, labelled), "labelled")
     seen = texts.join(F.broadcast(marked), "doc_id")
-    target, raw = bucket_counts(seen.where("label = 1")), bucket_counts(texts)
-    ratio = log_ratio(target, raw)
-    scored = stage(
-        texts.select("doc_id", F.xxhash64("text").alias("text_hash"), importance(F.col("text"), ratio, span).alias("log_importance")).withColumn(
-            "key", F.col("log_importance") + gumbel(F.lit(seed), F.col("doc_id"), F.col("text_hash"))
-        ),
-        "importance",
-    )
+    ratio = log_ratio(bucket_counts(seen.where("label = 1")), bucket_counts(texts))
+    draw = Resampling(ratio, span, seed, -math.inf)
+    scored = texts.select("doc_id", F.xxhash64("text").alias("text_hash"), draw.log_importance(F.col("text")).alias("log_importance"))
+    scored = stage(scored.withColumn("key", F.col("log_importance") + gumbel(F.lit(seed), F.col("doc_id"), F.col("text_hash"))), "importance")
     known = scored.join(F.broadcast(marked), "doc_id").select("label", "log_importance").toPandas()
     cut = calibrated(-known["log_importance"].to_numpy(float), known["label"].to_numpy() == 0, cost) if len(known) else None
     if cut is None:
-        return scored.withColumn("kept", F.lit(True)).withColumnRenamed("doc_id", id_col)
+        return draw, scored
     k = scored.where(F.col("log_importance") > -cut).count()
-    return scored.withColumn("kept", F.col("key") >= kth_largest(scored, "key", k)).withColumnRenamed("doc_id", id_col)
+    return replace(draw, cut=kth_largest(scored, "key", k)), scored
+
+
+def resample_by_importance(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **parameters) -> DataFrame:
+    """(id, text_hash, log_importance, key, kept) of every row."""
+    draw, scored = fit_resampling(docs, labels, id_col=id_col, **parameters)
+    return scored.withColumn("kept", F.col("key") >= draw.cut).withColumnRenamed("doc_id", id_col)

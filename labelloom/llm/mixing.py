@@ -217,4 +217,28 @@ def mix_sources(
     words_of = spread.where("size > 0").join(got, ["source_no", "start"], "left").select(*spread.columns, F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     mixed = words_of.unionByName(spread.where("size = 0").withColumn("taken", F.lit(0).cast("long")))
     names = [F.col("doc_id").alias(id_col), "text_hash", F.col("source").alias(source_col), "size", "source_size", "target", "taken"]
-    return mixed.select(*names), pieces.drop("start").withColumnRenamed("doc_id", id_col)
+    return mixed.select(*names), pieces.withColumnRenamed("doc_id", id_col)
+
+
+def mixed_documents(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """The mix as documents, with the columns of `docs`: one row a document and pass.
+
+    A document that a pass takes whole stays as it is; of others the words taken
+    remain, with a space between. The number of characters, if there is such a
+    column, follows the text.
+    """
+    parts = pieces.groupBy(id_col, "text_hash", "source_no", "start", "pass").agg(
+        F.sum(F.col("to_word") - F.col("from_word")).alias("_taken"),
+        F.array_sort(F.collect_list(F.struct("from_word", "to_word"))).alias("_spans"),
+    )
+    p = parts.select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash"), "_taken", "_spans").alias("p")
+    texts = docs.withColumn("_own", F.xxhash64(text_col)).dropDuplicates([id_col, "_own"])
+    joined = texts.join(p, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")))
+    words = F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD})"), F.lit(1))
+    cut = joined.where(F.col("_taken") < word_count(F.col(text_col))).withColumn("_words", words)
+    span = F.transform("_spans", lambda s: F.slice("_words", (s["from_word"] + 1).cast("int"), (s["to_word"] - s["from_word"]).cast("int")))
+    cut = cut.withColumn(text_col, F.array_join(F.flatten(span), " ")).drop("_words")
+    both = joined.where(F.col("_taken") >= word_count(F.col(text_col))).unionByName(cut)
+    if chars_col in docs.columns:
+        both = both.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType))
+    return both.select(*docs.columns)
