@@ -2,5 +2,604 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from labelloom.functions import geometry as G
+from labelloom.functions import similarity as S
+from labelloom.functions import text as T
+from labelloom.functions import vocabulary as V
+from labelloom.operators import compliance, fusion, lines, reports
+from labelloom.operators import fields as X
+from labelloom.operators.candidates import first_fit, group_scores, top_group
+from labelloom.operators.rules import EFFECTIVE, RULES
+from labelloom.operators.rules import rules as rules_table
+from labelloom.plans import fixtures as D
+from labelloom.plans.package_analysis import analyse, ordered_lines
+from labelloom.sources import images, store
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return register
+
+
+# ---- SQL fragments -------------------------------------------------------------------------------------------------
+
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def ws(x: str) -> str:
+    return rf"trim(regexp_replace(coalesce({x}, ''), '\s+', ' ', 'g'))"
+
+
+def form(x: str) -> str:
+    low = reduce(lambda y, r: f"replace({y}, {_q(r[0])}, {_q(r[1])})", V.MATCH_REPLACEMENTS, f"lower({ws(x)})")
+    return rf"trim(regexp_replace(regexp_replace({low}, '[;|]+', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+def edge(x: str) -> str:
+    y = f"regexp_replace({ws(x)}, '^[^A-Za-z0-9₹+]+', '')"
+    return f"trim(regexp_replace({y}, '[^A-Za-z0-9₹@+.,:/()&'' -]+$', ''), ' :-;,.|')"
+
+
+def fform(x: str) -> str:
+    low = reduce(lambda y, r: f"replace({y}, {_q(r[0])}, {_q(r[1])})", V.FUSION_REPLACEMENTS, f"lower(trim(coalesce({x}, '')))")
+    return rf"trim(regexp_replace({low}, '\s+', ' ', 'g'))"
+
+
+def words(x: str) -> str:
+    return f"(CASE WHEN {ws(x)} = '' THEN 0 ELSE len(string_split({ws(x)}, ' ')) END)"
+
+
+def has(x: str, pattern: str) -> str:
+    return f"regexp_matches({x}, {_q(pattern)})"
+
+
+# ---- text ----------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {D.DOC_LINES} SELECT package_id, \"index\", {ws('text')} AS clean, {edge('text')} AS token FROM doc_lines")
+def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    return D.doc_lines(spark, sf_dir).select("package_id", "index", T.clean(t).alias("clean"), T.clean_token(t).alias("token"))
+
+
+@query(f"WITH {D.DOC_LINES} SELECT package_id, \"index\", {form('text')} AS form, regexp_replace({form('text')}, '[^a-z0-9]', '', 'g') AS letters FROM doc_lines")
+def normal_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    return D.doc_lines(spark, sf_dir).select("package_id", "index", T.match_form(t).alias("form"), T.alnum_form(t).alias("letters"))
+
+
+@query(
+    f"WITH {D.LABEL_LINES}, t AS (SELECT package_id, \"index\", list_distinct(regexp_extract_all({form('text')}, '[a-z0-9]+')) AS w FROM label_lines) "
+    'SELECT a.package_id, a."index" AS i, b."index" AS j, round(len(list_intersect(a.w, b.w)) / greatest(len(a.w), len(b.w)), 4) AS overlap FROM t a JOIN t b ON a.package_id = b.package_id AND a."index" < b."index"'
+)
+def token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = (D.label_lines(spark, sf_dir).select("package_id", F.col("index").alias(n), F.col("text").alias(f"t{n}")) for n in "ij")
+    return a.join(b, "package_id").where("i < j").select("package_id", "i", "j", F.round(T.token_overlap(F.col("ti"), F.col("tj")), 4).alias("overlap"))
+
+
+@query(
+    f"WITH {D.DOC_LINES} SELECT package_id, \"index\", round(least(1, greatest(0, confidence) * CASE WHEN length({ws('text')}) <= 2 AND {has(ws('text'), chr(92) + 'pL' + '+')} AND NOT {has(ws('text'), '[^' + chr(92) + 'pL]')} THEN 0.85 ELSE 1 END "
+    f"* CASE WHEN {has(ws('text'), '[0-9]')} THEN 1.02 ELSE 1 END * CASE WHEN source = 'original' THEN 1.03 ELSE 1 END), 4) AS adjusted FROM doc_lines"
+)
+def adjusted_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = T.adjusted_confidence(F.col("confidence"), F.col("text"), F.col("source"))
+    return D.doc_lines(spark, sf_dir).select("package_id", "index", F.round(c, 4).alias("adjusted"))
+
+
+@query(rf"WITH {D.DOC_LINES} SELECT package_id, " + f"\"index\", text FROM doc_lines WHERE confidence >= 0.15 AND {has(ws('text'), '[' + chr(92) + 'pL' + chr(92) + 'pN]')} AND length({ws('text')}) <= 180")
+def useful_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.useful_readings(D.doc_lines(spark, sf_dir)).select("package_id", "index", "text")
+
+
+@query(f"WITH {D.DOC_LINES} SELECT package_id, \"index\", {fform('text')} AS form, regexp_replace({fform('text')}, '[^\\pL\\pN]', '', 'g') AS compact, {has('text', '[0-9]')} AS has_digit FROM doc_lines")
+def fusion_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    return D.doc_lines(spark, sf_dir).select("package_id", "index", T.fusion_form(t).alias("form"), T.fusion_compact(t).alias("compact"), t.rlike("[0-9]").alias("has_digit"))
+
+
+def _label_case(labels: list[str]) -> str:
+    return "CASE " + " ".join(f"WHEN contains(f, {_q(x)}) THEN {_q(x)}" for x in labels) + " END"
+
+
+@query(
+    f"WITH {D.LABEL_LINES}, t AS (SELECT package_id, \"index\", {form('text')} AS f FROM label_lines) "
+    + "SELECT * FROM ("
+    + " UNION ALL ".join(f"SELECT package_id, \"index\", '{k}' AS kind, {_label_case(v)} AS label FROM t" for k, v in V.LABELS.items())
+    + ") WHERE label IS NOT NULL"
+)
+def label_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = D.label_lines(spark, sf_dir).withColumn("f", T.match_form(F.col("text")))
+    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), T.exact_label(F.col("f"), v).alias("label")) for k, v in V.LABELS.items()))
+    return t.select("package_id", "index", F.inline(kinds)).where("label is not null")
+
+
+@query(
+    f"WITH {D.LABEL_LINES} SELECT package_id, \"index\", {ws('regexp_replace(text, ' + _q('(?i)manufactured by' + chr(92) + 's*[:;' + chr(92) + '-.]*' + chr(92) + 's*') + ', ' + _q('') + ')')} AS rest FROM label_lines WHERE contains(lower(text), 'manufactured by')"
+)
+def label_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = D.label_lines(spark, sf_dir).select("package_id", "index", T.without_exact_label(F.col("text"), V.LABELS["manufacturer"]).alias("rest"))
+    return t.where("rest is not null")
+
+
+@query()
+def fuzzy_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels with a letter lost are still found."""
+    damaged = D.label_lines(spark, sf_dir).select("package_id", "index", F.regexp_replace("text", "a", "").alias("text")).withColumn("f", T.match_form(F.col("text")))
+    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), S.label_in(F.col("f"), v).alias("label")) for k, v in V.LABELS.items()))
+    return damaged.select("package_id", "index", F.inline(kinds)).where("label is not null")
+
+
+@query()
+def similarity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = (D.label_lines(spark, sf_dir).select("package_id", F.col("index").alias(n), F.col("text").alias(f"t{n}")) for n in "ij")
+    p = a.join(b, "package_id").where("i < j")
+    x, y = F.col("ti"), F.col("tj")
+    return p.select("package_id", "i", "j", S.similarity(x, y).alias("ratio"), S.reading_similarity(x, y).alias("reading"), S.fusion_similarity(x, y).alias("fusion"))
+
+
+# ---- geometry ------------------------------------------------------------------------------------------------------
+
+
+@query(
+    f'WITH {D.DOC_LINES} SELECT package_id, "index", round((x0 + x1) / 2, 4) AS cx, round((y0 + y1) / 2, 4) AS cy, x1 - x0 AS w, y1 - y0 AS h, x0 AS "left", x1 AS "right", y0 AS top, y1 AS bottom, '
+    "greatest(1.0, x1 - x0)::DOUBLE AS ew, greatest(1.0, y1 - y0)::DOUBLE AS eh, x0 / 2 AS sx, y1 / 4 AS sy FROM doc_lines"
+)
+def box_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = F.col("box")
+    c, d, e, s = G.centre(b), G.dimensions(b), G.extent(b), G.scaled(b, F.lit(2.0), F.lit(4.0))
+    return D.doc_lines(spark, sf_dir).select(
+        "package_id", "index", F.round(c["x"], 4).alias("cx"), F.round(c["y"], 4).alias("cy"), d["w"].alias("w"), d["h"].alias("h"), e["left"].alias("left"), e["right"].alias("right"),
+        e["top"].alias("top"), e["bottom"].alias("bottom"), e["w"].alias("ew"), e["h"].alias("eh"), s[0][0].alias("sx"), s[2][1].alias("sy"),
+    )
+
+
+_PAIRS = 'FROM doc_lines a JOIN doc_lines b ON a.package_id = b.package_id AND b."index" - a."index" BETWEEN 1 AND 3'
+
+
+@query(
+    f"""WITH {D.DOC_LINES}, p AS (SELECT a.package_id, a."index" AS i, b."index" AS j,
+  greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS c, (a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) AS s,
+  (a.x0 + a.x1 - b.x0 - b.x1) / 2 AS dx, (a.y0 + a.y1 - b.y0 - b.y1) / 2 AS dy, greatest(20, a.y1 - a.y0, b.y1 - b.y0) AS scale {_PAIRS})
+SELECT package_id, i, j, round(CASE WHEN s - c > 0 THEN c / (s - c) ELSE 0 END, 4) AS iou, round(sqrt(dx * dx + dy * dy), 4) AS distance, round(sqrt(dx * dx + dy * dy) / scale, 4) AS relative,
+  abs(dy) <= 55 AND abs(dx) <= 500 AS same_region FROM p"""
+)
+def box_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = D.doc_lines(spark, sf_dir)
+    a = t.select("package_id", F.col("index").alias("i"), F.col("box").alias("a"), F.explode(F.array(*(F.col("index") + n for n in (1, 2, 3)))).alias("j"))
+    p = a.join(t.select("package_id", F.col("index").alias("j"), F.col("box").alias("b")), ["package_id", "j"])
+    x, y = F.col("a"), F.col("b")
+    ex, ey = G.extent(x), G.extent(y)
+    return p.select(
+        "package_id", "i", "j", F.round(G.overlap(x, y), 4).alias("iou"), F.round(G.centre_distance(x, y), 4).alias("distance"),
+        F.round(G.relative_distance(ex, ey), 4).alias("relative"), G.same_region(ex, ey).alias("same_region"),
+    )
+
+
+# ---- lines ---------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {D.DOC_LINES} SELECT package_id, \"index\", CAST(row_number() OVER (PARTITION BY package_id ORDER BY \"index\") - 1 AS INT) AS pos, {ws('text')} AS text, {form('text')} AS form, confidence FROM doc_lines WHERE {ws('text')} <> ''")
+def prepared_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.prepare(D.doc_lines(spark, sf_dir)).select("package_id", "index", "pos", "text", "form", "confidence")
+
+
+@query(f'WITH {D.DOC_LINES} SELECT package_id, CAST(row_number() OVER (PARTITION BY package_id ORDER BY "index") AS INT) AS id, trim(text) AS text, confidence FROM doc_lines')
+def dense_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dense_lines(D.doc_lines(spark, sf_dir))
+
+
+@query(
+    f"WITH {D.LABEL_LINES}, n AS (SELECT package_id, row_number() OVER (PARTITION BY package_id ORDER BY \"index\") AS id, text, confidence FROM label_lines) "
+    "SELECT package_id, string_agg('[' || id || '] (' || printf('%.2f', confidence) || ') ' || text, chr(10) ORDER BY id) AS prompt FROM n GROUP BY package_id"
+)
+def prompt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.prompt_lines(lines.dense_lines(D.label_lines(spark, sf_dir)))
+
+
+@query(
+    f"""WITH {D.DOC_LINES}, m AS (SELECT *, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy, median(y1 - y0) OVER (PARTITION BY package_id) AS med FROM doc_lines),
+r AS (SELECT *, CAST(round_even(cy / greatest(12.0, med * 0.65), 0) AS BIGINT) AS "row" FROM m)
+SELECT package_id, "index", "row", CAST(row_number() OVER (PARTITION BY package_id ORDER BY "row", cy, cx, "index") AS INT) AS reading_no FROM r"""
+)
+def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.reading_order(D.doc_lines(spark, sf_dir)).select("package_id", "index", "row", "reading_no")
+
+
+@query(
+    f"""WITH {D.DOC_LINES}, t AS (SELECT package_id, row_number() OVER (PARTITION BY package_id ORDER BY "index") - 1 AS p, (x0 + x1) / 2 AS x, (y0 + y1) / 2 AS y FROM doc_lines),
+d AS (SELECT a.package_id, a.p AS i, b.p AS j, abs(b.y - a.y) + 0.35 * abs(b.x - a.x) AS distance FROM t a JOIN t b ON a.package_id = b.package_id AND a.p <> b.p AND abs(b.y - a.y) <= 180)
+SELECT package_id, CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(distance, 4) AS distance, CAST(r AS INT) AS "rank" FROM (SELECT *, row_number() OVER (PARTITION BY package_id, i ORDER BY distance, j) AS r FROM d) WHERE r <= 5"""
+)
+def nearby_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.neighbours(lines.prepare(D.doc_lines(spark, sf_dir))).withColumn("distance", F.round("distance", 4))
+
+
+@query()
+def merged_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two passes over the printed lines, one of them a pixel off."""
+    one = D.label_lines(spark, sf_dir)
+    two = one.withColumn("source", F.lit("enhanced")).withColumn("confidence", F.col("confidence") * 0.9).withColumn("index", F.col("index") + 100)
+    two = two.withColumn("box", F.transform("box", lambda p: F.transform(p, lambda v: v + 1)))
+    return ordered_lines(one.unionByName(two))
+
+
+@query()
+def reading_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.reading_clusters(D.label_lines(spark, sf_dir))
+
+
+# ---- parsers -------------------------------------------------------------------------------------------------------
+
+
+@query(
+    f"WITH {D.LABEL_LINES}, t AS (SELECT package_id, \"index\", try_cast(replace(nullif(regexp_extract(text, '(?i)(?:₹|rs\\.?|inr)\\s*([0-9]{{1,7}}(?:[.,][0-9]{{1,2}})?)', 1), ''), ',', '.') AS DOUBLE) AS v FROM label_lines) "
+    "SELECT package_id, \"index\", v AS amount, '₹' || printf('%.2f', v) AS shown FROM t WHERE v > 0 AND v <= 1000000"
+)
+def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = T.parsed_money(T.found(F.col("text"), r"(?i)(?:₹|rs\.?|inr)\s*([0-9]{1,7}(?:[.,][0-9]{1,2})?)"))
+    return D.label_lines(spark, sf_dir).select("package_id", "index", v.alias("amount")).where("amount is not null").withColumn("shown", T.money_text(F.col("amount")))
+
+
+@query(
+    f"WITH {D.LABEL_LINES} SELECT package_id, \"index\", regexp_extract(text, '([0-9]+) kg', 1) || ' kg' AS quantity FROM label_lines WHERE \"index\" = 2 AND NOT starts_with(text, 'Net Qty: 0 ')"
+)
+def quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pattern = rf"(?i)\b([0-9]{{1,7}}(?:[.,][0-9]+)?)\s*{V.UNIT_PATTERN}\b"
+    q = T.normal_quantity(T.found(F.col("text"), pattern, 1), T.found(F.col("text"), pattern, 2))
+    return D.label_lines(spark, sf_dir).select("package_id", "index", q.alias("quantity")).where("quantity is not null")
+
+
+@query(f"WITH {D.LABEL_LINES} SELECT package_id, \"index\", regexp_extract(text, 'LOT[0-9]+') AS batch, true AS valid FROM label_lines WHERE \"index\" = 3")
+def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rest = T.found(F.col("text"), r"(?i)(?:batch|lot)\s*(?:no|number)?\s*[:;._\-]?\s*(.+)$")
+    t = D.label_lines(spark, sf_dir).where(F.col("text").startswith("Batch")).select("package_id", "index", T.batch_token(rest).alias("batch"))
+    return t.withColumn("valid", T.is_batch(F.col("batch")))
+
+
+@query(
+    f"WITH {D.LABEL_LINES} SELECT package_id, \"index\", regexp_extract(text, '[0-9]{{2}} [A-Z]{{3}} [0-9]{{4}}') AS date, regexp_extract(text, '[A-Z]{{3}}( [0-9]{{4}})$') IS NOT NULL AS has_date, "
+    "CAST(regexp_extract(text, '([0-9]{4})$', 1) AS INT) AS year FROM label_lines WHERE \"index\" IN (5, 11)"
+)
+def printed_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    told = D.label_lines(spark, sf_dir).select("package_id", "index", T.parsed_date(t).alias("date"), T.parsed_date(t).isNotNull().alias("has_date"), T.year_in(t).alias("year"))
+    return told.where("date is not null")
+
+
+@query(rf"WITH {D.LABEL_LINES} SELECT package_id, " + "\"index\", '+91-98' || regexp_extract(text, '98([0-9]{8})$', 1) AS phone FROM label_lines WHERE \"index\" = 7")
+def phones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = D.label_lines(spark, sf_dir).where(F.col("text").contains("Care"))
+    return t.select("package_id", "index", F.explode(T.phones_in(F.col("text"))).alias("phone"))
+
+
+@query(f"WITH {D.DOC_LINES} SELECT package_id, \"index\", unnest(regexp_extract_all({ws('text')}, '[A-Za-z0-9_.+-]+@[A-Za-z0-9_.-]+\\.[A-Za-z]{{2,}}')) AS mail FROM doc_lines")
+def emails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.doc_lines(spark, sf_dir).select("package_id", "index", F.explode(T.emails_in(F.col("text"))).alias("mail"))
+
+
+@query(f"WITH {D.DOC_LINES} SELECT package_id, \"index\", regexp_replace(text, '[^0-9]', '', 'g') AS licence FROM doc_lines WHERE length(regexp_replace(text, '[^0-9]', '', 'g')) = 14")
+def licence_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.doc_lines(spark, sf_dir).select("package_id", "index", T.licence_number(F.col("text")).alias("licence")).where("licence is not null")
+
+
+def _rlike(x: str, pattern: str) -> str:
+    return has(x, pattern)
+
+
+@query(
+    f"WITH {D.LABEL_LINES}, t AS (SELECT package_id, \"index\", text, {edge('text')} AS e, {form('text')} AS f, {form(edge('text'))} AS fe FROM label_lines) "
+    rf"""SELECT package_id, "index", e <> '' AND NOT {_rlike('fe', V.PRODUCT_BAD)} AND NOT contains(e, '@') AND NOT {_rlike('e', r'\b[0-9]{5,}\b')} AND {_rlike('e', '[A-Za-z]{2,}')} AND length(e) <= 70 AND NOT {_rlike('fe', V.PRODUCT_ADDRESS)} AS product,
+  length(text) BETWEEN 3 AND 160 AND NOT contains(text, '@') AND NOT {_rlike('f', V.COMPANY_BAD)} AND {_rlike('text', '[A-Za-z]{2,}')} AS company,
+  {_rlike('f', V.ADDRESS_HINT)} OR {_rlike('text', r'\b[0-9]{6}\b')} OR {_rlike('f', V.ADDRESS_PREFIX)} AS address, {_rlike('f', V.NEXT_DECLARATION)} AS declaration FROM t"""
+)
+def line_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    return D.label_lines(spark, sf_dir).select(
+        "package_id", "index", T.is_product(t).alias("product"), T.is_company(t).alias("company"), T.is_address(t).alias("address"), T.is_next_declaration(t).alias("declaration")
+    )
+
+
+# ---- candidates and fields -----------------------------------------------------------------------------------------
+
+
+@query(
+    f"WITH {D.TOLD} SELECT package_id, field, value FROM told WHERE value IS NOT NULL UNION ALL SELECT p_partkey, 'manufacturer_address', 'PLOT ' || s_suppkey || ', SECTOR 38, INDUSTRIAL AREA, DELHI 110' || lpad(CAST(s_suppkey % 1000 AS VARCHAR), 3, '0') FROM packages WHERE p_partkey % 3 = 1"
+)
+def extracted_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All fields, from lines; the SQL reads them off the tables that the lines were printed from."""
+    return X.extract_fields(lines.prepare(D.label_lines(spark, sf_dir)))
+
+
+@query(f"WITH {D.TOLD} SELECT package_id, value FROM told WHERE field = 'mrp' AND value IS NOT NULL")
+def mrp_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.exact_top(X.price_candidates(X.Lines.of(lines.prepare(D.label_lines(spark, sf_dir))))).select("package_id", "value")
+
+
+@query(f"WITH {D.TOLD} SELECT package_id, value FROM told WHERE field = 'consumer_care' AND value IS NOT NULL")
+def consumer_care_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.consumer_care(X.Lines.of(lines.prepare(D.label_lines(spark, sf_dir)))).select("package_id", "value").where("value like '+91-98%'")
+
+
+@query(f"WITH {D.TOLD} SELECT package_id, value FROM told WHERE field = 'veg_nonveg' AND value IS NOT NULL")
+def veg_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.veg_nonveg(X.Lines.of(lines.prepare(D.label_lines(spark, sf_dir)))).select("package_id", "value")
+
+
+@query(
+    f"WITH {D.LABEL_LINES} SELECT package_id, 'country_of_origin' AS field, 'India' AS value, 160 + confidence * 20 AS score, confidence FROM label_lines WHERE \"index\" = 6"
+)
+def country_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.country_candidates(X.Lines.of(lines.prepare(D.label_lines(spark, sf_dir)))).select("package_id", "field", "value", "score", "confidence")
+
+
+def _given_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as candidates, grouped by supplier."""
+    li = D.table(spark, sf_dir, "lineitem").join(D.table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    order = F.array(F.col("l_linenumber"), F.col("l_partkey").cast("int"))
+    told = li.select(
+        F.col("l_orderkey").alias("package_id"), F.lit("maker").alias("field"), order.alias("ord"), F.concat("s_name", F.lit(" "), F.col("l_partkey").cast("string")).alias("value"),
+        F.col("l_quantity").alias("score"), F.col("l_discount").alias("confidence"), F.col("l_returnflag").alias("source"), F.col("l_suppkey").cast("int").alias("group"),
+    )
+    from pyspark.sql import Window
+
+    return told.withColumn("clean", T.clean_token(F.col("value"))).withColumn("no", F.row_number().over(Window.partitionBy("package_id").orderBy("ord", "value", "score")))
+
+
+_GROUPS = """c AS (SELECT l_orderkey AS package_id, l_suppkey AS g, s_name || ' ' || l_partkey AS v, l_quantity AS score, l_discount AS confidence, l_returnflag AS source,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, s_name || ' ' || l_partkey, l_quantity) AS no FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
+q AS (SELECT *, len(string_split(v, ' ')) * 12 + least(length(v), 60) + length(regexp_replace(v, '[^A-Za-z]', '', 'g')) * 0.15 + length(regexp_replace(v, '[^0-9]', '', 'g')) * 0.05 AS quality FROM c),
+s AS (SELECT package_id, g, min(no) AS first_no, arg_max(v, [quality, -no]) AS best, sum(score + 25 * confidence) + 24 * (count(*) - 1) + CASE WHEN count(DISTINCT source) > 1 THEN 15 ELSE 0 END + 12 AS score FROM q GROUP BY package_id, g)"""
+
+
+@query(f"WITH {_GROUPS} SELECT package_id, CAST(g AS INT) AS \"group\", best, round(score, 4) AS score FROM s")
+def fused_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_scores(_given_groups(spark, sf_dir)).select("package_id", "group", "best", F.round("score", 4).alias("score"))
+
+
+@query(f"WITH {_GROUPS} SELECT package_id, best FROM (SELECT *, row_number() OVER (PARTITION BY package_id ORDER BY round(score, 6) DESC, first_no) AS r FROM s) WHERE r = 1")
+def best_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_group(group_scores(_given_groups(spark, sf_dir)).withColumn("score", F.round("score", 6))).select("package_id", "best")
+
+
+@query()
+def value_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return first_fit(X.clustered_candidates(X.Lines.of(lines.prepare(D.label_lines(spark, sf_dir))))).select("package_id", "field", "no", "group", "value")
+
+
+@query()
+def contact_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Companies that contact lines suggest, for documents with e-mail addresses."""
+    told = D.doc_lines(spark, sf_dir).where(F.col("text").contains("@"))
+    return X.contact_names(X.Lines(lines.prepare(told))).select("package_id", "hint")
+
+
+# ---- model answers and fusion --------------------------------------------------------------------------------------
+
+
+@query(
+    f"""WITH {D.LABEL_LINES}, n AS (SELECT package_id, row_number() OVER (PARTITION BY package_id ORDER BY "index") AS id FROM label_lines), m AS (SELECT package_id, max(id) AS last FROM n GROUP BY package_id),
+a AS (SELECT p_partkey AS k, CASE p_partkey % 5 WHEN 0 THEN 'detected' WHEN 1 THEN 'detected' WHEN 2 THEN 'missing' ELSE 'unclear' END AS st, CASE WHEN p_partkey % 7 <> 0 THEN p_name END AS v,
+  CASE p_partkey % 4 WHEN 0 THEN [1] WHEN 1 THEN [2, 1] ELSE [] END AS ids, least(1, greatest(0, p_partkey % 30 / 10.0 - 0.5)) AS confidence FROM packages),
+b AS (SELECT k, v, confidence, list_filter(ids, lambda x: x <= last) AS ids, CASE WHEN st = 'detected' AND (v IS NULL OR len(list_filter(ids, lambda x: x <= last)) = 0) THEN CASE WHEN v IS NULL THEN 'missing' ELSE 'unclear' END ELSE st END AS st FROM a JOIN m ON m.package_id = a.k)
+SELECT k AS package_id, 'product_name' AS field, CASE WHEN st <> 'missing' THEN v END AS value, st AS status, round(confidence, 4)::DOUBLE AS confidence, CASE WHEN st = 'missing' THEN '' ELSE array_to_string(ids, ',') END AS ids, 'read' AS reason FROM b
+UNION ALL SELECT p_partkey, f, NULL, 'missing', 0.0, '', '' FROM packages, (SELECT unnest([{', '.join(_q(f) for f in V.FIELDS[1:])}]) AS f)"""
+)
+def validated_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = fusion.validated(D.model_answers(spark, sf_dir), lines.dense_lines(D.label_lines(spark, sf_dir)))
+    return told.select("package_id", "field", "value", "status", F.round("confidence", 4).alias("confidence"), F.array_join(F.col("evidence_ids").cast("array<string>"), ",").alias("ids"), "reason")
+
+
+@query(f"WITH {D.MODEL_FIELDS} SELECT coalesce(t.package_id, m.package_id) AS package_id, coalesce(t.field, m.field) AS field, coalesce(t.value, m.value) AS value FROM (SELECT * FROM told WHERE value IS NOT NULL) t FULL JOIN (SELECT * FROM model WHERE status = 'detected') m USING (package_id, field)")
+def filled_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fusion.fill_empty(D.told_fields(spark, sf_dir), D.model_fields(spark, sf_dir))
+
+
+_FUSED = f"""{D.MODEL_FIELDS},
+every AS (SELECT p_partkey AS package_id, f AS field FROM packages, (SELECT unnest([{', '.join(_q(f) for f in V.FIELDS)}]) AS f)),
+b AS (SELECT e.package_id, e.field, t.value AS d, m.value AS a, m.status AS st, m.confidence AS c FROM every e LEFT JOIN told t USING (package_id, field) LEFT JOIN model m USING (package_id, field)),
+q AS (SELECT *, CASE WHEN d IS NULL THEN 0 ELSE 0.72 + CASE WHEN field = 'fssai_license_number' THEN 0.08 WHEN field IN ('mrp', 'net_quantity', 'batch_number') THEN 0.05 WHEN field IN ('manufacturing_date', 'expiry_date') THEN 0.04
+  WHEN field IN ('product_name', 'manufacturer') THEN 0.04 ELSE 0 END END AS dq, CASE WHEN st = 'detected' THEN least(0.94, 0.45 + 0.35 * c + 0.08) ELSE 0 END AS aq,
+  {fform('d')} = {fform('a')} OR regexp_replace({fform('d')}, '[^\\pL\\pN]', '', 'g') = regexp_replace({fform('a')}, '[^\\pL\\pN]', '', 'g') AS same FROM b),
+fused AS (SELECT *, CASE WHEN d IS NULL AND a IS NULL THEN 'no_evidence' WHEN a IS NULL THEN 'deterministic_only' WHEN st <> 'detected' AND d IS NOT NULL THEN 'ai_unclear_preserved_deterministic' WHEN st <> 'detected' THEN 'ai_unclear'
+  WHEN d IS NULL THEN 'ai_fill' WHEN same THEN 'agreement' ELSE 'conflict' END AS decision FROM q),
+f AS (SELECT package_id, field, decision, CASE WHEN decision = 'no_evidence' THEN NULL WHEN decision IN ('ai_unclear', 'ai_fill') THEN a ELSE d END AS value,
+  CASE WHEN decision = 'no_evidence' THEN 'missing' WHEN decision IN ('deterministic_only', 'ai_fill', 'agreement') THEN 'detected' ELSE 'unclear' END AS status,
+  CAST(round(CAST(CASE decision WHEN 'no_evidence' THEN 0 WHEN 'deterministic_only' THEN dq WHEN 'ai_unclear_preserved_deterministic' THEN least(dq, 0.82) WHEN 'ai_unclear' THEN aq * 0.65 WHEN 'ai_fill' THEN aq
+    WHEN 'agreement' THEN least(0.98, 0.58 + 0.2 * dq + 0.17 * aq + 0.05) ELSE least(dq, aq) END AS DECIMAL(20,10)), 3) AS DOUBLE) AS confidence FROM fused)"""
+
+
+def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packages = D.packages(spark, sf_dir).select(F.col("p_partkey").alias("package_id"))
+    return fusion.fuse_fields(D.told_fields(spark, sf_dir), D.model_fields(spark, sf_dir), packages)
+
+
+@query(f"WITH {_FUSED} SELECT package_id, field, decision, value, status, confidence FROM f")
+def fused_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fused(spark, sf_dir).select("package_id", "field", "decision", "value", "status", "confidence")
+
+
+@query(f"WITH {_FUSED} SELECT package_id, count(*) FILTER (status = 'detected') AS detected_count, count(*) FILTER (status = 'unclear') AS unclear_count, count(*) FILTER (status = 'missing') AS missing_count, count(*) AS total_fields FROM f GROUP BY package_id")
+def fusion_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fusion.fusion_counts(_fused(spark, sf_dir))
+
+
+@query(f"WITH {_FUSED} SELECT package_id, " + ", ".join(f"max(CASE WHEN field = '{x}' THEN CASE WHEN status = 'detected' THEN value ELSE d END END) AS {x}" for x in V.FIELDS) + " FROM f JOIN (SELECT package_id, field, d FROM b) USING (package_id, field) GROUP BY package_id")
+def fused_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fusion.fused_declarations(D.told_declarations(spark, sf_dir), _fused(spark, sf_dir)).drop("raw_text")
+
+
+@query(f"WITH {_FUSED} SELECT package_id, count(*) FILTER (decision = 'ai_fill') AS ai_filled, count(*) FILTER (decision = 'conflict') AS conflicts FROM f GROUP BY package_id")
+def fusion_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.fusion_kpis(_fused(spark, sf_dir))
+
+
+@query(f"WITH {_FUSED} SELECT package_id, field, CASE decision WHEN 'agreement' THEN 'Verified' WHEN 'ai_fill' THEN 'AI' WHEN 'conflict' THEN 'Conflict' WHEN 'deterministic_only' THEN 'OCR' WHEN 'no_evidence' THEN 'Missing' ELSE 'Review' END AS chip, coalesce(value, 'Not detected') AS shown FROM f")
+def decision_chips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.decision_chips(_fused(spark, sf_dir))
+
+
+# ---- rules and compliance ------------------------------------------------------------------------------------------
+
+_RULES = "rules AS (SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else _q(x) for x in r) + f", {n})" for n, r in enumerate(RULES)) + ") AS t(rule_id, authority, requirement, field, severity, applicability, source, notes, rule_no))"
+_FINDINGS = f"""{D.TOLD}, {_RULES},
+ctx AS (SELECT package_id, {' OR '.join(f"contains(lower(raw), {_q(m)})" for m in V.FOOD_MARKS)} OR fssai_license_number IS NOT NULL AS is_food, country_of_origin IS NOT NULL OR {' OR '.join(f"contains(lower(raw), {_q(m)})" for m in V.IMPORT_MARKS)} AS is_imported FROM declared),
+x AS (SELECT c.package_id, r.*, t.value AS v, CASE applicability WHEN 'always' THEN true WHEN 'food' THEN is_food WHEN 'veg_nonveg' THEN is_food WHEN 'imported' THEN is_imported ELSE false END AS applies
+  FROM ctx c CROSS JOIN rules r LEFT JOIN told t ON t.package_id = c.package_id AND t.field = r.field),
+findings AS (SELECT package_id, rule_id, authority, requirement, severity, CASE WHEN NOT applies THEN 'not_applicable' WHEN v IS NOT NULL THEN 'detected' ELSE 'missing' END AS status, CASE WHEN applies THEN v END AS value FROM x)"""
+
+
+@query(f"WITH {_RULES} SELECT *, '{EFFECTIVE}' AS effective_from FROM rules")
+def rule_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules_table(spark)
+
+
+@query(f"WITH {_FINDINGS} SELECT package_id, is_food, is_imported, is_food AS veg_nonveg_applicable, false AS unit_sale_price_applicable FROM ctx")
+def context_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("context")
+    names = ("is_food", "is_imported", "veg_nonveg_applicable", "unit_sale_price_applicable")
+    return compliance.with_context(D.told_declarations(spark, sf_dir)).select("package_id", *(c[n].alias(n) for n in names))
+
+
+def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compliance.rule_findings(D.told_declarations(spark, sf_dir))
+
+
+@query(f"WITH {_FINDINGS} SELECT * FROM findings")
+def rule_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _findings(spark, sf_dir).select("package_id", "rule_id", "authority", "requirement", "severity", "status", "value")
+
+
+@query(
+    f"""WITH {_FINDINGS}, n AS (SELECT package_id, count(*) AS total_rules, count(*) FILTER (status <> 'not_applicable') AS applicable_rules, count(*) FILTER (status = 'detected') AS detected_rules,
+  count(*) FILTER (status = 'missing') AS missing_rules, 0::BIGINT AS unclear_rules FROM findings GROUP BY package_id)
+SELECT *, round(detected_rules * 100.0::DOUBLE / applicable_rules, 1) AS compliance_percent, CASE WHEN missing_rules > 0 THEN 'review' ELSE 'pass' END AS status FROM n"""
+)
+def compliance_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compliance.rule_counts(_findings(spark, sf_dir))
+
+
+_SUMMARY = f"{D.TOLD}, w(field_no, field, label) AS (VALUES " + ", ".join(f"({n}, {_q(f)}, {_q(x)})" for n, (f, x) in enumerate(V.SUMMARY_FIELDS.items())) + ")"
+
+
+@query(
+    f"WITH {_SUMMARY} SELECT p.p_partkey AS package_id, w.field_no, w.field, w.label, CASE WHEN t.value IS NULL THEN 'missing' ELSE 'detected' END AS status, t.value, w.label || CASE WHEN t.value IS NULL THEN ' was not detected.' ELSE ' detected.' END AS message "
+    "FROM packages p CROSS JOIN w LEFT JOIN told t ON t.package_id = p.p_partkey AND t.field = w.field"
+)
+def summary_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compliance.summary_findings(D.told_declarations(spark, sf_dir))
+
+
+@query(
+    f"WITH {_SUMMARY} SELECT p.p_partkey AS package_id, coalesce(string_agg(w.field, ',' ORDER BY w.field_no) FILTER (t.value IS NULL), '') AS missing, CAST(count(t.value) AS INT) AS detected_fields "
+    "FROM packages p CROSS JOIN w LEFT JOIN told t ON t.package_id = p.p_partkey AND t.field = w.field GROUP BY p.p_partkey"
+)
+def missing_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compliance.missing_fields(D.told_declarations(spark, sf_dir)).select("package_id", F.array_join("missing_fields", ",").alias("missing"), "detected_fields")
+
+
+@query(f"WITH {_FINDINGS} SELECT package_id, authority, count(*) FILTER (status = 'detected') AS satisfied, count(*) AS applicable, CASE WHEN authority = 'FSSAI' THEN 0 ELSE 1 END AS shown_rank FROM findings WHERE status <> 'not_applicable' GROUP BY package_id, authority")
+def authority_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.authority_summary(_findings(spark, sf_dir))
+
+
+@query(f"WITH {_FINDINGS} SELECT package_id, rule_id, authority, requirement, upper(severity) AS severity, status, requirement || ' was not detected.' AS message FROM findings WHERE status = 'missing'")
+def review_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.review_items(_findings(spark, sf_dir))
+
+
+@query(f"WITH {_FINDINGS} SELECT package_id, CASE WHEN is_food THEN 'Food product' ELSE 'Non-food product' END AS kind, CASE WHEN is_imported THEN 'Imported / origin declared' ELSE 'Domestic' END AS origin FROM ctx")
+def context_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.context_labels(compliance.with_context(D.told_declarations(spark, sf_dir)))
+
+
+@query(f"WITH {D.TOLD} SELECT package_id, coalesce(product_name, 'Not detected') AS product_name, coalesce(mrp, 'Not detected') AS mrp, coalesce(net_quantity, 'Not detected') AS net_quantity, coalesce(batch_number, 'Not detected') AS batch_number FROM declared")
+def key_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.key_facts(D.told_declarations(spark, sf_dir), ["product_name", "mrp", "net_quantity", "batch_number"])
+
+
+@query()
+def package_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole way from lines to verdicts."""
+    return analyse(D.label_lines(spark, sf_dir))["compliance"].drop("context", "missing_fields")
+
+
+# ---- store and history ---------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {D.INSPECTIONS} SELECT * FROM inspections ORDER BY id DESC LIMIT 200")
+def inspection_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.newest(D.inspections(spark, sf_dir))
+
+
+@query(f"WITH {D.INSPECTIONS} SELECT * FROM inspections WHERE inspection_id = 'INS-00042'")
+def inspection_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.inspection_detail(D.inspections(spark, sf_dir), "INS-00042")
+
+
+@query(f"WITH {D.INSPECTIONS} SELECT inspection_id, decision FROM inspections WHERE id % 10 <> 0")
+def inspection_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tombstones hide rows."""
+    rows = D.inspections(spark, sf_dir)
+    return rows.join(rows.where("id % 10 = 0").select("inspection_id"), "inspection_id", "left_anti").select("inspection_id", "decision")
+
+
+@query("SELECT o_orderkey, printf('INS-%05d', row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) + 7) AS inspection_id FROM orders WHERE o_orderstatus = 'P'")
+def inspection_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = D.table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").withColumn("_d", -F.col("o_orderdate").cast("timestamp").cast("long"))
+    return store.with_numbers(rows, 7, "_d", "o_orderkey").select("o_orderkey", "inspection_id")
+
+
+@query(f"WITH {D.INSPECTIONS} SELECT inspection_id, decision, coalesce('JSON ' || product_name, product_name) AS product_name, manufacturer, compliance_percent FROM inspections")
+def inspection_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records go to JSON and back; the row's decision goes over the record's."""
+    shown = F.struct(F.concat(F.lit("JSON "), "product_name").alias("product_name"), F.lit("stale").alias("decision"))
+    rows = D.inspections(spark, sf_dir).withColumn("record_json", F.to_json(shown))
+    r = store.decoded(rows, "struct<product_name: string, decision: string>").select("record.*")
+    return r.select("inspection_id", "decision", "product_name", "manufacturer", "compliance_percent")
+
+
+@query(f"WITH {D.INSPECTIONS} SELECT count(*) AS total, count(*) FILTER (decision = 'Compliant') AS compliant, count(*) FILTER (decision = 'Requires Correction') AS requires_correction, count(*) FILTER (decision = 'Non-Compliant') AS non_compliant FROM inspections")
+def history_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.history_kpis(D.inspections(spark, sf_dir))
+
+
+_SEARCH = "SELECT inspection_id, decision FROM inspections WHERE contains(lower(inspection_id || ' ' || coalesce(product_name, 'None') || ' ' || manufacturer || ' ' || coalesce(batch_number, 'None')), 'ring 7') AND decision = 'Compliant'"
+
+
+@query(f"WITH {D.INSPECTIONS} {_SEARCH}")
+def history_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.search_history(D.inspections(spark, sf_dir), " Ring 7", "Compliant").select("inspection_id", "decision")
+
+
+@query(f"WITH {D.INSPECTIONS}, s AS ({_SEARCH}) SELECT (SELECT count(*) FROM s) AS n, (SELECT count(*) FROM inspections) AS total")
+def history_showing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = D.inspections(spark, sf_dir)
+    return reports.showing(rows, reports.search_history(rows, "ring 7", "Compliant"))
+
+
+@query(f"WITH {D.INSPECTIONS} SELECT inspection_id, coalesce(product_name, 'Unnamed package') AS title, manufacturer AS maker, CASE decision WHEN 'Compliant' THEN 'Compliant' WHEN 'Non-Compliant' THEN 'Non-compliant' ELSE 'Needs correction' END AS label, compliance_percent AS percent FROM inspections")
+def history_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.history_rows(D.inspections(spark, sf_dir))
+
+
+@query("SELECT conv_id, sha256(unhex(string_agg(printf('%016x', octet_length(encode(text))) || hex(encode(text)), '' ORDER BY turn))) AS signature FROM conversations GROUP BY conv_id")
+def signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = D.table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("image_no"), F.col("text").cast("binary").alias("content"))
+    return images.signature(parts, "conv_id")
+
