@@ -13,6 +13,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from labelloom.functions import text as T
 
@@ -30,7 +31,7 @@ def at_least(a: str, b: str, least: float) -> float:
     return ratio(a, b)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())  # a type by name needs a session, and this runs at import
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 

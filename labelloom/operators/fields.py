@@ -20,15 +20,18 @@ from labelloom.functions.similarity import label_in, sequence_ratio, similarity
 from labelloom.operators.candidates import exact_groups, first_fit, group_scores, top_group
 from labelloom.operators.lines import neighbours
 
-C = F.col("confidence")
 
+def conf() -> Column:
+    return F.col("confidence")
 
-def candidate(rows: DataFrame, field_: str, value: Column, score: Column, strategy: int, confidence: Column = C, source: Column | str = "source", rank: Column | None = None) -> DataFrame:
+
+def candidate(rows: DataFrame, field_: str, value: Column, score: Column, strategy: int, confidence: Column | str = "confidence", source: Column | str = "source", rank: Column | None = None) -> DataFrame:
     """Candidate rows; order is that of the line, the strategy, then the rank."""
     order = F.array(F.col("pos").cast("int"), F.lit(strategy), (rank if rank is not None else F.lit(0)).cast("int"))
     src = F.col(source) if isinstance(source, str) else source
+    sure = F.col(confidence) if isinstance(confidence, str) else confidence
     return rows.select(
-        "package_id", F.lit(field_).alias("field"), order.alias("ord"), value.alias("value"), score.cast("double").alias("score"), confidence.cast("double").alias("confidence"), src.alias("source")
+        "package_id", F.lit(field_).alias("field"), order.alias("ord"), value.alias("value"), score.cast("double").alias("score"), sure.cast("double").alias("confidence"), src.alias("source")
     ).where(F.col("value").isNotNull())
 
 
@@ -91,7 +94,7 @@ def product_candidates(lines: Lines) -> DataFrame:
     joined = T.clean_token(F.concat_ws(" ", "first", "n_text"))
     fits = (F.length(joined) <= 70) & joined.rlike(r"^[A-Za-z][A-Za-z '&/.-]+$")
     both = beside.join(better, ["package_id", "pos", "n_pos"], "left_anti")
-    combined = candidate(both, "product_name", F.when(fits, joined), F.lit(142), 2, (C + F.col("n_confidence")) / 2, rank=F.col("rank"))
+    combined = candidate(both, "product_name", F.when(fits, joined), F.lit(142), 2, (conf() + F.col("n_confidence")) / 2, rank=F.col("rank"))
     letters, upper = (F.length(F.regexp_replace("text", p, "")) for p in (r"[^\p{L}]", r"[^\p{Lu}]"))
     loud = rows.where(T.is_product(F.col("text")) & ~F.col("text").rlike(r"\d") & (letters > 0) & (upper >= 0.55 * letters))
     words = T.word_count(F.col("text"))
@@ -106,11 +109,11 @@ def price_candidates(lines: Lines) -> DataFrame:
     currency = T.parsed_money(T.found(F.col("text"), rf"(?i)(?:₹|rs\.?|inr)\s*{amount}"))
     loose = F.when(F.col("form").contains("mrp"), T.parsed_money(T.found(F.col("text"), rf"(?i)\bmrp\b.*?{amount}")))
     rows = lines.rows.withColumn("p", labelled)
-    strong = candidate(rows, "mrp", T.money_text(F.col("p")), 155 + C * 35, 0)
+    strong = candidate(rows, "mrp", T.money_text(F.col("p")), 155 + conf() * 35, 0)
     weak = rows.where("p is null").withColumn("p", currency).withColumn("q", loose).where("p is not null or q is not null")
     weak = lines.with_label_near(weak, "mrp", 3)
-    plain = candidate(weak, "mrp", T.money_text(F.col("p")), 65 + C * 20 + F.when(F.col("label_near"), 40).otherwise(0), 1)
-    return strong.unionByName(plain).unionByName(candidate(weak, "mrp", T.money_text(F.col("q")), 135 + C * 30, 2))
+    plain = candidate(weak, "mrp", T.money_text(F.col("p")), 65 + conf() * 20 + F.when(F.col("label_near"), 40).otherwise(0), 1)
+    return strong.unionByName(plain).unionByName(candidate(weak, "mrp", T.money_text(F.col("q")), 135 + conf() * 30, 2))
 
 
 def quantity_candidates(lines: Lines) -> DataFrame:
@@ -125,9 +128,9 @@ def quantity_candidates(lines: Lines) -> DataFrame:
     strong = candidate(rows, "net_quantity", F.col("q"), F.lit(155), 0)
     rest = rows.where("q is null")
     plain = lines.with_label_near(rest.withColumn("q", read(F.col("text"), generic)).where("q is not null"), "quantity", 3)
-    weak = candidate(plain, "net_quantity", F.col("q"), 62 + C * 20 + F.when(F.col("label_near"), 45).otherwise(0), 1)
+    weak = candidate(plain, "net_quantity", F.col("q"), 62 + conf() * 20 + F.when(F.col("label_near"), 45).otherwise(0), 1)
     beside = lines.near(4, 100, rest.where("label.quantity is not null")).withColumn("q", read(F.col("n_text"), generic))
-    split = candidate(beside, "net_quantity", F.col("q"), 135 + C * 20 + F.col("n_confidence") * 20, 2, (C + F.col("n_confidence")) / 2, rank=F.col("rank"))
+    split = candidate(beside, "net_quantity", F.col("q"), 135 + conf() * 20 + F.col("n_confidence") * 20, 2, (conf() + F.col("n_confidence")) / 2, rank=F.col("rank"))
     return strong.unionByName(weak).unionByName(split)
 
 
@@ -137,7 +140,7 @@ def batch_candidates(lines: Lines) -> DataFrame:
     direct = candidate(rows.where(T.is_batch(F.col("b"))), "batch_number", F.col("b"), F.lit(180), 0)
     beside = lines.near(6, 140, lines.by_label("batch")).withColumn("b", T.batch_token(F.col("n_text")))
     beside = beside.where(T.is_batch(F.col("b")) & ~T.match_form(F.col("b")).rlike(V.BATCH_NEIGHBOUR_BAD))
-    score = 105 + C * 20 + F.col("n_confidence") * 30 - F.least(F.col("apart"), F.lit(100.0))
+    score = 105 + conf() * 20 + F.col("n_confidence") * 30 - F.least(F.col("apart"), F.lit(100.0))
     return direct.unionByName(candidate(beside, "batch_number", F.col("b"), score, 1, F.col("n_confidence"), "n_source", F.col("rank")))
 
 
@@ -147,12 +150,12 @@ def dates(lines: Lines, name: str) -> DataFrame:
     A full date nearby wins; else day, month and year are chosen each by
     confidence and nearness, and all three are needed.
     """
-    base = lines.by_label(name).select("package_id", "pos", C.alias("label_confidence"), "geo")
+    base = lines.by_label(name).select("package_id", "pos", conf().alias("label_confidence"), "geo")
     near = lines.near(8, 170, base).select("package_id", "pos", "n_pos")
     offset = F.explode(F.array(*(F.lit(x) for x in (-2, -1, 0, 1, 2, 3, 4, 5)))).alias("d")
     window = base.select("package_id", "pos", offset).select("package_id", "pos", (F.col("pos") + F.col("d")).alias("n_pos"))
     wanted = near.unionByName(window).distinct()
-    other = lines.rows.select("package_id", F.col("pos").alias("n_pos"), F.col("text").alias("t"), C.alias("c"), F.col("geo").alias("n_geo"))
+    other = lines.rows.select("package_id", F.col("pos").alias("n_pos"), F.col("text").alias("t"), conf().alias("c"), F.col("geo").alias("n_geo"))
     seen = wanted.join(other, ["package_id", "n_pos"]).join(base, ["package_id", "pos"])
     own = F.col("n_pos") == F.col("pos")
     rise = F.when(own | F.col("geo").isNull() | F.col("n_geo").isNull(), 0.0).otherwise(F.abs(F.col("geo.y") - F.col("n_geo.y")))
@@ -179,9 +182,9 @@ def manufacturer_candidates(lines: Lines) -> DataFrame:
     bonus = rf"(?i){V.COMPANY_SUFFIX}"
     base = lines.by_label("manufacturer").withColumn("v", without_label(F.col("text"), F.col("label.manufacturer"), V.LABELS["manufacturer"]))
     own = base.where(T.is_company(F.col("v")))
-    direct = candidate(own, "manufacturer", F.col("v"), 145 + C * 30 + F.when(F.col("v").rlike(bonus), 25).otherwise(0), 0)
+    direct = candidate(own, "manufacturer", F.col("v"), 145 + conf() * 30 + F.when(F.col("v").rlike(bonus), 25).otherwise(0), 0)
     beside = lines.near(6, 150, base).where(T.is_company(F.col("n_text")) & ~F.col("n_form").rlike(V.COMPANY_NEIGHBOUR_BAD))
-    score = 115 + C * 20 + F.col("n_confidence") * 35 - F.least(F.col("apart"), F.lit(60.0)) + F.when(F.col("n_text").rlike(bonus), 25).otherwise(0)
+    score = 115 + conf() * 20 + F.col("n_confidence") * 35 - F.least(F.col("apart"), F.lit(60.0)) + F.when(F.col("n_text").rlike(bonus), 25).otherwise(0)
     return direct.unionByName(candidate(beside, "manufacturer", F.col("n_text"), score, 1, F.col("n_confidence"), "n_source", F.col("rank")))
 
 
@@ -235,49 +238,49 @@ def contact_candidates(lines: Lines) -> DataFrame:
     """Phones (with no source) and, where a package has none, e-mail addresses."""
     x = lines.with_label_near(lines.rows.where(F.col("text").rlike(V.PHONE) | F.col("text").contains("@")), "consumer", 4)
     phones = x.select("*", F.posexplode(T.phones_in(F.col("text"))).alias("n", "phone"))
-    score = 90 + C * 30 + F.when(F.col("label.consumer").isNotNull(), 75).otherwise(0) + F.when(F.col("label_near"), 45).otherwise(0)
+    score = 90 + conf() * 30 + F.when(F.col("label.consumer").isNotNull(), 75).otherwise(0) + F.when(F.col("label_near"), 45).otherwise(0)
     none = F.lit(None).cast("string")
     told = candidate(phones, "consumer_care", F.col("phone"), score, 0, source=none, rank=F.col("n"))
     mails = x.select("*", F.posexplode(T.emails_in(F.col("text"))).alias("n", "mail"))
-    return told.unionByName(candidate(mails, "consumer_email", F.col("mail"), 95 + C * 20, 1, source=none, rank=F.col("n")))
+    return told.unionByName(candidate(mails, "consumer_email", F.col("mail"), 95 + conf() * 20, 1, source=none, rank=F.col("n")))
 
 
 def country_candidates(lines: Lines) -> DataFrame:
     patterns = [r"(?i)\bcountry\s+of\s+origin\s*[:\-]?\s*(.+)$", r"(?i)\bmade\s+in\s+(.+)$", r"(?i)\bproduct\s+of\s+(.+)$"]
-    found = [candidate(lines.rows, "country_of_origin", F.nullif(T.clean_token(T.found(F.col("text"), p)), F.lit("")), 160 + C * 20, n) for n, p in enumerate(patterns)]
+    found = [candidate(lines.rows, "country_of_origin", F.nullif(T.clean_token(T.found(F.col("text"), p)), F.lit("")), 160 + conf() * 20, n) for n, p in enumerate(patterns)]
     return reduce(DataFrame.unionByName, found)
 
 
 def best_before_candidates(lines: Lines) -> DataFrame:
     base = lines.by_label("best_before").withColumn("v", without_label(F.col("text"), F.col("label.best_before"), V.LABELS["best_before"]))
-    own = candidate(base.where(T.present(F.col("v"))), "best_before", F.col("v"), 145 + C * 25, 0)
+    own = candidate(base.where(T.present(F.col("v"))), "best_before", F.col("v"), 145 + conf() * 25, 0)
     beside = lines.near(4, 120, base.where(~T.present(F.col("v")))).where(~F.col("n_form").rlike(V.BEST_BEFORE_NEIGHBOUR_BAD))
-    score = 115 + C * 20 + F.col("n_confidence") * 25
-    return own.unionByName(candidate(beside, "best_before", F.col("n_text"), score, 1, (C + F.col("n_confidence")) / 2, "n_source", F.col("rank")))
+    score = 115 + conf() * 20 + F.col("n_confidence") * 25
+    return own.unionByName(candidate(beside, "best_before", F.col("n_text"), score, 1, (conf() + F.col("n_confidence")) / 2, "n_source", F.col("rank")))
 
 
 def licence_candidates(lines: Lines) -> DataFrame:
     base = lines.rows.where(F.col("label.licence").isNotNull() | F.col("form").rlike(V.LICENCE_CONTEXT)).withColumn("v", T.licence_number(F.col("text")))
-    own = candidate(base, "fssai_license_number", F.col("v"), 220 + C * 40, 0)
+    own = candidate(base, "fssai_license_number", F.col("v"), 220 + conf() * 40, 0)
     beside = lines.near(8, 170, base.where("v is null")).withColumn("v", T.licence_number(F.col("n_text"))).where(~F.col("n_form").rlike(V.LICENCE_NEIGHBOUR_BAD))
-    score = 165 + C * 25 + F.col("n_confidence") * 55 - F.least(F.col("apart"), F.lit(90.0))
+    score = 165 + conf() * 25 + F.col("n_confidence") * 55 - F.least(F.col("apart"), F.lit(90.0))
     return own.unionByName(candidate(beside, "fssai_license_number", F.col("v"), score, 1, F.col("n_confidence"), "n_source", F.col("rank")))
 
 
 def section_candidates(lines: Lines, name: str, count: int, gap: float) -> DataFrame:
     base = lines.by_label(name).withColumn("v", without_label(F.col("text"), F.col(f"label.{name}"), V.LABELS[name]))
     told = T.present(F.col("v")) & ~T.is_next_declaration(F.col("v"))
-    own = candidate(base.where(told), name, F.col("v"), 180 + C * 35, 0)
+    own = candidate(base.where(told), name, F.col("v"), 180 + conf() * 35, 0)
     beside = lines.near(count, gap, base.where(~told)).where(
         F.col(f"n_label.{name}").isNull() & ~T.is_next_declaration(F.col("n_text")) & ~F.col("n_text").rlike(r"^[:;,.|_-]+$")
     )
     order = Window.partitionBy("package_id", "pos").orderBy("apart", F.desc("n_confidence"), "rank")
     chosen = beside.withColumn("k", F.row_number().over(order)).where("k <= 3")
     joined = chosen.groupBy("package_id", "pos").agg(
-        F.max(C).alias("confidence"), F.array_sort(F.collect_list(F.struct("n_pos", "n_text", "n_source"))).alias("parts"), F.avg("n_confidence").alias("mean"), F.min("apart").alias("apart")
+        F.max(conf()).alias("confidence"), F.array_sort(F.collect_list(F.struct("n_pos", "n_text", "n_source"))).alias("parts"), F.avg("n_confidence").alias("mean"), F.min("apart").alias("apart")
     )
     value = F.trim(F.array_join(F.transform("parts", lambda p: p["n_text"]), " "))
-    score = 125 + C * 25 + F.col("mean") * 35 - F.least(F.col("apart"), F.lit(60.0))
+    score = 125 + conf() * 25 + F.col("mean") * 35 - F.least(F.col("apart"), F.lit(60.0))
     return own.unionByName(candidate(joined, name, F.nullif(value, F.lit("")), score, 1, F.col("mean"), F.get("parts", 0)["n_source"]))
 
 
@@ -287,7 +290,7 @@ def veg_nonveg(lines: Lines) -> DataFrame:
     kinds = [(r"\bnon[\s-]*vegetarian\b", "Non-Vegetarian", 220), (r"\bvegetarian\b", "Vegetarian", 220), (r"\bnon[\s-]*veg\b", "Non-Vegetarian", 205), (r"\bveg\b", "Vegetarian", 200)]
     value, score = F.lit(None).cast("string"), F.lit(None).cast("double")
     for pattern, name, points in reversed(kinds):
-        value, score = F.when(form.rlike(pattern), name).otherwise(value), F.when(form.rlike(pattern), points + C * 30).otherwise(score)
+        value, score = F.when(form.rlike(pattern), name).otherwise(value), F.when(form.rlike(pattern), points + conf() * 30).otherwise(score)
     told = lines.rows.select("package_id", "pos", value.alias("v"), score.alias("s")).where("v is not null")
     return told.groupBy("package_id").agg(F.max_by("v", F.struct("s", (-F.col("pos")).alias("p"))).alias("value")).select("package_id", F.lit("veg_nonveg").alias("field"), "value")
 
@@ -304,7 +307,7 @@ def address_candidates(lines: Lines) -> DataFrame:
         return inside.groupBy("package_id", "pos").agg(F.array_sort(F.collect_list("item")).alias("items"))
 
     anchors = rows.where(F.col("text").rlike(V.ADDRESS_ANCHOR))
-    after = block(anchors, 9, V.ADDRESS_STOP_AFTER_ANCHOR).join(anchors.select("package_id", "pos", C.alias("anchor")), ["package_id", "pos"]).withColumn("strategy", F.lit(0))
+    after = block(anchors, 9, V.ADDRESS_STOP_AFTER_ANCHOR).join(anchors.select("package_id", "pos", conf().alias("anchor")), ["package_id", "pos"]).withColumn("strategy", F.lit(0))
     starts = rows.where("address").select("package_id", "pos", F.array(F.struct("pos", "text", "form", "confidence", "source")).alias("first"))
     more = starts.join(block(starts, 4, V.ADDRESS_STOP), ["package_id", "pos"], "left").withColumn("items", F.when(F.col("items").isNull(), F.col("first")).otherwise(F.concat("first", "items")))
     whole = F.array_join(F.transform("items", lambda x: T.address_line(x["text"])), " ")
@@ -374,7 +377,7 @@ def extract_fields(prepared: DataFrame) -> DataFrame:
 def declarations(prepared: DataFrame, fields: DataFrame) -> DataFrame:
     """One wide row a package: the fields, its lines as raw_text, and the evidence."""
     wide = fields.groupBy("package_id").agg(*(F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in V.DECLARED_FIELDS))
-    shown = F.struct("pos", "text", F.round(C.cast("decimal(18,10)"), 4).cast("double").alias("confidence"), "box", "source")
+    shown = F.struct("pos", "text", F.round(conf().cast("decimal(18,10)"), 4).cast("double").alias("confidence"), "box", "source")
     lines = prepared.groupBy("package_id").agg(F.array_sort(F.collect_list(F.struct("pos", shown.alias("e")))).alias("_e"))
     told = lines.join(wide, "package_id", "left")
     return told.select("package_id", *V.DECLARED_FIELDS, F.transform("_e", lambda x: x["e"]["text"]).alias("raw_text"), F.transform("_e", lambda x: x["e"].dropFields("pos")).alias("evidence"))
