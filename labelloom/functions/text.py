@@ -105,7 +105,7 @@ def parsed_money(raw: Column) -> Column:
 
 
 def money_text(value: Column) -> Column:
-    return F.format_string("₹%.2f", value)
+    return F.when(value.isNotNull(), F.format_string("₹%.2f", value))
 
 
 def normal_quantity(number: Column, unit: Column) -> Column:

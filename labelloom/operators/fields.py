@@ -7,7 +7,7 @@ and ranking together, so that a package is shuffled once for all of them.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,7 +18,12 @@ from labelloom.functions import text as T
 from labelloom.functions import vocabulary as V
 from labelloom.functions.similarity import label_in, sequence_ratio, similarity
 from labelloom.operators.candidates import exact_groups, first_fit, group_scores, top_group
-from labelloom.operators.lines import neighbours
+from labelloom.operators.lines import ranked_neighbours
+from labelloom.staging import stage
+
+#: Vertical reaches in which extractors look for neighbours.
+GAPS = (80, 100, 120, 140, 150, 170, 180)
+MOST_NEIGHBOURS = 8
 
 
 def conf() -> Column:
@@ -37,22 +42,24 @@ def candidate(rows: DataFrame, field_: str, value: Column, score: Column, strate
 
 @dataclass
 class Lines:
-    """Prepared lines with their labels, and neighbour joins that are made once each."""
+    """Prepared lines with their labels, and their neighbours, each made once and staged for all extractors."""
 
     rows: DataFrame
-    pairs: dict = field(default_factory=dict)
+    pairs: DataFrame | None = None
 
     @classmethod
     def of(cls, prepared: DataFrame) -> Lines:
+        plain = stage(prepared.withColumn("pos", F.col("pos").cast("int")), "lines")
         labels = F.struct(*(label_in(F.col("form"), V.LABELS[k]).alias(k) for k in V.LABELS))
-        return cls(prepared.withColumn("label", labels).withColumn("pos", F.col("pos").cast("int")))
+        return cls(stage(plain.withColumn("label", labels), "labelled-lines"))
 
-    def near(self, count: int, gap: float, base: DataFrame | None = None) -> DataFrame:
+    def near(self, count: int, gap: int, base: DataFrame | None = None) -> DataFrame:
         """Lines (of `base`) with each of their neighbours: n_text, n_form, n_confidence, n_pos, n_geo, n_label, n_source, rank, apart."""
-        key = (count, gap)
-        if key not in self.pairs:
-            self.pairs[key] = neighbours(self.rows, count, gap)
-        p = self.pairs[key].select("package_id", F.col("i").cast("int").alias("pos"), F.col("j").cast("int").alias("n_pos"), "rank")
+        if self.pairs is None:
+            ranked = ranked_neighbours(self.rows, GAPS)
+            self.pairs = stage(ranked.where(F.array_min("ranks") <= MOST_NEIGHBOURS), "neighbours")
+        rank = F.col("ranks")[GAPS.index(gap)]
+        p = self.pairs.where(rank <= count).select("package_id", F.col("i").cast("int").alias("pos"), F.col("j").cast("int").alias("n_pos"), rank.alias("rank"))
         other = self.rows.select("package_id", F.col("pos").alias("n_pos"), *(F.col(c).alias(f"n_{c}") for c in ("text", "form", "confidence", "geo", "label", "source")))
         joined = (base if base is not None else self.rows).join(p, ["package_id", "pos"]).join(other, ["package_id", "n_pos"])
         return joined.withColumn("apart", G.relative_distance(F.col("geo"), F.col("n_geo")))
@@ -60,7 +67,7 @@ class Lines:
     def by_label(self, name: str) -> DataFrame:
         return self.rows.where(F.col(f"label.{name}").isNotNull())
 
-    def with_label_near(self, base: DataFrame, name: str, count: int, gap: float = 180.0) -> DataFrame:
+    def with_label_near(self, base: DataFrame, name: str, count: int, gap: int = 180) -> DataFrame:
         """base with label_near: whether a neighbour bears the label."""
         near = self.near(count, gap, base.select("package_id", "pos", "geo")).where(F.col(f"n_label.{name}").isNotNull())
         flag = near.select("package_id", "pos").distinct().withColumn("label_near", F.lit(True))
@@ -267,7 +274,7 @@ def licence_candidates(lines: Lines) -> DataFrame:
     return own.unionByName(candidate(beside, "fssai_license_number", F.col("v"), score, 1, F.col("n_confidence"), "n_source", F.col("rank")))
 
 
-def section_candidates(lines: Lines, name: str, count: int, gap: float) -> DataFrame:
+def section_candidates(lines: Lines, name: str, count: int, gap: int) -> DataFrame:
     base = lines.by_label(name).withColumn("v", without_label(F.col("text"), F.col(f"label.{name}"), V.LABELS[name]))
     told = T.present(F.col("v")) & ~T.is_next_declaration(F.col("v"))
     own = candidate(base.where(told), name, F.col("v"), 180 + conf() * 35, 0)
@@ -344,7 +351,7 @@ def clustered_candidates(lines: Lines) -> DataFrame:
         product_candidates(lines), quantity_candidates(lines), batch_candidates(lines), manufacturer_candidates(lines), country_candidates(lines), best_before_candidates(lines),
         licence_candidates(lines), section_candidates(lines, "ingredients", 4, 140), section_candidates(lines, "nutrition", 7, 180), address_candidates(lines),
     )
-    return reduce(DataFrame.unionByName, made)
+    return stage(reduce(DataFrame.unionByName, made), "candidates")
 
 
 def exact_top(candidates: DataFrame) -> DataFrame:
@@ -365,7 +372,7 @@ def extract_fields(prepared: DataFrame) -> DataFrame:
     """(package_id, field, value) of all fields found."""
     lines = Lines.of(prepared)
     best = top_group(field_bonus(group_scores(first_fit(clustered_candidates(lines)))).where("best is not null"))
-    best = best.select("package_id", "field", F.col("best").alias("value"))
+    best = stage(best.select("package_id", "field", F.col("best").alias("value")), "best-values")
     value, name = F.col("value"), F.col("field")
     final = F.when(name == "batch_number", T.batch_token(value)).when(name == "fssai_license_number", T.licence_number(value)).otherwise(value)
     plain = best.where("field <> 'manufacturer'").withColumn("value", final)

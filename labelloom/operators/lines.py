@@ -131,31 +131,42 @@ def reading_order(lines: DataFrame) -> DataFrame:
     )
 
 
-def neighbours(lines: DataFrame, count: int = 5, gap: float = 180.0) -> DataFrame:
-    """(package_id, i, j, distance, rank): the nearest lines of each line, by pos.
+def ranked_neighbours(lines: DataFrame, gaps: tuple[float, ...]) -> DataFrame:
+    """(package_id, i, j, distance, ranks): pairs of lines near each other, with their rank under each gap.
 
-    With boxes: vertical distance, `gap` at most, and 0.35 of the horizontal.
-    Bands of that height bound the pairs that are compared. Where either has no
-    box the distance is that of the positions.
+    With boxes: vertical distance, the gap at most, and 0.35 of the horizontal.
+    Bands of the largest gap bound the pairs that are compared, and one pass
+    over them ranks for all gaps. Where either has no box the distance is that
+    of the positions. A rank is null where the gap is too small for the pair.
     """
+    gap = max(gaps)
     slim = lines.select("package_id", "pos", F.col("geo.x").alias("x"), F.col("geo.y").alias("y"))
     boxed = slim.where("y is not null").withColumn("band", F.floor(F.col("y") / gap).cast("long"))
     a = boxed.select("package_id", F.col("pos").alias("i"), F.col("x").alias("xi"), F.col("y").alias("yi"), F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
     b = boxed.select("package_id", "band", F.col("pos").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj"))
+    rise = F.abs(F.col("yj") - F.col("yi"))
     near = (
         a.join(b, ["package_id", "band"])
-        .where((F.col("i") != F.col("j")) & (F.abs(F.col("yj") - F.col("yi")) <= gap))
-        .select("package_id", "i", "j", (F.abs(F.col("yj") - F.col("yi")) + 0.35 * F.abs(F.col("xj") - F.col("xi"))).alias("distance"))
+        .where((F.col("i") != F.col("j")) & (rise <= gap))
+        .select("package_id", "i", "j", (rise + 0.35 * F.abs(F.col("xj") - F.col("xi"))).alias("distance"), rise.alias("rise"))
     )
     bare = slim.where("y is null").select("package_id", F.col("pos").alias("p"))
     others = slim.select("package_id", F.col("pos").alias("q"), F.col("y").isNotNull().alias("boxed"))
     mixed = bare.join(others, "package_id").where("p <> q")
     apart = F.abs(F.col("p") - F.col("q")).cast("double").alias("distance")
-    odd = mixed.select("package_id", F.col("p").alias("i"), F.col("q").alias("j"), apart).unionByName(
-        mixed.where("boxed").select("package_id", F.col("q").alias("i"), F.col("p").alias("j"), apart)
+    none = F.lit(0.0).alias("rise")
+    odd = mixed.select("package_id", F.col("p").alias("i"), F.col("q").alias("j"), apart, none).unionByName(
+        mixed.where("boxed").select("package_id", F.col("q").alias("i"), F.col("p").alias("j"), apart, none)
     )
-    rank = F.row_number().over(Window.partitionBy("package_id", "i").orderBy("distance", "j"))
-    return near.unionByName(odd).withColumn("rank", rank).where(F.col("rank") <= count)
+    order = Window.partitionBy("package_id", "i").orderBy("distance", "j").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranks = F.array(*(F.when(F.col("rise") <= g, F.count_if(F.col("rise") <= g).over(order).cast("int")) for g in gaps))
+    return near.unionByName(odd).select("package_id", "i", "j", "distance", ranks.alias("ranks"))
+
+
+def neighbours(lines: DataFrame, count: int = 5, gap: float = 180.0) -> DataFrame:
+    """(package_id, i, j, distance, rank): the nearest `count` lines of each line, by pos."""
+    told = ranked_neighbours(lines, (gap,)).withColumn("rank", F.col("ranks")[0])
+    return told.where(F.col("rank") <= count).drop("ranks")
 
 
 def duplicate_reading(a: Column, b: Column, similarity: Column) -> Column:

@@ -319,7 +319,13 @@ def line_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {D.TOLD} SELECT package_id, field, value FROM told WHERE value IS NOT NULL UNION ALL SELECT p_partkey, 'manufacturer_address', 'PLOT ' || s_suppkey || ', SECTOR 38, INDUSTRIAL AREA, DELHI 110' || lpad(CAST(s_suppkey % 1000 AS VARCHAR), 3, '0') FROM packages WHERE p_partkey % 3 = 1"
+    f"""WITH {D.TOLD}, l AS (SELECT *, row_number() OVER (PARTITION BY package_id ORDER BY "index") AS pos FROM label_lines),
+  -- "manufactured by" is one letter pair off "manufactured on", so it is a date label too; the label of most confidence decides
+  s AS (SELECT a.package_id, a.pos, a.confidence AS c, regexp_extract(b.text, '[0-9]{{2}} [A-Z]{{3}} [0-9]{{4}}') AS v, 45 * b.confidence + CASE WHEN a.pos = b.pos THEN 135 ELSE 0 END AS score
+    FROM l a JOIN l b ON a.package_id = b.package_id AND b.pos - a.pos BETWEEN -2 AND 5 WHERE a."index" IN (4, 5) AND b."index" IN (5, 11)),
+  made AS (SELECT package_id, v FROM (SELECT *, row_number() OVER (PARTITION BY package_id ORDER BY c DESC, pos, score DESC, v DESC) AS r FROM s) WHERE r = 1)
+SELECT package_id, field, value FROM told WHERE value IS NOT NULL AND field <> 'manufacturing_date' UNION ALL SELECT package_id, 'manufacturing_date', v FROM made
+UNION ALL SELECT p_partkey, 'manufacturer_address', 'PLOT ' || s_suppkey || ', SECTOR 38, INDUSTRIAL AREA, DELHI 110' || lpad(CAST(s_suppkey % 1000 AS VARCHAR), 3, '0') FROM packages WHERE p_partkey % 3 = 1"""
 )
 def extracted_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All fields, from lines; the SQL reads them off the tables that the lines were printed from."""
