@@ -36,7 +36,7 @@ from labelloom.llm.common import labelled_sample, stage
 from labelloom.llm.quality_rules import calibrated
 
 BUCKETS = 10_000
-CACHED_FORMS = 400_000
+CACHED_FORMS = 100_000
 NEAR = 10
 _KINDS = bytes(97 if 97 <= c <= 122 or c >= 128 else 65 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else 46 if c in b".,;:" else c for c in range(256))
 _RUN = re.compile(rb"(.)\1+", re.S)
@@ -86,6 +86,7 @@ def bucket_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
             for t in batch["text"]:
                 total += np.bincount(buckets_of(t.encode()), minlength=BUCKETS)
         at = np.flatnonzero(total)
+        _forms.clear()  # workers outlive their task
         yield pd.DataFrame({"bucket": at, "n": total[at]})
 
     rows = (
@@ -120,6 +121,7 @@ def importance(text: Column, ratio: np.ndarray, span: int) -> Column:
                 if t is not None and len(b := buckets_of(t.encode())):
                     out[i] = span * ratio[b].mean()
             yield pd.Series(out)
+        _forms.clear()
 
     return score(text)
 

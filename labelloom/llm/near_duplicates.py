@@ -42,7 +42,7 @@ from labelloom.llm.common import stage, with_broadcast_if_small
 
 BANDS, ROWS = 32, 4
 SAMPLE_BITS, SET_BITS = 512, 1024
-CACHED_WORDS = 400_000
+CACHED_WORDS = 100_000
 #: Rows up to which a table of ids is broadcast.
 BROADCAST_ROWS = 500_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -117,6 +117,7 @@ def sketches(text: Column, width: int) -> Column:
     def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             yield pd.DataFrame([sketch_of(t, width) for t in texts], columns=["n", "s1", "s2", "bands", "samples", "parity"])
+        _words.clear()  # workers outlive their task
 
     return sketch(text)
 
@@ -126,6 +127,7 @@ def shingle_sets(text: Column, width: int) -> Column:
     def sets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([shingles(t, width).view(np.int64) for t in texts])
+        _words.clear()
 
     return sets(text)
 
