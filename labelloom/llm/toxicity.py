@@ -58,6 +58,9 @@ class Trie:
             self.fuzzy[at] |= not is_stem and len(term) >= FUZZY_LETTERS
         lengths = [len(w) for w in words if len(w) >= FUZZY_LETTERS]
         self.fuzzy_lengths = (min(lengths, default=0) - 1, max(lengths, default=-2) + 1)
+        # one edit leaves a term's first two letters or all after them as they are, so one of these is in place
+        self.heads = frozenset(w[:2] for w in words if len(w) >= FUZZY_LETTERS)
+        self.tails = frozenset(w[-3:] for w in words if len(w) >= FUZZY_LETTERS)
 
     def match(self, word: str) -> int:
         at = 0
@@ -70,8 +73,9 @@ class Trie:
         else:
             if self.word[at]:
                 return EXACT
-        if self.fuzzy_lengths[0] <= len(word) <= self.fuzzy_lengths[1] and word not in self.clean and self.within_one_edit(word):
-            return FUZZY
+        if self.fuzzy_lengths[0] <= len(word) <= self.fuzzy_lengths[1] and (word[:2] in self.heads or word[-3:] in self.tails):
+            if word not in self.clean and self.within_one_edit(word):
+                return FUZZY
         return NONE
 
     def within_one_edit(self, word: str) -> bool:
