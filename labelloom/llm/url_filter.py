@@ -2,16 +2,18 @@
 
 Under each host, paths are split into segments. Segments that look variable
 (numbers, long hexadecimal strings, dates) become wildcards at once, which
-also pre-aggregates a host of any size to its templates; a segment position
-with too many rare values becomes a wildcard too. Sibling branches whose
-labelled shares of bad URLs don't differ by more than chance are merged. A
-template is rejected when its labelled purity, smoothed towards its host's and
-that towards the prior, reaches the threshold. URLs that rules decide are the
+also pre-aggregates a host of any size to its templates; the unlabelled ones
+of too many rare values at a segment position become a wildcard too. Labelled
+sibling branches whose shares of bad URLs don't differ by more than chance are
+merged, shown as ?. A template is rejected when its labelled purity, smoothed
+towards the prior, reaches the threshold. One without labels is judged by the
+nearest branch above it that has some; a host is no branch, so what lies under
+other branches of the host is no evidence. URLs that rules decide are the
 labelled ones.
 
 A null URL and one without "://" have an empty host and path; they make one
 template of their own. Repeated URLs count each. Without labels nothing is
-rejected. Labels reach only the templates of their own host.
+rejected. Labels reach only the templates of their own branch.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from labelloom.llm.common import stage
 
 #: Segments that the tree holds; what follows them belongs to the last.
 DEPTH = 4
+#: Merged branches; no segment holds one, so they stay apart from wildcards.
+MERGED = "?"
 
 
 @dataclass(frozen=True)
@@ -87,16 +91,17 @@ def template_verdicts(
         at = nodes.select("host", parent.alias("parent"), seg.alias("seg"), "n", "bad", "labelled").where(F.col("seg").isNotNull())
         values = at.groupBy("host", "parent", "seg").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled"))
         above = values.groupBy("host", "parent").agg(
-            F.count("*").alias("values"), F.sum("n").alias("all_n"), F.sum("bad").alias("all_bad"), F.sum("labelled").alias("all_labelled")
-        )
+            F.count("*").alias("values"), F.sum("n").alias("all_n"), F.sum("bad").alias("all_bad"), F.sum("labelled").alias("all_labelled"),
+            F.count_if(F.col("labelled") > 0).alias("labelled_values"),
+        )
         # a branch is like its siblings if its share is within chance of theirs
         p = _shares("all_bad", "all_labelled")
         error = F.sqrt(F.greatest(p * (1 - p), F.lit(0.01)) / F.greatest(F.col("labelled"), F.lit(1.0)))
         alike = F.abs(_shares("bad", "labelled") - p) <= chance_z * error
         variable = (F.col("values") > most_values) & (F.col("all_n") < least_support * F.col("values"))
-        merged = F.col("values") > 1
-        merge = variable | (merged & (F.col("labelled") > 0) & alike)
-        wild = values.join(above, ["host", "parent"]).select("host", "parent", "seg", F.when(merge, F.lit("*")).otherwise(F.col("seg")).alias("to"))
+        known = F.col("labelled") > 0
+        to = F.when(known & (F.col("labelled_values") > 1) & alike, F.lit(MERGED)).when(~known & variable, F.lit("*")).otherwise(F.col("seg"))
+        wild = values.join(above, ["host", "parent"]).select("host", "parent", "seg", to.alias("to"))
         nodes = stage(
             nodes.withColumn("parent", parent)
             .withColumn("seg", seg)
@@ -110,14 +115,17 @@ def template_verdicts(
             .drop("parent", "seg", "to"),
             "url-templates",
         )
-    by_host = nodes.groupBy("host").agg(F.sum("bad").alias("host_bad"), F.sum("labelled").alias("host_labelled"))
-    by_template = nodes.groupBy("host", "template").agg(F.sum("bad").alias("t_bad"), F.sum("labelled").alias("t_labelled"))
-    host_purity = (F.col("host_bad") + smoothing * prior) / (F.col("host_labelled") + smoothing)
-    purity = (F.col("t_bad") + smoothing * host_purity) / (F.col("t_labelled") + smoothing)
+    own = nodes.groupBy("host", "template").agg(F.sum("bad").alias("t_bad"), F.sum("labelled").alias("t_labelled"))
+    at = F.explode(F.transform(F.sequence(F.lit(1), F.size("template")), lambda k: F.slice("template", 1, k)))
+    known, unknown = (own.where(w).withColumn("branch", at) for w in ("t_labelled > 0", "t_labelled = 0"))
+    branches = known.groupBy("host", "branch").agg(F.sum("t_bad").alias("b_bad"), F.sum("t_labelled").alias("b_labelled"))
+    nearest = unknown.join(branches, ["host", "branch"]).groupBy("host", "template").agg(F.max_by(F.struct("b_bad", "b_labelled"), F.size("branch")).alias("b"))
+    judged = own.join(nearest, ["host", "template"], "left")
+    bad, labelled = (F.coalesce(f"b.b_{c}", f"t_{c}") for c in ("bad", "labelled"))
+    judged = judged.select("host", "template", ((bad + smoothing * prior) / (labelled + smoothing)).alias("purity"))
     return (
-        nodes.join(by_template, ["host", "template"])
-        .join(by_host, "host")
-        .select("host", "shape", F.concat(F.lit("/"), F.array_join("template", "/")).alias("template"), purity.alias("purity"))
+        nodes.join(judged, ["host", "template"])
+        .select("host", "shape", F.concat(F.lit("/"), F.array_join("template", "/")).alias("template"), "purity")
         .withColumn("verdict", F.when(F.col("purity") >= threshold, "block").otherwise("allow"))
     )
 

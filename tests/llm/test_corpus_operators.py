@@ -178,6 +178,21 @@ def test_templates_follow_labels(spark):
     assert url_filter.filter_urls(spark.createDataFrame([], "page_id bigint, url string"), queries.URL_RULES).count() == 0
 
 
+def test_templates_without_labels_are_not_blocked_for_their_host(spark):
+    """Blocks under one branch of a host say nothing of its others, however many or rare those are."""
+    rows = [("h", ["de", "*"], 1)] * 40 + [("h", ["en", "*"], None)] * 9 + [("h", ["*", "*"], None), ("h", ["de", "x", "y"], None), ("h", ["de"], None)]
+    rows += [("r", ["de", "*"], 1)] * 9 + [("r", [f"v{n}", "*"], None) for n in range(90)]
+    rows += [("m", [p, "*"], 1) for p in ("de", "at") for _ in range(9)] + [("m", ["*", "*"], None), ("m", ["en"], None)]
+    rows += [("f", ["de", "*"], 1)] * 2 + [("f", ["en", "*"], None)]
+    # below a branch of one kind rare values share its verdict
+    rows += [("b", ["ads", f"v{n}"], 1 if n < 9 else None) for n in range(90)] + [("b", ["news", "x"], 0), ("b", ["news", "y"], None)]
+    got = url_filter.template_verdicts(spark.createDataFrame(rows, "host string, shape array<string>, bad int")).collect()
+    blocked = {(r.host, r["shape"][0]) for r in got if r.verdict == "block"}
+    assert len(got) == len({(h, *s) for h, s, _ in rows})
+    assert blocked == {("h", "de"), ("r", "de"), ("m", "de"), ("m", "at"), ("b", "ads")}
+    assert all(r.verdict == "block" for r in got if (r.host, r["shape"][0]) in blocked)
+
+
 # ---- near duplicates ----
 
 
