@@ -8,9 +8,11 @@ on disk tell, deleted ones included.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labelloom.staging import stage
+
 SCHEMA = (
     "id bigint, inspection_id string, created_at string, decision string, notes string, product_name string, mrp string, net_quantity string, batch_number string, "
     "manufacturer string, consumer_care string, country_of_origin string, manufacturing_date string, expiry_date string, compliance_percent double, applicable_rules int, "
@@ -24,8 +26,26 @@ def inspection_id(number: Column) -> Column:
 
 
 def with_numbers(records: DataFrame, above: int, *order: str) -> DataFrame:
-    """Numbers after `above` in the given order. Records of one save are few; a bulk load may number them itself."""
-    numbered = records.withColumn("id", (F.row_number().over(Window.orderBy(*order)) + F.lit(above)).cast("bigint"))
+    """Numbers after `above` in the given order, for any number of records; equal ones come in any order.
+
+    Records go by ranges of the order to tasks that count their own, and the counts of the ranges before are added. A
+    record's place is written down, as another run may cut the ranges elsewhere.
+    """
+    spark = records.sparkSession
+    void = [f.name for f in records.schema if f.dataType.typeName() == "void"]  # not for Parquet
+    apart = records.drop(*void).withColumn("_tie", F.monotonically_increasing_id())
+    placed = apart.repartitionByRange(*order, "_tie").sortWithinPartitions(*order, "_tie").withColumn("_place", F.monotonically_increasing_id())
+    # a place is the range's number in the upper bits and the record's, from 0, in the lower 33
+    within = F.col("_place").bitwiseAND((1 << 33) - 1)
+    placed = stage(placed.drop("_tie").withColumn("_range", F.shiftright("_place", 33)).withColumn("_place", within), "numbered")
+    starts, start = [], above
+    for part, n in sorted(placed.groupBy("_range").agg(F.max("_place") + 1).collect()):
+        starts.append((part, start + 1))
+        start += n
+    # one row a range, as many as tasks
+    first = F.broadcast(spark.createDataFrame(starts, "_range bigint, _first bigint"))
+    numbered = placed.join(first, "_range").withColumn("id", F.col("_first") + F.col("_place"))
+    numbered = numbered.select(*(F.lit(None).alias(c) if c in void else F.col(c) for c in records.columns), "id")
     return numbered.withColumn("inspection_id", inspection_id(F.col("id")))
 
 

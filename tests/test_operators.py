@@ -14,7 +14,7 @@ from labelloom.operators.fields import extract_fields
 from labelloom.operators.fusion import validated
 from labelloom.plans.package_analysis import analyse
 from labelloom.sources.images import fingerprint, package_images, signature
-from labelloom.sources.store import InspectionStore
+from labelloom.sources.store import InspectionStore, with_numbers
 from labelloom.streaming.line_files import stream_packages
 
 LINE = "package_id bigint, index int, text string, confidence double, box array<array<double>>, source string"
@@ -110,6 +110,20 @@ def test_store_never_gives_a_number_twice(spark, tmp_path):
     assert [r.id for r in store.list(0).collect()] == [3] and store.list(None).count() == 2
 
 
+def test_all_orders_are_numbered_in_many_tasks(spark):
+    orders = spark.read.parquet("/root/testdata/sf0.01/orders.parquet").select("o_orderdate", "o_orderkey", "o_orderstatus").repartition(7)
+    got = with_numbers(orders.withColumn("none", F.lit(None)), 7, "o_orderdate", "o_orderkey")
+    assert got.columns == ["o_orderdate", "o_orderkey", "o_orderstatus", "none", "id", "inspection_id"]
+    assert not [line for line in got._jdf.queryExecution().toString().splitlines() if "SinglePartition" in line or "Window" in line]
+    want = sorted((r.o_orderdate, r.o_orderkey) for r in orders.collect())
+    assert [(r.o_orderdate, r.o_orderkey) for r in got.orderBy("id").collect()] == want
+    assert [r.id for r in got.orderBy("id").select("id").collect()] == list(range(8, len(want) + 8))
+    # equal records, too, are each numbered once
+    same = with_numbers(spark.range(0, 5000, 1, 5).select(F.lit("x").alias("decision")), 0, "decision")
+    assert sorted(r.id for r in same.collect()) == list(range(1, 5001))
+    assert with_numbers(orders.limit(0), 3, "o_orderkey").count() == 0
+
+
 def test_images(spark, tmp_path):
     for package, content in (("a", b"one"), ("b", b"two")):
         (tmp_path / package).mkdir()
