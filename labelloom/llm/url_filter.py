@@ -9,7 +9,8 @@ merged, shown as ?. A template is rejected when its labelled purity, smoothed
 towards the prior, reaches the threshold. One without labels is judged by the
 nearest branch above it that has some; a host is no branch, so what lies under
 other branches of the host is no evidence. URLs that rules decide are the
-labelled ones.
+labelled ones. The tree is as deep as the paths are; levels at which no branch
+has a sibling are passed over.
 
 A null URL and one without "://" have an empty host and path; they make one
 template of their own. Repeated URLs count each. Without labels nothing is
@@ -25,8 +26,6 @@ from pyspark.sql import functions as F
 
 from labelloom.llm.common import stage
 
-#: Segments that the tree holds; what follows them belongs to the last.
-DEPTH = 4
 #: Merged branches; no segment holds one, so they stay apart from wildcards.
 MERGED = "?"
 
@@ -73,6 +72,15 @@ def _shares(bad: str, labelled: str) -> Column:
     return F.coalesce(F.try_divide(F.col(bad).cast("double"), F.col(labelled)), F.lit(0.0))
 
 
+def _next_siblings(nodes: DataFrame, level: int) -> int | None:
+    """The first level, from this one on, at which some branch has a sibling."""
+    below = F.sequence(F.lit(level), F.size("template") - 1)
+    at = nodes.where(F.size("template") > level).select("host", "template", F.explode(below).alias("level"))
+    at = at.select("host", "level", F.xxhash64(F.slice("template", F.lit(1), F.col("level"))).alias("parent"), F.get("template", "level").alias("seg"))
+    several = at.groupBy("host", "level", "parent").agg(F.min("seg").alias("low"), F.max("seg").alias("high")).where("low < high")
+    return several.agg(F.min("level")).first()[0]
+
+
 def template_verdicts(
     urls: DataFrame, most_values: int = 64, least_support: float = 3.0, chance_z: float = 1.96, smoothing: float = 4.0,
     prior: float = 0.1, threshold: float = 0.5,
@@ -85,7 +93,8 @@ def template_verdicts(
         F.count("*").alias("n"), F.sum("bad").cast("double").alias("bad"), F.count("bad").cast("double").alias("labelled")
     ).na.fill(0.0, ["bad"])
     nodes = stage(nodes.withColumn("template", F.col("shape")), "url-templates")
-    for level in range(DEPTH):
+    level = -1
+    while (level := _next_siblings(nodes, level + 1)) is not None:
         # values of one position below the same parent: too many rare ones are a variable
         seg, parent = F.get(F.col("template"), F.lit(level)), F.slice(F.col("template"), 1, level)
         at = nodes.select("host", parent.alias("parent"), seg.alias("seg"), "n", "bad", "labelled").where(F.col("seg").isNotNull())
@@ -109,7 +118,7 @@ def template_verdicts(
             .withColumn(
                 "template",
                 F.when(F.col("to").isNull(), F.col("template")).otherwise(
-                    F.concat(F.col("parent"), F.array("to"), F.slice(F.col("template"), level + 2, DEPTH))
+                    F.concat(F.col("parent"), F.array("to"), F.slice(F.col("template"), F.lit(level + 2), F.size("template")))
                 ),
             )
             .drop("parent", "seg", "to"),
@@ -138,7 +147,7 @@ def filter_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", ur
         pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
         .withColumn("rule", rule)
         .withColumn("rule_verdict", verdict)
-        .withColumn("shape", F.slice(F.transform(F.split(F.regexp_replace("path", "^/", ""), "/"), _generalised), 1, DEPTH))
+        .withColumn("shape", F.transform(F.split(F.regexp_replace("path", "^/", ""), "/"), _generalised))
     )
     bad = F.when(F.col("rule_verdict") == "block", 1).when(F.col("rule_verdict") == "allow", 0)
     judged = template_verdicts(urls.select("host", "shape", bad.alias("bad")), **parameters)

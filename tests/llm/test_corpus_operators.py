@@ -193,6 +193,18 @@ def test_templates_without_labels_are_not_blocked_for_their_host(spark):
     assert all(r.verdict == "block" for r in got if (r.host, r["shape"][0]) in blocked)
 
 
+def test_deep_branches_have_templates_of_their_own(spark):
+    """Labels below the sixth segment decide there, and long single branches cost no levels."""
+    urls = [f"http://x.org/a/b/c/d/e/{kind}/{n}" for kind in ("ads", "news") for n in range(9)] + ["http://x.org/" + "s/" * 500 + "end"]
+    rules = [url_filter.Rule("block", "x.org", f"/a/b/c/d/e/ads/{n}") for n in range(8)] + [url_filter.Rule("allow", "x.org", "/a/b/c/d/e/news/1")]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    got = {urls[r.page_id]: r for r in url_filter.filter_urls(pages, rules).collect()}
+    ads, news = (got[f"http://x.org/a/b/c/d/e/{kind}/8"] for kind in ("ads", "news"))
+    assert len(got) == 19 and not ads.rule and not news.rule
+    assert (ads.verdict, news.verdict) == ("block", "allow") and ads.template != news.template
+    assert got[urls[-1]].template.endswith("/s/end")
+
+
 # ---- near duplicates ----
 
 
