@@ -19,6 +19,7 @@ from labelloom.llm.mixing import mix_sources, mixed_documents
 from labelloom.llm.near_duplicates import near_duplicates
 from labelloom.llm.token_files import read_token_files, write_token_files
 from labelloom.shipping import ship_package
+from labelloom.sources.store import with_numbers
 
 #: Rows up to which ids of rejected documents are broadcast.
 BROADCAST_ROWS = 500_000
@@ -31,18 +32,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.where(draw.kept(F.col("doc_id"), F.col("text")))
 
 
+def _own_numbers(docs: DataFrame) -> DataFrame:
+    """(_row, _doc): one row of each id and text under a number of its own, in the order of the ids; null where the id is."""
+    d = docs.select("doc_id", F.xxhash64("text").alias("_hash"), F.struct(*docs.columns).alias("_doc"))
+    once = d.where("doc_id is not null").dropDuplicates(["doc_id", "_hash"])
+    numbered = with_numbers(once, 0, "doc_id", "_hash").select(F.col("id").alias("_row"), "_doc")
+    return numbered.unionByName(d.where("doc_id is null").select(F.lit(None).cast("long").alias("_row"), "_doc"))
+
+
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, and one row of each id."""
+    """One document of each group of near duplicates; rows that share an id only go if their text is a copy."""
     ship_package(spark)
-    judged = near_duplicates(docs)
-    gone = judged.where(~F.col("kept")).select("doc_id")
-    kept = docs.join(with_broadcast_if_small(gone, gone.count(), BROADCAST_ROWS), "doc_id", "left_anti")
-    again = judged.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    many = again.count()
-    if not many:
-        return kept
-    again = with_broadcast_if_small(again, many, BROADCAST_ROWS)
-    return kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
+    several = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    # ids that are unique serve as they are, which spares a copy of the texts
+    rows = docs.select(F.col("doc_id").alias("_row"), F.struct(*docs.columns).alias("_doc")) if several.isEmpty() else _own_numbers(docs)
+    gone = near_duplicates(rows.select("_row", F.col("_doc.text").alias("text")), id_col="_row").where(~F.col("kept")).select("_row")
+    return rows.join(with_broadcast_if_small(gone, gone.count(), BROADCAST_ROWS), "_row", "left_anti").select("_doc.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -319,6 +319,21 @@ def test_decontamination_edges(spark):
 # ---- pipeline ----
 
 
+def test_rows_of_one_id_go_only_as_copies(spark):
+    rng = random.Random(5)
+    a, b, c, d, e = (words_from(rng, 60, 900) for _ in range(5))
+    near = lambda t: t + " tail"
+    rows = [(5, a), (5, b), (3, near(b)), (5, a), (5, near(a)), (7, c), (7, d), (9, near(c)), (11, near(d)), (12, e), (13, None), (13, None), (13, ""), (None, a), (None, a)]
+    docs = spark.createDataFrame([(i, t, "en", None, 0) for i, t in rows], DOC)
+    once = corpus_pipeline.deduplicate(spark, docs, DATA)
+    assert once.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in once.collect()), key=str)
+    (first,) = [x for x in got if x[0] == 5]
+    assert first in [(5, a), (5, near(a))]  # the near copies of one id leave one of them
+    want = [first, (3, near(b)), (7, c), (7, d), (12, e), (13, None), (13, ""), (None, a), (None, a)]
+    assert got == sorted(want, key=str)
+
+
 def test_pipeline_stage_by_stage(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     steps = dict(corpus_pipeline.STAGES)
