@@ -9,14 +9,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; where none is named (tests), one of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share.
+
+    Where none is named one is made and set, but only in local mode: on a cluster
+    a folder of the driver's machine would not be seen by the others.
+    """
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='labelloom-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not (context.master or "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='labelloom-')}")
+        found = context.getCheckpointDir()
     return found.rstrip("/")
 
 
+def _staged_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate table to the shared folder and read it back.
 
@@ -24,6 +35,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     re-run, and keeps a table that several branches use from being made twice.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_staged_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Remove all tables that this application staged; for when its results are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_staged_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
