@@ -8,8 +8,9 @@ banded; what shares a band is a candidate.
 Candidates are verified in steps, and never as all pairs of a bucket. In each
 bucket the most central member (the one with most company in all its buckets)
 is the hub, and every member is compared with it: linear work, which joins
-most of a large group. Then only members of one bucket that are still in
-different components are compared. What decides:
+most of a large group. Members of one bucket that are still in different
+components are open; of these, pairs from different components that share one
+of their rarest shingles are compared. What decides:
 
 * an odd sketch: the MinHash samples folded into a parity bitmap; the bits in
   which two bitmaps differ estimate how many samples differ. Pairs six standard
@@ -22,8 +23,9 @@ Links go into components by alternating large and small stars.
 
 Null texts and texts without words have no set and no links. Texts of fewer
 words than a shingle are one shingle of all their words. Rows are judged each
-by its own text: repeated rows are copies of each other, kept by their id. A
-null id takes no part: component null, kept. Ids are integers.
+by its own text, also where several texts share an id: repeated rows are copies
+of each other, kept by their id. A null id takes no part: component null, kept.
+Ids are integers. An empty table gives no rows; other columns don't matter.
 
 Banding misses a pair at the threshold of 0.8 with a chance of 1e-7 or less.
 """
@@ -35,16 +37,19 @@ from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelloom.llm.common import stage, with_broadcast_if_small
+from labelloom.llm.common import join_spread, stage, with_broadcast_if_small
+from labelloom.sources.store import with_numbers
 
 BANDS, ROWS = 32, 4
 SAMPLE_BITS, SET_BITS = 512, 1024
 CACHED_WORDS = 100_000
 #: Rows up to which a table of ids is broadcast.
 BROADCAST_ROWS = 500_000
+#: Pairs of a hub for which one copy of its set is sent.
+SPREAD = 1024
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -165,67 +170,141 @@ def _close(a: str, b: str, percent: int) -> Column:
     return apart & (_differing(f"{a}.samples", f"{b}.samples", SAMPLE_BITS) <= int(most))
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+def _sets_of(nodes: DataFrame, classes: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """(node, s): the full sets of some classes, each made anew from the text of its representative."""
+    wanted = classes.join(with_broadcast_if_small(nodes, nodes.count(), BROADCAST_ROWS), "node").select("node", "rep", "rep_hash")
+    wanted = stage(wanted, "wanted").alias("w")
+    t = texts.alias("t")
+    same = (F.col("t.doc_id") == F.col("w.rep")) & (F.xxhash64("t.text") == F.col("w.rep_hash"))
+    found = t.join(with_broadcast_if_small(wanted, nodes.count(), BROADCAST_ROWS), same).select("w.node", "t.text")
+    sets = found.select("node", shingle_sets(F.col("text"), width).alias("s"))
+    return stage(sets.dropDuplicates(["node"]), "sets")  # the row itself may be repeated
+
+
+def _similar(common: Column, x: Column, y: Column, percent: int) -> Column:
+    return 100 * common >= percent * (x + y - common)
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough.
+
+    A set b in many pairs is copied for every SPREAD of them, so that no task
+    gets all the pairs of a hub.
+    """
     pairs = stage(pairs.distinct(), "pairs")
-    ids = stage(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "pair-ids")
-    wanted = texts.join(with_broadcast_if_small(ids, ids.count(), BROADCAST_ROWS), "doc_id", "left_semi")
-    sets = stage(wanted.select("doc_id", shingle_sets(F.col("text"), width).alias("s")), "sets")
+    often = stage(pairs.groupBy("b").agg(F.count("*").alias("n")).where(F.col("n") > SPREAD), "hubs")
+    copies = often.select("b", F.ceil(F.col("n") / SPREAD).cast("int").alias("copies"))
+    copies = with_broadcast_if_small(copies, copies.count(), BROADCAST_ROWS)
+    dealt = pairs.join(copies, "b", "left").withColumn("copy", F.pmod(F.xxhash64("a"), F.coalesce("copies", F.lit(1))))
+    right = sets.withColumnRenamed("node", "b").join(copies, "b", "left")
+    right = right.select("b", F.col("s").alias("sb"), F.explode(F.sequence(F.lit(0).cast("long"), (F.coalesce("copies", F.lit(1)) - 1).cast("long"))).alias("copy"))
+    left = dealt.select("a", "b", F.col("copy").cast("long").alias("copy")).join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
     common = F.size(F.array_intersect("sa", "sb"))
+    return left.join(right, ["b", "copy"]).where(_similar(common, F.size("sa"), F.size("sb"), percent)).select("a", "b")
+
+
+def _apart(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of open members, from different components, that may be similar.
+
+    Two similar sets have one of their rarest shingles in common, of as many as
+    one may lack and one more (in any order that all share; rarest first makes
+    the keys short). What many texts share is no key of any of them then. Under
+    a key every pair has a member outside its largest component, so only those
+    are compared with all: a group already joined costs nothing.
+    """
+    each = sets.join(open_.select("node", "component", "k"), "node")
+    shingled = stage(each.select("node", "component", F.col("k.n").alias("n"), F.explode("s").alias("g")), "open-shingles")
+    common = stage(shingled.groupBy("g").agg(F.count("*").alias("f")).where("f > 1"), "open-frequencies")
+    met = join_spread(shingled, common, ["g"], "f")
+    rarest = Window.partitionBy("node").orderBy("f", "g")
+    # shingles of one text alone come first in its order and match nothing
+    keep = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.count("*").over(Window.partitionBy("node")))
+    keys = met.withColumn("place", F.row_number().over(rarest)).withColumn("keep", keep).where("place <= keep").select("node", "component", "g")
+    keys = stage(keys, "open-keys")
+    parts = keys.groupBy("g", "component").agg(F.count("*").alias("n"))
+    largest = parts.groupBy("g").agg(F.max(F.struct("n", "component"))["component"].alias("largest"), F.count("*").alias("parts"), F.sum("n").alias("f"))
+    largest = stage(largest.where("parts > 1").select("g", "largest", "f"), "open-parts")
+    seen = stage(join_spread(keys, largest, ["g"], "f"), "open-seen")
+    x = seen.where("component <> largest").select("g", F.col("node").alias("x"), F.col("component").alias("cx"))
+    y = seen.select("g", F.col("node").alias("y"), F.col("component").alias("cy"))
+    pairs = x.join(y, "g").where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return _plausible(pairs, open_, percent)
+
+
+def _plausible(pairs: DataFrame, sketched: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sketches don't rule them out."""
     return (
-        pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a")
-        .join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
-        .where(100 * common >= percent * (F.size("sa") + F.size("sb") - common))
+        pairs.join(sketched.select(F.col("node").alias("a"), F.col("k").alias("ka")), "a")
+        .join(sketched.select(F.col("node").alias("b"), F.col("k").alias("kb")), "b")
+        .where(_close("ka", "kb", percent))
         .select("a", "b")
     )
 
 
+def _classes(rows: DataFrame) -> DataFrame:
+    """One row a set: (node, n, s1, s2, copies, rep, rep_hash), nodes numbered in the order of their smallest ids."""
+    first = F.min(F.struct("doc_id", "text_hash"))
+    told = rows.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(first.alias("first"), F.count("*").alias("copies"))
+    told = told.select("n", "s1", "s2", "copies", F.col("first.doc_id").alias("rep"), F.col("first.text_hash").alias("rep_hash"))
+    return stage(with_numbers(told, 0, "rep", "rep_hash", "s1", "s2").withColumnRenamed("id", "node").drop("inspection_id"), "classes")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id, kept) of every row."""
+    """(id, text_hash, n_shingles, component_id, kept, leads) of every row.
+
+    `kept` is true for the rows of the component's smallest id; `leads` for those
+    of them that are one text, of several that share this id the one of the
+    smallest hash. Rows without links or without id lead.
+    """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = stage(texts.select("doc_id", sketches(F.col("text"), width).alias("s")).select("doc_id", "s.*"), "sketches")
-    classes = stage(
-        rows.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")), "classes"
-    )
+    rows = stage(texts.select("doc_id", F.xxhash64("text").alias("text_hash"), sketches(F.col("text"), width).alias("s")).select("doc_id", "text_hash", "s.*"), "sketches")
+    classes = _classes(rows)
+    own = rows.drop("n", "s1", "s2").withColumnsRenamed({"doc_id": "rep", "text_hash": "rep_hash"})
     reps = stage(
-        rows.drop("n").withColumnRenamed("doc_id", "rep").join(classes, ["rep", "s1", "s2"]).select("rep", "n", "bands", "samples", "parity").dropDuplicates(["rep"]),
+        own.join(classes.select("node", "n", "rep", "rep_hash"), ["rep", "rep_hash"]).select("node", "n", "bands", "samples", "parity").dropDuplicates(["node"]),
         "representatives",
     )
-    banded = reps.select("rep", F.posexplode("bands").alias("band", "value")).select("rep", F.xxhash64("band", "value").alias("key"))
-    shared = banded.groupBy("key").agg(F.count("*").alias("company")).where("company > 1")
-    members = stage(banded.join(shared, "key"), "bucket-members")
-    central = members.groupBy("rep").agg(F.sum("company").alias("score"))
-    hubs = members.join(central, "rep").groupBy("key").agg(F.max(F.struct(F.col("score"), (-F.col("rep")).alias("less"))).alias("best"))
-    hubs = hubs.select("key", (-F.col("best.less")).alias("hub"))
-    sketch = reps.select("rep", F.struct("n", "samples", "parity").alias("k"))
-
-    pairs = members.join(hubs, "key").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-    pairs = (
-        pairs.join(sketch.select(F.col("rep").alias("a"), F.col("k").alias("ka")), "a")
-        .join(sketch.select(F.col("rep").alias("b"), F.col("k").alias("kb")), "b")
-        .where(_close("ka", "kb", percent))
-        .select("a", "b")
-    )
-    links = stage(_confirmed(pairs, texts, width, percent), "links")
+    banded = stage(reps.select("node", F.posexplode("bands").alias("band", "value")).select("node", F.xxhash64("band", "value").alias("key")), "banded")
+    shared = stage(banded.groupBy("key").agg(F.count("*").alias("company")).where("company > 1"), "buckets")
+    members = stage(join_spread(banded, shared, ["key"], "company"), "bucket-members")
+    central = members.groupBy("node").agg(F.sum("company").alias("score"))
+    hubs = members.join(central, "node").groupBy("key").agg(F.max(F.struct(F.col("score"), (-F.col("node")).alias("less"))).alias("best"), F.max("company").alias("company"))
+    hubs = stage(hubs.select("key", (-F.col("best.less")).alias("hub"), "company"), "hubs")
+    sketched = reps.select("node", F.struct("n", "samples", "parity").alias("k"))
+
+    pairs = join_spread(members.select("key", "node"), hubs, ["key"], "company").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    pairs = stage(_plausible(pairs, sketched, percent), "hub-pairs")
+    met = stage(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "met")
+    links = stage(_confirmed(pairs, _sets_of(met, classes, texts, width), percent), "links")
     found = connected(links)
 
     # what is still apart in a bucket; members of one component need no comparison
-    placed = members.select("key", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    placed = stage(placed, "placed-members")
-    apart = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    open_ = stage(placed.join(apart, "key", "left_semi").join(sketch, "rep"), "open-members")
-    x, y = (open_.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("rep", "component", "k"))) for side in "xy")
-    rest = x.join(y, (x["key"] == y["key"]) & (F.col("rep_x") < F.col("rep_y")) & (F.col("component_x") != F.col("component_y")) & _close("k_x", "k_y", percent))
-    more = stage(_confirmed(rest.select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")), texts, width, percent), "links")
+    placed = members.join(found.withColumnRenamed("node", "n").withColumnRenamed("component", "c"), F.col("node") == F.col("n"), "left")
+    placed = stage(placed.select("key", "node", F.coalesce("c", "node").alias("component")), "placed-members")
+    open_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("company")).where("low < high")
+    open_keys = stage(open_keys.select("key", "company"), "open-buckets")
+    open_nodes = stage(join_spread(placed, open_keys, ["key"], "company").select("node", "component").distinct(), "open-nodes")
+    open_ = stage(open_nodes.join(sketched, "node"), "open-members")
+    sets = _sets_of(open_.select("node"), classes, texts, width)
+    more = stage(_confirmed(_apart(open_, sets, percent), sets, percent), "links")
     if not more.isEmpty():
         found = connected(links.unionByName(more))
 
-    labels = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("label"))
-    labelled = rows.select("doc_id", "n", "s1", "s2").join(labels, ["n", "s1", "s2"], "left")
-    component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("label", "doc_id"))
-    return labelled.select(
-        F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id")
-    ).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
+    # numbers follow the smallest ids, so the smallest node of a component is that of its smallest id
+    component = classes.join(found, "node", "left").select("n", "s1", "s2", "copies", "node", F.coalesce("component", "node").alias("top"))
+    tops = classes.select(F.col("node").alias("top"), F.col("rep").alias("label"), F.col("rep_hash").alias("label_hash"))
+    sizes = component.groupBy("top").agg(F.count("*").alias("classes"))
+    tops = stage(tops.join(sizes, "top"), "components")
+    labels = stage(join_spread(component, tops, ["top"], "classes").select("n", "s1", "s2", "copies", "label", "label_hash"), "labels")
+    with_set = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    slim = rows.select("doc_id", "text_hash", "n", "s1", "s2")
+    linked = join_spread(slim.where(with_set), labels, ["n", "s1", "s2"], "copies").select("doc_id", "text_hash", "n", "label", "label_hash")
+    alone = slim.where(~with_set).select("doc_id", "text_hash", "n", F.col("doc_id").alias("label"), F.col("text_hash").alias("label_hash"))
+    kept = F.col("doc_id").eqNullSafe(F.col("label"))
+    return linked.unionByName(alone).select(
+        F.col("doc_id").alias(id_col), "text_hash", F.col("n").alias("n_shingles"), F.col("label").alias("component_id"), kept.alias("kept"),
+        (kept & (F.col("text_hash") == F.col("label_hash"))).alias("leads"),
+    )
 
 
 def oracle(percent: int = 80) -> str:

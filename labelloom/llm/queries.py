@@ -74,7 +74,8 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates.near_duplicates(_table(spark, sf_dir, "documents"), width=2)
+    found = near_duplicates.near_duplicates(_table(spark, sf_dir, "documents"), width=2)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
