@@ -2,19 +2,26 @@
 
 Under each host, paths are split into segments. Segments that look variable
 (numbers, long hexadecimal strings, dates) become wildcards at once, which
-also pre-aggregates a host of any size to its templates; the unlabelled ones
-of too many rare values at a segment position become a wildcard too. Labelled
-sibling branches whose shares of bad URLs don't differ by more than chance are
-merged, shown as ?. A template is rejected when its labelled purity, smoothed
-towards the prior, reaches the threshold. One without labels is judged by the
-nearest branch above it that has some; a host is no branch, so what lies under
-other branches of the host is no evidence. URLs that rules decide are the
-labelled ones. The tree is as deep as the paths are; levels at which no branch
-has a sibling are passed over.
+also pre-aggregates a host of any size to its templates. Then branches that
+are alike are merged, level by level: labelled siblings whose shares of bad
+URLs don't differ by more than chance, shown as ?; siblings without labels
+that have the same shapes below them, or are too many rare values of one
+segment, shown as #.
+
+Labelled purity is smoothed along the tree. A template's is the share of bad
+URLs among its own labelled rows or, where it has none, among those of the
+nearest branch above it that has some. It is drawn, with the weight of
+`smoothing` rows, towards what the host's other branches say: the mean of their
+shares, each branch once however many rows it has, drawn towards the prior by
+the weight of `smoothing` branches. So what has no labels in its own branch is
+rejected only where several other branches are bad, not for one large one.
+A template is rejected when its purity reaches the threshold. URLs that rules
+decide are the labelled ones. The tree is as deep as the paths are; levels at
+which no branch has a sibling are passed over.
 
 A null URL and one without "://" have an empty host and path; they make one
 template of their own. Repeated URLs count each. Without labels nothing is
-rejected. Labels reach only the templates of their own branch.
+rejected. An empty table gives no rows; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -26,8 +33,8 @@ from pyspark.sql import functions as F
 
 from labelloom.llm.common import stage
 
-#: Merged branches; no segment holds one, so they stay apart from wildcards.
-MERGED = "?"
+#: Merged branches, with labels and without; no segment holds one, so they stay apart from wildcards and from each other.
+MERGED, UNKNOWN = "?", "#"
 
 
 @dataclass(frozen=True)
@@ -99,6 +106,13 @@ def template_verdicts(
         seg, parent = F.get(F.col("template"), F.lit(level)), F.slice(F.col("template"), 1, level)
         at = nodes.select("host", parent.alias("parent"), seg.alias("seg"), "n", "bad", "labelled").where(F.col("seg").isNotNull())
         values = at.groupBy("host", "parent", "seg").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled"))
+        # branches without labels are alike if what lies below them has the same shapes
+        below = F.slice("template", F.lit(level + 2), F.size("template"))
+        tails = nodes.where(F.size("template") > level).select("host", parent.alias("parent"), seg.alias("seg"), F.xxhash64(below).alias("tail")).distinct()
+        tails = tails.groupBy("host", "parent", "seg").agg(F.sum(F.col("tail").cast("decimal(20,0)")).alias("tails"))
+        values = values.join(tails, ["host", "parent", "seg"])
+        alike_below = values.where("labelled = 0").groupBy("host", "parent", "tails").agg(F.count("*").alias("same"))
+        values = values.join(alike_below, ["host", "parent", "tails"], "left")
         above = values.groupBy("host", "parent").agg(
             F.count("*").alias("values"), F.sum("n").alias("all_n"), F.sum("bad").alias("all_bad"), F.sum("labelled").alias("all_labelled"),
             F.count_if(F.col("labelled") > 0).alias("labelled_values"),
@@ -109,7 +123,7 @@ def template_verdicts(
         alike = F.abs(_shares("bad", "labelled") - p) <= chance_z * error
         variable = (F.col("values") > most_values) & (F.col("all_n") < least_support * F.col("values"))
         known = F.col("labelled") > 0
-        to = F.when(known & (F.col("labelled_values") > 1) & alike, F.lit(MERGED)).when(~known & variable, F.lit("*")).otherwise(F.col("seg"))
+        to = F.when(known & (F.col("labelled_values") > 1) & alike, F.lit(MERGED)).when(~known & (variable | (F.col("same") > 1)), F.lit(UNKNOWN)).otherwise(F.col("seg"))
         wild = values.join(above, ["host", "parent"]).select("host", "parent", "seg", to.alias("to"))
         nodes = stage(
             nodes.withColumn("parent", parent)
@@ -125,13 +139,21 @@ def template_verdicts(
             "url-templates",
         )
     own = nodes.groupBy("host", "template").agg(F.sum("bad").alias("t_bad"), F.sum("labelled").alias("t_labelled"))
-    at = F.explode(F.transform(F.sequence(F.lit(1), F.size("template")), lambda k: F.slice("template", 1, k)))
+    # the nearest branch with labels speaks for a template without
+    at = F.explode(F.transform(F.sequence(F.lit(1), F.size("template")), lambda k: F.slice("template", F.lit(1), k)))
     known, unknown = (own.where(w).withColumn("branch", at) for w in ("t_labelled > 0", "t_labelled = 0"))
     branches = known.groupBy("host", "branch").agg(F.sum("t_bad").alias("b_bad"), F.sum("t_labelled").alias("b_labelled"))
     nearest = unknown.join(branches, ["host", "branch"]).groupBy("host", "template").agg(F.max_by(F.struct("b_bad", "b_labelled"), F.size("branch")).alias("b"))
-    judged = own.join(nearest, ["host", "template"], "left")
+    # the host speaks through its other branches, each once however many rows it has; merged ones count as the branches they were
+    tops = nodes.where("labelled > 0").select("host", F.get("template", F.lit(0)).alias("top"), F.get("shape", F.lit(0)).alias("child"), "bad", "labelled")
+    tops = tops.groupBy("host", "top", "child").agg((F.sum("bad") / F.sum("labelled")).alias("share"))
+    tops = tops.groupBy("host", "top").agg(F.sum("share").alias("shares"), F.count("*").alias("children"))
+    hosts = tops.groupBy("host").agg(F.sum("shares").alias("all_shares"), F.sum("children").alias("all_children"))
+    judged = own.withColumn("top", F.get("template", F.lit(0))).join(tops, ["host", "top"], "left").join(hosts, "host", "left").join(nearest, ["host", "template"], "left")
+    others, n = (F.coalesce(f"all_{c}", F.lit(0.0)) - F.coalesce(c, F.lit(0.0)) for c in ("shares", "children"))
+    base = (others + smoothing * prior) / (n + smoothing)
     bad, labelled = (F.coalesce(f"b.b_{c}", f"t_{c}") for c in ("bad", "labelled"))
-    judged = judged.select("host", "template", ((bad + smoothing * prior) / (labelled + smoothing)).alias("purity"))
+    judged = judged.select("host", "template", ((bad + smoothing * base) / (labelled + smoothing)).alias("purity"))
     return (
         nodes.join(judged, ["host", "template"])
         .select("host", "shape", F.concat(F.lit("/"), F.array_join("template", "/")).alias("template"), "purity")
