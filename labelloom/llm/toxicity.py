@@ -4,8 +4,8 @@ The lexicon is learned from labelled training rows: words, and word stems of
 four to six letters, that occur in toxic rows far more often than chance
 allows. It is kept as a trie. For terms of five letters or more the trie is
 walked together with a Levenshtein automaton of one edit, so that a misspelled
-word reaches the term it was made from; forms that clean training rows
-contain don't count as misspellings. Every hit gets a score from the words and
+word reaches the term, or begins with the stem, it was made from; forms that
+clean training rows contain don't count as misspellings. Every hit gets a score from the words and
 quotation marks in the window around it, which tells quoted from direct use as
 far as the labels show a difference. Few numbers for each document (hits by
 kind, their window scores, its length) then go into a logistic regression.
@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelloom.llm.common import labelled_sample
+from labelloom.llm.common import labelled_rows, labelled_sample
 
 TOKEN = re.compile(r"[^\s]+")
 WINDOW = 5
@@ -35,7 +35,7 @@ FUZZY_LETTERS = 5
 CACHED_WORDS = 400_000
 QUOTES = "\"'«»“”„‘’"
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
-NONE, EXACT, FUZZY, STEM = 0, 1, 2, 3
+NONE, EXACT, FUZZY, STEM, NEAR_STEM = range(5)
 
 
 class Trie:
@@ -61,6 +61,22 @@ class Trie:
         # one edit leaves a term's first two letters or all after them as they are, so one of these is in place
         self.heads = frozenset(w[:2] for w in words if len(w) >= FUZZY_LETTERS)
         self.tails = frozenset(w[-3:] for w in words if len(w) >= FUZZY_LETTERS)
+        # the same for the beginning of a word and a stem, whose tail may have moved by a letter
+        self.fuzzy_stem = [s and d >= FUZZY_LETTERS for s, d in zip(self.stem, self._depths(), strict=True)]
+        long_stems = [s for s in stems if len(s) >= FUZZY_LETTERS]
+        self.stem_heads = frozenset(s[:2] for s in long_stems)
+        self.stem_tails = frozenset(s[-3:] for s in long_stems)
+        self.stem_starts = range(min(map(len, long_stems), default=9) - 4, max(map(len, long_stems), default=0) - 1)
+
+    def _depths(self) -> list[int]:
+        depths = [0] * len(self.next)
+        for at, children in enumerate(self.next):  # children come after their parent
+            for child in children.values():
+                depths[child] = depths[at] + 1
+        return depths
+
+    def _near_stem(self, word: str) -> bool:
+        return word[:2] in self.stem_heads or any(word[i : i + 3] in self.stem_tails for i in self.stem_starts)
 
     def match(self, word: str) -> int:
         at = 0
@@ -73,14 +89,14 @@ class Trie:
         else:
             if self.word[at]:
                 return EXACT
-        if self.fuzzy_lengths[0] <= len(word) <= self.fuzzy_lengths[1] and (word[:2] in self.heads or word[-3:] in self.tails):
-            if word not in self.clean and self.within_one_edit(word):
-                return FUZZY
+        whole = self.fuzzy_lengths[0] <= len(word) <= self.fuzzy_lengths[1] and (word[:2] in self.heads or word[-3:] in self.tails)
+        if (whole or (len(word) >= FUZZY_LETTERS and self._near_stem(word))) and word not in self.clean:
+            return self.within_one_edit(word)
         return NONE
 
-    def within_one_edit(self, word: str) -> bool:
-        """Trie and automaton in step: states are trie nodes with the edits used so far."""
-        states = {(0, 0)}
+    def within_one_edit(self, word: str) -> int:
+        """Trie and automaton in step: states are trie nodes with the edits used so far. A stem needs only the word's beginning."""
+        states, near = {(0, 0)}, False
         for c in word:
             reach = set()
             for node, used in states:
@@ -93,10 +109,14 @@ class Trie:
                             reach.add((child, 1))  # another letter
                         if (after := self.next[child].get(c)) is not None:
                             reach.add((after, 1))  # a letter too few before this one
+            near = near or any(self.fuzzy_stem[node] for node, _ in reach)
             if not reach:
-                return False
+                break
             states = reach
-        return any(self.fuzzy[node] or (not used and any(self.fuzzy[x] for x in self.next[node].values())) for node, used in states)
+        else:
+            if any(self.fuzzy[node] or (not used and any(self.fuzzy[x] for x in self.next[node].values())) for node, used in states):
+                return FUZZY
+        return NEAR_STEM if near else NONE
 
 
 class _Matches(dict):
@@ -135,14 +155,14 @@ class Scorer:
 
     def features(self, text: str | None) -> tuple[float, ...]:
         tokens, hits = self.hits(text or "")
-        n = [0, 0, 0, 0]
+        n = [0] * 5
         around = []
         for at, kind in hits:
             n[kind] += 1
             found = [self.context[f] for f in window_features(tokens, at) if f in self.context]
             around.append(max(-3.0, min(3.0, sum(found))))
         return (
-            math.log1p(n[EXACT]), math.log1p(n[FUZZY]), math.log1p(n[STEM]), float(bool(n[EXACT] or n[STEM])),
+            math.log1p(n[EXACT]), math.log1p(n[FUZZY]), math.log1p(n[STEM]), math.log1p(n[NEAR_STEM]), float(bool(n[EXACT] or n[STEM])),
             sum(around) / len(around) if around else 0.0, max(around, default=0.0), math.log1p(100 * len(hits) / (len(tokens) + 20)),
         )
 
@@ -213,7 +233,8 @@ def score_toxicity(
     """(id, score, predicted) of every row. `train` is a condition on doc_id; `labelled` bounds the sample."""
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     marked = labelled_sample(labels.withColumnRenamed(id_col, "doc_id").where(train), label_col, labelled)
-    rows = texts.join(F.broadcast(marked), "doc_id").select("label", "text").persist()
+    fold = F.pmod(F.xxhash64(F.lit(5), "text"), F.lit(2)).cast("int")
+    rows = labelled_rows(texts, marked, labelled, "text").select("label", "text", fold.alias("fold")).persist()
     sizes = {int(r.label > 0): r["count"] for r in rows.groupBy((F.col("label") > 0).cast("int").alias("label")).count().collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:
@@ -225,11 +246,13 @@ def score_toxicity(
 
     def clean_forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = {w for t in batch["text"] for w in map(normal, TOKEN.findall(t)) if trie.match(w) == FUZZY}
-            yield pd.DataFrame({"form": sorted(found)}, columns=["form"])
+            found = {(w, f) for t, f in zip(batch["text"], batch["fold"], strict=True) for w in map(normal, TOKEN.findall(t)) if trie.match(w) in (FUZZY, NEAR_STEM)}
+            yield pd.DataFrame(sorted(found), columns=["form", "fold"])
 
-    forms = rows.where("label = 0").select("text").mapInPandas(clean_forms, "form string").distinct().collect()
+    forms = rows.where("label = 0").select("text", "fold").mapInPandas(clean_forms, "form string, fold int").distinct().collect()
     trie = Trie(words, stems, frozenset(r.form for r in forms))  # of one edit around the lexicon
+    # rows to learn weights from meet the clean forms of the other half, as new rows will
+    crossed = [Trie(words, stems, frozenset(r.form for r in forms if r.fold != f)) for f in (0, 1)]
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(trie, {})
@@ -246,9 +269,9 @@ def score_toxicity(
     context = {r.feature: math.log((r.t + 20 * (r.t + r.c) / (a + b)) / (a + 20)) - math.log((r.c + 20 * (r.t + r.c) / (a + b)) / (b + 20)) for r in counted}
 
     def numbers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(trie, context)
+        scorers = [Scorer(t, context) for t in crossed]
         for batch in batches:
-            yield pd.DataFrame({"label": batch["label"], "x": [scorer.features(t) for t in batch["text"]]})
+            yield pd.DataFrame({"label": batch["label"], "x": [scorers[f].features(t) for t, f in zip(batch["text"], batch["fold"], strict=True)]})
 
     known = rows.mapInPandas(numbers, "label int, x array<double>").toPandas()
     rows.unpersist()
