@@ -19,7 +19,8 @@ sources in code point order, null last. A target stops at `most` times its
 source; the rest goes to the other sources by weight until none is above.
 
 Null texts have size 0; they are returned with taken 0, and so are all rows of
-a table without words. Repeated rows are separate documents of their source.
+a source or a table without words. Repeated rows are separate documents of their
+source. An empty table gives no rows; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -69,8 +70,9 @@ def permuted(x: Column, n: Column, *key: Column, back: bool = False) -> Column:
     """Where a pseudorandom permutation of 0 .. n-1, or its inverse, takes x: swap or not, in rounds.
 
     A round pairs every index with its mirror image around a random centre, and
-    a hash of the larger of the two says whether they swap.
+    a hash of the larger of the two says whether they swap. n below 1 counts as 1.
     """
+    n = F.greatest(n, F.lit(1))
 
     def swap(at: Column, r: Column) -> Column:
         other = F.pmod(F.pmod(F.xxhash64(r, *key), n) - at, n)
@@ -136,6 +138,8 @@ def _slots(sources: DataFrame, count: int, shard_slots: int, seed: int, cells: i
         .join(with_broadcast_if_small(limit, count, BROADCAST_SOURCES), "source_no")
         .withColumn("n", F.least(F.col("n"), F.col("slots") - F.col("first")))
         .where("n > 0")
+        # few small rows that each become many: they are dealt to all tasks first
+        .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard", "source_no")
         .select("shard", "source_no", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("k"))
     )
 
@@ -227,18 +231,21 @@ def mixed_documents(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id",
     remain, with a space between. The number of characters, if there is such a
     column, follows the text.
     """
-    parts = pieces.groupBy(id_col, "text_hash", "source_no", "start", "pass").agg(
-        F.sum(F.col("to_word") - F.col("from_word")).alias("_taken"),
-        F.array_sort(F.collect_list(F.struct("from_word", "to_word"))).alias("_spans"),
-    )
-    p = parts.select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash"), "_taken", "_spans").alias("p")
-    texts = docs.withColumn("_own", F.xxhash64(text_col)).dropDuplicates([id_col, "_own"])
-    joined = texts.join(p, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")))
-    words = F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD})"), F.lit(1))
-    cut = joined.where(F.col("_taken") < word_count(F.col(text_col))).withColumn("_words", words)
-    span = F.transform("_spans", lambda s: F.slice("_words", (s["from_word"] + 1).cast("int"), (s["to_word"] - s["from_word"]).cast("int")))
-    cut = cut.withColumn(text_col, F.array_join(F.flatten(span), " ")).drop("_words")
-    both = joined.where(F.col("_taken") >= word_count(F.col(text_col))).unionByName(cut)
+    parts = pieces.select(F.col(id_col).alias("id"), "text_hash", "source_no", "start", "pass", "from_word", "to_word")
+    parts = parts.groupBy("id", "text_hash", "source_no", "start", "pass").agg(
+        F.sum(F.col("to_word") - F.col("from_word")).alias("taken"),
+        F.array_sort(F.collect_list(F.struct("from_word", "to_word"))).alias("spans"),
+    )
+    p = parts.alias("p")
+    # the row is kept as one struct, so its columns may have any names
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.struct(*docs.columns).alias("row"))
+    t = texts.dropDuplicates(["id", "text_hash"]).alias("t")
+    joined = t.join(p, F.col("t.id").eqNullSafe(F.col("p.id")) & (F.col("t.text_hash") == F.col("p.text_hash"))).select("row", "taken", "spans")
+    text = F.col("row")[text_col]
+    cut = joined.where(F.col("taken") < word_count(text)).withColumn("words", F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)))
+    span = F.transform("spans", lambda s: F.slice("words", (s["from_word"] + 1).cast("int"), (s["to_word"] - s["from_word"]).cast("int")))
+    cut = cut.withColumn("row", F.col("row").withField(text_col, F.array_join(F.flatten(span), " "))).select("row")
+    both = joined.where(F.col("taken") >= word_count(text)).select("row").unionByName(cut)
     if chars_col in docs.columns:
-        both = both.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType))
-    return both.select(*docs.columns)
+        both = both.withColumn("row", F.col("row").withField(chars_col, F.length(text).cast(docs.schema[chars_col].dataType)))
+    return both.select("row.*")
