@@ -13,7 +13,9 @@ are all fingerprints, without winnowing.
 
 Null texts have no words, as have texts of separators only: such documents are
 clean and such items are in no document. Repeated documents are judged each;
-items that share an id are one item. No benchmark, no hits.
+items that share an id are one item, as are those without id: their windows hit and
+count as one item, which the digest of ids leaves out. No benchmark, no hits. An empty
+table gives no rows; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -66,7 +68,7 @@ def mark_contaminated(
     empty = F.array().cast("array<bigint>")
     # the benchmark: words, and per item the windows it consists of
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), words_of(F.col(text_col)).alias("words")).where(
-        F.col("item").isNotNull() & (F.element_at("words", 1) != "")
+        F.element_at("words", 1) != ""
     )
     items = stage(items.distinct(), "benchmark-words")
     n = F.size("words")
@@ -76,7 +78,7 @@ def mark_contaminated(
         items.select("item", "words", F.least(n, F.lit(window)).alias("length"))
         .select("item", "length", F.explode(F.transform(_starts(F.col("words"), F.col("length")), lambda i: F.array_join(F.slice("words", i + 1, F.col("length")), " "))).alias("run"))
         .groupBy("length", "run")
-        .agg(F.collect_set("item").alias("items")),
+        .agg(F.collect_set(F.struct("item")).alias("items")),  # a struct, as sets leave nulls out
         "benchmark-windows",
     )
     # hashes stand in a column of their own: inside the lambda they would be made anew for each start
@@ -138,7 +140,7 @@ def mark_contaminated(
     hits = found.groupBy("doc_id", "text_hash").agg(
         F.size(F.array_distinct(covered)).cast("long").alias("n_hit"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items")
     )
-    hits = hits.select("doc_id", "text_hash", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"))
+    hits = hits.select("doc_id", "text_hash", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort(F.filter(F.transform("items", lambda x: x["item"]), lambda x: x.isNotNull())), ","), 256).alias("items_sha256"))
     h = hits.alias("h")
     judged = table.drop("prints").alias("d").join(h, F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("d.text_hash") == F.col("h.text_hash")), "left")
     return judged.select(
