@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 BLOCK = 128
 MAGIC = b"PFR1"
@@ -201,8 +202,7 @@ def write_token_files(
 ) -> None:
     """Encode every text, append end_id, and write the segments to the folder `path`."""
     id_name = docs.schema[id_col].dataType.simpleString()
-    arrow_id = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_name]
-    layout = _segments(arrow_id)
+    layout = _segments(to_arrow_type(docs.schema[id_col].dataType))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, shard, segment = _encoder(tokenizer_path), TaskContext.get().partitionId(), 0
@@ -230,9 +230,10 @@ def write_token_files(
             yield flush()
 
     ordered = (
-        docs.select(F.col(id_col).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-        .repartitionByRange(F.col("k"), F.xxhash64("t"))
+        docs.select(F.col(id_col).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), F.monotonically_increasing_id().alias("m"))
+        .repartitionByRange(F.col("k"), F.xxhash64("t"), F.col("m"))  # m parts a row that is repeated very often
         .sortWithinPartitions(F.col("k"), F.xxhash64("t"))
+        .select("k", "t")
     )
     ordered.mapInArrow(encode, f"shard int, segment bigint, n_ids bigint, ids array<{id_name}>, sizes array<bigint>, payload binary").write.parquet(path)
 
@@ -251,8 +252,6 @@ def read_token_files(spark: SparkSession, path: str, id_col: str = "doc_id") ->
     before = shards.select("shard", F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     local = table.select("shard", "segment", F.coalesce(F.sum("n_ids").over(at), F.lit(0)).alias("local"))
     places = local.join(before, "shard").select("shard", "segment", (F.col("base") + F.col("local")).alias("first"))
-    from pyspark.sql.pandas.types import to_arrow_type
-
     out = pa.schema([("shard", pa.int32()), ("segment", pa.int64()), (id_col, to_arrow_type(arrow_id)), ("inside", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
