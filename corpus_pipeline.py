@@ -12,54 +12,57 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.llm.common import shared_dir, with_broadcast_if_small
+from labelloom.llm.common import shared_dir, stage, with_broadcast_if_small
 from labelloom.llm.decontaminate import mark_contaminated
 from labelloom.llm.importance import fit_resampling
 from labelloom.llm.mixing import mix_sources, mixed_documents
 from labelloom.llm.near_duplicates import near_duplicates
 from labelloom.llm.token_files import read_token_files, write_token_files
 from labelloom.shipping import ship_package
-from labelloom.sources.store import with_numbers
 
 #: Rows up to which ids of rejected documents are broadcast.
 BROADCAST_ROWS = 500_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that importance resampling draws."""
+    """Documents that importance resampling draws. Null and empty texts score as the raw text does; repeated rows share one fate."""
     ship_package(spark)
-    draw, _ = fit_resampling(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return docs.where(draw.kept(F.col("doc_id"), F.col("text")))
-
-
-def _own_numbers(docs: DataFrame) -> DataFrame:
-    """(_row, _doc): one row of each id and text under a number of its own, in the order of the ids; null where the id is."""
-    d = docs.select("doc_id", F.xxhash64("text").alias("_hash"), F.struct(*docs.columns).alias("_doc"))
-    once = d.where("doc_id is not null").dropDuplicates(["doc_id", "_hash"])
-    numbered = with_numbers(once, 0, "doc_id", "_hash").select(F.col("id").alias("_row"), "_doc")
-    return numbered.unionByName(d.where("doc_id is null").select(F.lit(None).cast("long").alias("_row"), "_doc"))
+    draw, scored = fit_resampling(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=True)
+    return scored.where(F.col("key") >= draw.cut).select("row.*")
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates; rows that share an id only go if their text is a copy."""
+    """One document of each group of near duplicates.
+
+    Of rows that share an id only those go whose text is a copy; rows repeated
+    whole, or with another column changed, leave one. Null texts and those
+    without words have no copies but their own repetition; rows without id stay.
+    """
     ship_package(spark)
-    several = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    # ids that are unique serve as they are, which spares a copy of the texts
-    rows = docs.select(F.col("doc_id").alias("_row"), F.struct(*docs.columns).alias("_doc")) if several.isEmpty() else _own_numbers(docs)
-    gone = near_duplicates(rows.select("_row", F.col("_doc.text").alias("text")), id_col="_row").where(~F.col("kept")).select("_row")
-    return rows.join(with_broadcast_if_small(gone, gone.count(), BROADCAST_ROWS), "_row", "left_anti").select("_doc.*")
+    found = near_duplicates(docs.select("doc_id", "text"))
+    gone = stage(found.where(~F.col("leads") & F.col("doc_id").isNotNull()).select("doc_id", "text_hash").distinct(), "duplicates")
+    again = found.where("leads and doc_id is not null").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1")
+    again = stage(again.select("doc_id", "text_hash"), "repeated")
+    once = _matching(docs, gone, "left_anti")
+    several = _matching(once, again, "left_semi").select(F.struct(*docs.columns).alias("row"), "doc_id", F.xxhash64("text").alias("hash"))
+    return _matching(once, again, "left_anti").unionByName(several.dropDuplicates(["doc_id", "hash"]).select("row.*"))
+
+
+def _matching(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """The documents whose id and text are (left_semi) or aren't (left_anti) among the rows (doc_id, text_hash)."""
+    d, r = docs.alias("d"), with_broadcast_if_small(rows, rows.count(), BROADCAST_ROWS).alias("r")
+    return d.join(r, F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.xxhash64("d.text") == F.col("r.text_hash")), how)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without contamination by the benchmark."""
-    marked = mark_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = marked.where("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    gone = with_broadcast_if_small(gone, gone.count(), BROADCAST_ROWS)
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left_anti")
+    """Documents without contamination by the benchmark; those without words are clean."""
+    marked = mark_contaminated(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    gone = stage(marked.where("contaminated").select("doc_id", "text_hash").distinct(), "contaminated")
+    return _matching(docs, gone, "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The words that the mix takes of each document, a row for each pass."""
+    """The words that the mix takes of each document, a row for each pass; texts without words give none."""
     _, pieces = mix_sources(docs)
     return mixed_documents(docs, pieces)
 
@@ -86,8 +89,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
+    for name, step in STAGES:
         path = f"{shared_dir(spark)}/corpus-{name.replace(' ', '-')}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        step(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
