@@ -40,13 +40,27 @@ def test_gumbel_draw_by_brute_force(spark):
     raw = np.bincount(np.concatenate([importance.buckets_of(t.encode()) for _, t in texts]), minlength=importance.BUCKETS)
     good = np.bincount(np.concatenate([importance.buckets_of(t.encode()) for n, t in texts if n % 2 and n < 40]), minlength=importance.BUCKETS)
     ratio = importance.log_ratio(good.astype(float), raw.astype(float))
-    want = {n: 50 * ratio[importance.buckets_of(t.encode())].mean() for n, t in texts}
+    want = {n: draw.span * ratio[importance.buckets_of(t.encode())].mean() for n, t in texts}
     assert all(abs(want[r.doc_id] - r.log_importance) < 1e-9 for r in rows.itertuples())
     kept = {r.doc_id for r in importance.resample_by_importance(docs, labels).where("kept").collect()}
     best = set(rows.sort_values("key", ascending=False).head(len(kept)).doc_id)
     assert kept == best and len([n for n in kept if n % 2]) >= 28
 
 
+def test_gumbel_noise_draws_by_weight(spark):
+    """Of rows of equal weight the noise alone decides; of two weights the heavier is drawn in proportion."""
+    df = spark.range(40_000).withColumn("w", F.when(F.col("id") % 2 == 0, np.log(4.0)).otherwise(0.0))
+    df = df.withColumn("noise", importance.gumbel(F.lit(2), F.col("id"))).withColumn("key", F.col("w") + F.col("noise"))
+    rows = df.toPandas()
+    same = rows[rows.id % 2 == 0]
+    cut = importance.kth_largest(df.where("id % 2 = 0"), "key", 2000)
+    assert set(same[same.key >= cut].id) == set(same.sort_values("noise", ascending=False).head((same.key >= cut).sum()).id) and 2000 <= (same.key >= cut).sum() <= 2002
+    assert abs(rows.noise.mean() - 0.5772) < 0.02 and abs(rows.noise.std() - 1.2825) < 0.02
+    cut = importance.kth_largest(df, "key", 1000)
+    drawn = rows[rows.key >= cut]
+    assert 3.4 < (drawn.id % 2 == 0).sum() / (drawn.id % 2 == 1).sum() < 4.6
+
+
 def test_kth_largest(spark):
     rng = random.Random(3)
     keys = [rng.gauss(0, 5) for _ in range(400)] + [1.25] * 5
@@ -73,7 +87,83 @@ def test_automaton_by_brute_force():
     trie = toxicity.Trie(terms, [])
     for _ in range(3000):
         word = "".join(rng.choices("abc", k=rng.randint(3, 9)))
-        assert trie.within_one_edit(word) == any(_distance(word, t) <= 1 for t in terms), word
+        assert bool(trie.within_one_edit(word)) == any(_distance(word, t) <= 1 for t in terms), word
+
+
+def test_stems_with_one_edit_by_brute_force():
+    rng = random.Random(6)
+    stems = ["".join(rng.choices("abcd", k=rng.randint(4, 6))) for _ in range(4)]
+    trie = toxicity.Trie(["dddddddd"], stems)
+    for _ in range(5000):
+        word = "".join(rng.choices("abcd", k=rng.randint(3, 9)))
+        near = len(word) >= 5 and any(len(s) >= 5 and _distance(word[:n], s) <= 1 for s in stems for n in range(len(word) + 1))
+        want = toxicity.STEM if any(word.startswith(s) for s in stems) else toxicity.NEAR_STEM if near else toxicity.NONE
+        assert trie.match(word) == want or (_distance(word, "dddddddd") <= 1), word
+
+
+def _match(word, words, stems, clean):
+    if any(word.startswith(s) for s in stems):
+        return toxicity.STEM
+    if word in words:
+        return toxicity.EXACT
+    if word in clean:
+        return toxicity.NONE
+    if any(len(w) >= 5 and _distance(word, w) <= 1 for w in words):
+        return toxicity.FUZZY
+    near = len(word) >= 5 and any(len(s) >= 5 and _distance(word[:n], s) <= 1 for s in stems for n in range(min(len(word), 8) + 1))
+    return toxicity.NEAR_STEM if near else toxicity.NONE
+
+
+def _features(text, words, stems, clean, context):
+    tokens = re.findall(r"\S+", text)
+    kinds = [_match(toxicity.normal(t), words, stems, clean) for t in tokens]
+    around = [max(-3.0, min(3.0, sum(context.get(f, 0.0) for f in toxicity.window_features(tokens, i)))) for i, k in enumerate(kinds) if k]
+    n = [kinds.count(k) for k in range(5)]
+    return [
+        np.log1p(n[toxicity.EXACT]), np.log1p(n[toxicity.FUZZY]), np.log1p(n[toxicity.STEM]), np.log1p(n[toxicity.NEAR_STEM]), float(n[toxicity.EXACT] + n[toxicity.STEM] > 0),
+        np.mean(around) if around else 0.0, max(around, default=0.0), np.log1p(100 * len(around) / (len(tokens) + 20)),
+    ]
+
+
+def test_toxicity_scores_by_brute_force(spark):
+    """Every score again from plain string distances and counts; only the lexicon and Newton's steps are shared."""
+    rng = random.Random(8)
+    plain, bad = [f"w{c}{d}ord{e}" for c in "abcdef" for d in "xyz" for e in "kl"], ["vilestuff", "grimbly", "hatebad", "hategood"]
+    rows = []
+    for n in range(160):
+        words = rng.choices(plain, k=25)
+        if n % 3 == 0:
+            at = rng.randrange(25)
+            words[at] = rng.choice(bad)
+            words[(at + 7) % 25] = rng.choice(["vilestuf", "grymbly", "hxtebad9", "vilestuff."])
+        elif n % 7 == 0:
+            words[3] = rng.choice(["grimblys", "worda"])
+        rows.append((n, " ".join(words) if n % 40 else ""))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(n, 1, int(n % 3 == 0)) for n in range(130)], LABEL)
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, labels, ~held_out()).collect()}
+    learned = [n for n in range(130) if zlib.crc32(str(n).encode()) % 5]
+    known = spark.createDataFrame([(n, rows[n][1], int(n % 3 == 0)) for n in learned], "doc_id bigint, text string, label int")
+    known = known.withColumn("fold", F.pmod(F.xxhash64(F.lit(5), "text"), F.lit(2)))
+    toxic = sum(n % 3 == 0 for n in learned)
+    words, stems = toxicity.learn_lexicon(known.select("label", "text"), toxic, len(learned) - toxic)
+    assert words or stems
+    told = [(r.text, r.label, r.fold) for r in known.collect()]
+    near = [{w for t, y, f in told if not y and f in fs for w in map(toxicity.normal, t.split()) if _match(w, words, stems, set()) in (toxicity.FUZZY, toxicity.NEAR_STEM)} for fs in ((1,), (0,), (0, 1))]
+    counts = {"quoted": [0, 0], "unquoted": [0, 0]}
+    for t, y, _ in told:
+        tokens = t.split()
+        for i, k in enumerate(_match(toxicity.normal(x), words, stems, near[2]) for x in tokens):
+            for f in toxicity.window_features(tokens, i) if k else ():
+                counts.setdefault(f, [0, 0])[1 - y] += 1
+    counted = {f: c for f, c in counts.items() if sum(c) >= 20 or (f in ("quoted", "unquoted") and sum(c))}
+    a, b = (sum(c[i] for c in counted.values()) + 1 for i in (0, 1))
+    context = {f: np.log((t + 20 * (t + c) / (a + b)) / (a + 20)) - np.log((c + 20 * (t + c) / (a + b)) / (b + 20)) for f, (t, c) in counted.items()}
+    x = np.array([_features(t, words, stems, near[f], context) for t, _, f in told])
+    w = toxicity.fit_logistic(x, np.array([float(y) for _, y, _ in told]))
+    for n, text in rows:
+        z = np.dot(_features(text, words, stems, near[2], context), w[:-1]) + w[-1]
+        assert abs(got[n] - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-6, n
 
 
 def test_toxicity_on_held_out_rows(spark):
@@ -153,6 +243,45 @@ def test_isolation_forest_finds_the_odd_row():
     assert score[:200].max() < cut <= score[200] and quality_rules.calibrated(score, np.zeros(201, bool), 10.0) is None
 
 
+def test_quality_verdicts_by_brute_force(spark):
+    """Anomalies from paths walked node by node, and the cut by trying each score."""
+    data = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    got = quality_rules.judge_quality(docs, labels, trees=20, sample=32).toPandas().set_index("doc_id")
+    rest = got[~got.base_failed]
+    limits = quality_rules.LIMITS
+    over = lambda a, b: np.divide(a, b, out=np.zeros(len(rest)), where=b.to_numpy() > 0)
+    n = rest.n_words.astype(float)
+    length = over(rest.word_chars, n)
+    x = np.column_stack([
+        *(np.maximum(over(a, b) - limits[k], 0) for k, a, b in (
+            ("symbol_rate", rest.n_symbols, n), ("dup_line_rate", rest.n_dup_lines, rest.n_lines), ("repeat_rate", rest.n_repeat_words, n),
+            ("upper_rate", rest.n_upper, rest.n_letters), ("mark_rate", rest.n_marks, n))),
+        np.maximum(np.maximum(length - 10, 3 - length), 0),
+    ])
+    assert np.allclose(x, rest[list(quality_rules.RATES)].to_numpy(float))
+    assert len(rest) <= 20 * 32  # all rows are in the draw
+    drawn = quality_rules.hash_sample(spark.createDataFrame(rest.reset_index()), 20 * 32, "doc_id", *quality_rules.STATS, seed=8).select(*quality_rules.RATES).toPandas()
+    forest = quality_rules.grow_forest(drawn.to_numpy(float), 20, 32, 8)
+
+    def path(tree, row):
+        feature, cut, left, right, length = tree
+        at = 0
+        while feature[at] >= 0:
+            at = (left if row[feature[at]] <= cut[at] else right)[at]
+        return length[at]
+
+    want = np.array([2.0 ** (-np.mean([path(t, row) for t in forest]) / quality_rules.expected_path(32)) for row in x])
+    assert np.allclose(want, rest.anomaly)
+    known = labels.toPandas().dropna().groupby("doc_id").quality.max().reindex(rest.index).dropna()
+    score, bad = pd.Series(want, rest.index)[known.index].to_numpy(), known.to_numpy() == 0
+    gain = {c: (score[bad] >= c).mean() - 10 * (score[~bad] >= c).mean() for c in set(score)}
+    best = max(gain.values())
+    assert best > 0
+    kept = ~(want >= max(c for c, g in gain.items() if g == best) - 1e-9)
+    assert (kept == rest.kept).all() and not got[got.base_failed].kept.any()
+
+
 def test_quality_edges(spark):
     labels = spark.createDataFrame([(1, 1, 0), (3, 0, 0), (None, 1, 0), (4, None, 0)], LABEL)
     assert quality_rules.judge_quality(odd(spark), labels).where("kept").count() == 0
