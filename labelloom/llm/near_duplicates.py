@@ -210,7 +210,8 @@ def _apart(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     one may lack and one more (in any order that all share; rarest first makes
     the keys short). What many texts share is no key of any of them then. Under
     a key every pair has a member outside its largest component, so only those
-    are compared with all: a group already joined costs nothing.
+    are compared with all: a group already joined costs nothing. Places in the
+    order and sketches decide inside the join, which emits only what they leave.
     """
     each = sets.join(open_.select("node", "component", "k"), "node")
     shingled = stage(each.select("node", "component", F.col("k.n").alias("n"), F.explode("s").alias("g")), "open-shingles")
@@ -219,16 +220,25 @@ def _apart(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     rarest = Window.partitionBy("node").orderBy("f", "g")
     # shingles of one text alone come first in its order and match nothing
     keep = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.count("*").over(Window.partitionBy("node")))
-    keys = met.withColumn("place", F.row_number().over(rarest)).withColumn("keep", keep).where("place <= keep").select("node", "component", "g")
+    keys = met.withColumn("place", F.row_number().over(rarest)).withColumn("keep", keep)
+    # where g stands in the whole order, those of one text alone included
+    at = (F.col("n") - F.count("*").over(Window.partitionBy("node")) + F.col("place")).alias("at")
+    keys = keys.select("node", "component", "g", "place", "keep", at).where("place <= keep").drop("place", "keep")
     keys = stage(keys, "open-keys")
     parts = keys.groupBy("g", "component").agg(F.count("*").alias("n"))
     largest = parts.groupBy("g").agg(F.max(F.struct("n", "component"))["component"].alias("largest"), F.count("*").alias("parts"), F.sum("n").alias("f"))
-    largest = stage(largest.where("parts > 1").select("g", "largest", "f"), "open-parts")
-    seen = stage(join_spread(keys, largest, ["g"], "f"), "open-seen")
-    x = seen.where("component <> largest").select("g", F.col("node").alias("x"), F.col("component").alias("cx"))
-    y = seen.select("g", F.col("node").alias("y"), F.col("component").alias("cy"))
-    pairs = x.join(y, "g").where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    return _plausible(pairs, open_, percent)
+    copies = F.ceil(F.col("f") / SPREAD).cast("long").alias("copies")
+    largest = stage(largest.where("parts > 1").select("g", "largest", "f", copies), "open-parts")
+    seen = stage(join_spread(keys, largest, ["g"], "f"), "open-seen").join(open_.select("node", "k"), "node")
+    copy = F.pmod(F.xxhash64("node"), F.col("copies")).alias("copy")
+    x = seen.where("component <> largest").select("g", copy, F.struct("node", "component", "at").alias("x"), F.col("k").alias("kx"))
+    copy = F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy")
+    y = seen.select("g", copy, F.struct("node", "component", "at").alias("y"), F.col("k").alias("ky"))
+    # what comes before g in either order is not in both sets
+    most = F.least(F.col("kx.n") - F.col("x.at"), F.col("ky.n") - F.col("y.at")) + 1
+    enough = most * (100 + percent) >= percent * (F.col("kx.n") + F.col("ky.n"))
+    may = (F.col("x.component") != F.col("y.component")) & enough & _close("kx", "ky", percent)
+    return x.join(y, ["g", "copy"]).where(may).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
 def _plausible(pairs: DataFrame, sketched: DataFrame, percent: int) -> DataFrame:
