@@ -25,8 +25,9 @@ def ratio(a: str, b: str) -> float:
 
 
 def at_least(a: str, b: str, least: float) -> float:
-    """The ratio, or 0 where its bound by length is below `least`."""
-    if not a or not b or 2 * min(len(a), len(b)) < least * (len(a) + len(b)):
+    """The ratio, or 0 where its bound by length, or by letters in common, is below `least`."""
+    total = least * (len(a) + len(b))
+    if not a or not b or 2 * min(len(a), len(b)) < total or 2 * sum(min(a.count(c), b.count(c)) for c in set(a)) < total - 1e-9:
         return 0.0
     return ratio(a, b)
 
@@ -90,6 +91,19 @@ def closest_label(form: Column, labels: list[str], least: float = 0.82) -> Colum
     return closest(form)
 
 
+def labels_in(form: Column, kinds: dict[str, list[str]], least: float = 0.82) -> Column:
+    """struct of the label of each kind, as `label_in` tells them, in one call for all kinds."""
+    exact = {k: T.exact_label(form, labels) for k, labels in kinds.items()}
+
+    @F.pandas_udf(", ".join(f"`{k}` string" for k in kinds))
+    def closest(forms: pd.Series, open_: pd.Series) -> pd.DataFrame:
+        told = [[_closest(f, tuple(labels), least) if f and o[n] else None for n, labels in enumerate(kinds.values())] for f, o in zip(forms, open_, strict=True)]
+        return pd.DataFrame(told, columns=list(kinds), dtype="object")
+
+    found = closest(form, F.array(*(x.isNull() for x in exact.values())))
+    return F.struct(*(F.coalesce(x, found[k]).alias(k) for k, x in exact.items()))
+
+
 def label_in(form: Column, labels: list[str]) -> Column:
     """The first label contained, else the closest, else null."""
     exact = T.exact_label(form, labels)

@@ -16,14 +16,16 @@ from pyspark.sql import functions as F
 from labelloom.functions import geometry as G
 from labelloom.functions import text as T
 from labelloom.functions import vocabulary as V
-from labelloom.functions.similarity import label_in, sequence_ratio, similarity
+from labelloom.functions.similarity import labels_in, sequence_ratio, similarity
 from labelloom.operators.candidates import exact_groups, first_fit, group_scores, top_group
 from labelloom.operators.lines import ranked_neighbours
-from labelloom.staging import stage
+from labelloom.staging import dealt, stage
 
 #: Vertical reaches in which extractors look for neighbours.
 GAPS = (80, 100, 120, 140, 150, 170, 180)
 MOST_NEIGHBOURS = 8
+#: What a line is told of its neighbours.
+NEIGHBOUR = ("text", "form", "confidence", "geo", "label", "source")
 
 
 def conf() -> Column:
@@ -42,36 +44,41 @@ def candidate(rows: DataFrame, field_: str, value: Column, score: Column, strate
 
 @dataclass
 class Lines:
-    """Prepared lines with their labels, and their neighbours, each made once and staged for all extractors."""
+    """Prepared lines, each with its labels and its neighbours, staged once for all extractors.
+
+    `near` holds the neighbours of a line as structs (pos, text, form, confidence,
+    geo, label, source, apart, ranks), no more than MOST_NEIGHBOURS for each of GAPS,
+    so that extractors look around without a join.
+    """
 
     rows: DataFrame
-    pairs: DataFrame | None = None
 
     @classmethod
     def of(cls, prepared: DataFrame) -> Lines:
-        plain = stage(prepared.withColumn("pos", F.col("pos").cast("int")), "lines")
-        labels = F.struct(*(label_in(F.col("form"), V.LABELS[k]).alias(k) for k in V.LABELS))
-        return cls(stage(plain.withColumn("label", labels), "labelled-lines"))
+        plain = stage(dealt(prepared.withColumn("pos", F.col("pos").cast("int")), "package_id"), "lines")
+        told = stage(plain.withColumn("label", labels_in(F.col("form"), V.LABELS)), "labelled-lines")
+        pairs = ranked_neighbours(plain, GAPS).where(F.array_min("ranks") <= MOST_NEIGHBOURS)
+        pairs = pairs.select("package_id", F.col("i").cast("int").alias("pos"), F.col("j").cast("int").alias("n_pos"), "ranks")
+        item = F.struct("n_pos", *(f"n_{c}" for c in NEIGHBOUR), "ranks")
+        other = told.select("package_id", F.col("pos").alias("n_pos"), *(F.col(c).alias(f"n_{c}") for c in NEIGHBOUR))
+        near = pairs.join(other, ["package_id", "n_pos"]).groupBy("package_id", "pos").agg(F.collect_list(item).alias("near"))
+        return cls(stage(told.join(near, ["package_id", "pos"], "left"), "lines-and-neighbours"))
 
     def near(self, count: int, gap: int, base: DataFrame | None = None) -> DataFrame:
         """Lines (of `base`) with each of their neighbours: n_text, n_form, n_confidence, n_pos, n_geo, n_label, n_source, rank, apart."""
-        if self.pairs is None:
-            ranked = ranked_neighbours(self.rows, GAPS)
-            self.pairs = stage(ranked.where(F.array_min("ranks") <= MOST_NEIGHBOURS), "neighbours")
-        rank = F.col("ranks")[GAPS.index(gap)]
-        p = self.pairs.where(rank <= count).select("package_id", F.col("i").cast("int").alias("pos"), F.col("j").cast("int").alias("n_pos"), rank.alias("rank"))
-        other = self.rows.select("package_id", F.col("pos").alias("n_pos"), *(F.col(c).alias(f"n_{c}") for c in ("text", "form", "confidence", "geo", "label", "source")))
-        joined = (base if base is not None else self.rows).join(p, ["package_id", "pos"]).join(other, ["package_id", "n_pos"])
-        return joined.withColumn("apart", G.relative_distance(F.col("geo"), F.col("n_geo")))
+        rows = base if base is not None else self.rows
+        at = GAPS.index(gap)
+        told = rows.select(*(c for c in rows.columns if c != "near"), F.inline(F.filter("near", lambda x: x["ranks"][at] <= count)))
+        return told.withColumn("rank", F.col("ranks")[at]).withColumn("apart", G.relative_distance(F.col("geo"), F.col("n_geo")))
 
     def by_label(self, name: str) -> DataFrame:
         return self.rows.where(F.col(f"label.{name}").isNotNull())
 
     def with_label_near(self, base: DataFrame, name: str, count: int, gap: int = 180) -> DataFrame:
         """base with label_near: whether a neighbour bears the label."""
-        near = self.near(count, gap, base.select("package_id", "pos", "geo")).where(F.col(f"n_label.{name}").isNotNull())
-        flag = near.select("package_id", "pos").distinct().withColumn("label_near", F.lit(True))
-        return base.join(flag, ["package_id", "pos"], "left").withColumn("label_near", F.coalesce("label_near", F.lit(False)))
+        at = GAPS.index(gap)
+        found = F.exists("near", lambda x: (x["ranks"][at] <= count) & x["n_label"][name].isNotNull())
+        return base.withColumn("label_near", F.coalesce(found, F.lit(False)))
 
 
 def without_label(text: Column, matched: Column, labels: list[str]) -> Column:
@@ -157,8 +164,9 @@ def dates(lines: Lines, name: str) -> DataFrame:
     A full date nearby wins; else day, month and year are chosen each by
     confidence and nearness, and all three are needed.
     """
-    base = lines.by_label(name).select("package_id", "pos", conf().alias("label_confidence"), "geo")
+    base = lines.by_label(name).select("package_id", "pos", conf().alias("label_confidence"), "geo", "near")
     near = lines.near(8, 170, base).select("package_id", "pos", "n_pos")
+    base = base.drop("near")
     offset = F.explode(F.array(*(F.lit(x) for x in (-2, -1, 0, 1, 2, 3, 4, 5)))).alias("d")
     window = base.select("package_id", "pos", offset).select("package_id", "pos", (F.col("pos") + F.col("d")).alias("n_pos"))
     wanted = near.unionByName(window).distinct()

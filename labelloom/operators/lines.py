@@ -7,13 +7,17 @@ Everything is keyed by package_id, so one hash distribution serves all stages.
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from labelloom.functions import geometry as G
 from labelloom.functions import text as T
 from labelloom.functions.similarity import ratio
+from labelloom.staging import dealt
 
 LEAST_CONFIDENCE = 0.15
 GROUP_READINGS = 6
@@ -66,54 +70,57 @@ def merge_readings(lines: DataFrame) -> DataFrame:
     result depends on that order, so a package is folded in one call.
     """
 
-    def reading(a: str, b: str) -> float:
-        if not a or not b:
-            return 0.0
-        if a == b:
-            return 1.0
-        if a in b or b in a:
-            return 0.75 + 0.25 * min(len(a), len(b)) / max(len(a), len(b))
-        return ratio(a, b)
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["adjusted_confidence", "length", "index"], ascending=[False, False, True], kind="stable")
-        kept: list = []
-        for r in rows.itertuples():
-            twin = False
-            for k in kept:
-                if reading(r.letters, k.letters) < 0.90:
-                    continue
-                w = min(r.x1, k.x1) - max(r.x0, k.x0)
-                h = min(r.y1, k.y1) - max(r.y0, k.y0)
-                common = max(0.0, w) * max(0.0, h)
-                union = (r.x1 - r.x0) * (r.y1 - r.y0) + (k.x1 - k.x0) * (k.y1 - k.y0) - common
-                if (union > 0 and common / union >= 0.35) or ((r.cx - k.cx) ** 2 + (r.cy - k.cy) ** 2) ** 0.5 <= 15:
-                    twin = True
-                    break
-            if not twin:
-                kept.append(r)
-        groups: list[list] = []
-        for r in kept:
-            home = next((g for g in groups if reading(r.letters, g[0].letters) >= 0.72 and ((r.cx - g[0].cx) ** 2 + (r.cy - g[0].cy) ** 2) ** 0.5 <= 35), None)
-            if home is None:
-                groups.append([r])
-            elif len(home) < GROUP_READINGS:
-                home.append(r)
-        order = [r.Index for g in groups for r in sorted(g, key=lambda r: (-r.adjusted_confidence, -r.length))]
-        out = rows.loc[order, ["package_id", "index"]].copy()
-        out["merge_no"] = range(len(out))
-        return out
-
     centre, size = G.centre(F.col("box")), G.extent(F.col("box"))
     told = lines.where(T.present(T.clean(F.col("text")))).withColumn("text", T.clean(F.col("text")))
     shape = told.select(
         "package_id", "index", "adjusted_confidence", F.length("text").alias("length"), T.unicode_alnum(F.col("text")).alias("letters"),
         centre["x"].alias("cx"), centre["y"].alias("cy"), size["left"].alias("x0"), size["top"].alias("y0"), size["right"].alias("x1"), size["bottom"].alias("y1"),
     ).na.fill(0.0)
-    id_type = lines.schema["package_id"].dataType.simpleString()
-    index_type = lines.schema["index"].dataType.simpleString()
-    order = shape.groupBy("package_id").applyInPandas(fold, f"package_id {id_type}, index {index_type}, merge_no long")
-    return told.join(order, ["package_id", "index"]).select("package_id", "merge_no", "text", "confidence", "adjusted_confidence", "box", "source")
+    names = shape.columns[1:]
+    packages = shape.groupBy("package_id").agg(F.collect_list(F.struct(*names)).alias("rows"))
+
+    @F.pandas_udf(ArrayType(lines.schema["index"].dataType))
+    def order(rows: pd.Series) -> pd.Series:
+        return pd.Series([_merged([SimpleNamespace(**x) for x in r]) for r in rows])
+
+    merged = dealt(packages, "package_id").select("package_id", F.posexplode(order("rows")).alias("merge_no", "index"))
+    return told.join(merged, ["package_id", "index"]).select("package_id", F.col("merge_no").cast("long").alias("merge_no"), "text", "confidence", "adjusted_confidence", "box", "source")
+
+
+def _alike(a: str, b: str) -> float:
+    """1 for equal readings, from .75 on for containment, else the ratio."""
+    if not a or not b:
+        return 0.0
+    if a in b or b in a:
+        return 0.75 + 0.25 * min(len(a), len(b)) / max(len(a), len(b))
+    return ratio(a, b)
+
+
+def _apart(a: SimpleNamespace, b: SimpleNamespace) -> float:
+    return ((a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2) ** 0.5
+
+
+def _overlap(a: SimpleNamespace, b: SimpleNamespace) -> float:
+    common = max(0.0, min(a.x1, b.x1) - max(a.x0, b.x0)) * max(0.0, min(a.y1, b.y1) - max(a.y0, b.y0))
+    union = (a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) - common
+    return common / union if union > 0 else 0.0
+
+
+def _merged(rows: list[SimpleNamespace]) -> list[int]:
+    """Indices of the readings kept, group by group."""
+    kept: list[SimpleNamespace] = []
+    for r in sorted(rows, key=lambda r: (-r.adjusted_confidence, -r.length, r.index)):
+        # place first, as it is cheap
+        if not any((_apart(r, k) <= 15 or _overlap(r, k) >= 0.35) and _alike(r.letters, k.letters) >= 0.90 for k in kept):
+            kept.append(r)
+    groups: list[list[SimpleNamespace]] = []
+    for r in kept:
+        home = next((g for g in groups if _apart(r, g[0]) <= 35 and _alike(r.letters, g[0].letters) >= 0.72), None)
+        if home is None:
+            groups.append([r])
+        elif len(home) < GROUP_READINGS:
+            home.append(r)
+    return [r.index for g in groups for r in sorted(g, key=lambda r: (-r.adjusted_confidence, -r.length))]
 
 
 def reading_order(lines: DataFrame) -> DataFrame:
@@ -180,24 +187,25 @@ def duplicate_reading(a: Column, b: Column, similarity: Column) -> Column:
 def reading_clusters(lines: DataFrame, least: float = 0.55, reach: float = 60.0) -> DataFrame:
     """(package_id, index, cluster): first fit in order by text similarity and distance, to look at readings."""
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        first: list = []
-        numbers = []
-        for r in rows.sort_values("index").itertuples():
-            at = next((n for n, g in enumerate(first) if _alike(r.letters, g.letters) >= least and ((r.cx - g.cx) ** 2 + (r.cy - g.cy) ** 2) ** 0.5 <= reach), None)
-            if at is None:
-                first.append(r)
-                at = len(first) - 1
-            numbers.append((r.package_id, r.index, at))
-        return pd.DataFrame(numbers, columns=["package_id", "index", "cluster"])
-
-    def _alike(a: str, b: str) -> float:
-        if not a or not b:
-            return 0.0
-        if a in b or b in a:
-            return 0.75 + 0.25 * min(len(a), len(b)) / max(len(a), len(b))
-        return ratio(a, b)
-
     c = G.centre(F.col("box"))
-    slim = lines.select("package_id", F.col("index").cast("long").alias("index"), T.unicode_alnum(F.col("text")).alias("letters"), c["x"].alias("cx"), c["y"].alias("cy"))
-    return slim.groupBy("package_id").applyInPandas(fold, f"package_id {lines.schema['package_id'].dataType.simpleString()}, index long, cluster long")
+    slim = lines.select("package_id", F.struct(F.col("index").cast("long").alias("index"), T.unicode_alnum(F.col("text")).alias("letters"), c["x"].alias("cx"), c["y"].alias("cy")).alias("r"))
+    packages = slim.groupBy("package_id").agg(F.array_sort(F.collect_list("r")).alias("rows"))
+
+    @F.pandas_udf("array<long>")
+    def clusters(rows: pd.Series) -> pd.Series:
+        return pd.Series([_first_fit([SimpleNamespace(**x) for x in r], least, reach) for r in rows])
+
+    told = dealt(packages, "package_id").withColumn("cluster", clusters("rows"))
+    return told.select("package_id", F.inline(F.arrays_zip("rows", "cluster"))).select("package_id", "rows.index", "cluster")
+
+
+def _first_fit(rows: list[SimpleNamespace], least: float, reach: float) -> list[int]:
+    first: list[SimpleNamespace] = []
+    numbers = []
+    for r in rows:
+        at = next((n for n, g in enumerate(first) if _apart(r, g) <= reach and _alike(r.letters, g.letters) >= least), None)
+        if at is None:
+            first.append(r)
+            at = len(first) - 1
+        numbers.append(at)
+    return numbers

@@ -40,6 +40,11 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows by key over all tasks, also where they are few and each costs much (adaptive execution would join small partitions)."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def drop_staged(spark: SparkSession) -> None:
     """Remove all tables that this application staged; for when its results are written."""
     path = spark._jvm.org.apache.hadoop.fs.Path(_staged_dir(spark))
