@@ -6,16 +6,18 @@ send null for it.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StringType
 
 from labelloom.functions import text as T
+from labelloom.functions import vocabulary as V
 
 
 @lru_cache(maxsize=50_000)
@@ -91,6 +93,35 @@ def closest_label(form: Column, labels: list[str], least: float = 0.82) -> Colum
     return closest(form)
 
 
+def _form(text: str) -> str:
+    low = reduce(lambda x, r: x.replace(*r), V.MATCH_REPLACEMENTS, " ".join(text.split()).lower())
+    return " ".join(re.sub("[;|]+", " ", low).split())
+
+
+def _without_window(text: str, label: str, least: float = 0.84) -> str:
+    words, width = text.split(), label.count(" ") + 1
+    best, at = 0.0, None
+    for n in range(max(1, width - 1), min(len(words), width + 1) + 1):
+        for i in range(len(words) - n + 1):
+            score = ratio(_form(" ".join(words[i : i + n])), label)
+            if score >= least and score > best:
+                best, at = score, (i, n)
+    return text if at is None else " ".join(words[: at[0]] + words[at[0] + at[1] :]).lstrip(" :-;.")
+
+
+@F.pandas_udf(StringType())
+def without_window(text: pd.Series, label: pd.Series) -> pd.Series:
+    """The text without the run of words that resembles the label most, by .84 at least; else as it is. Null labels: null."""
+    return pd.Series([None if t is None or x is None else _without_window(t, x) for t, x in zip(text, label, strict=True)], dtype="object")
+
+
+def without_label(text: Column, labels: list[str]) -> Column:
+    """The text without its label, if its matching form contains one; a damaged one goes with the words it is in."""
+    found = T.exact_label(T.match_form(text), labels)
+    literal = T.without_exact_label(text, labels)
+    return F.when(found.isNull(), T.clean(text)).otherwise(F.coalesce(literal, without_window(T.clean(text), F.when(literal.isNull(), found))))
+
+
 def labels_in(form: Column, kinds: dict[str, list[str]], least: float = 0.82) -> Column:
     """struct of the label of each kind, as `label_in` tells them, in one call for all kinds."""
     exact = {k: T.exact_label(form, labels) for k, labels in kinds.items()}

@@ -255,6 +255,12 @@ def exact_label(form: Column, labels: list[str]) -> Column:
     return F.coalesce(*(F.when(form.contains(label), F.lit(label)) for label in labels), F.lit(None).cast("string"))
 
 
+def label_positions(form: Column, labels: list[str]) -> Column:
+    """array of (at, length, label), in order: where each label that a matching form contains begins, from 0."""
+    found = F.array(*(F.struct((F.locate(x, form) - 1).alias("at"), F.lit(len(x)).alias("length"), F.lit(x).alias("label")) for x in labels))
+    return F.array_sort(F.filter(found, lambda x: x["at"] >= 0))
+
+
 def without_exact_label(text: Column, labels: list[str]) -> Column:
     """Text without the first occurrence of the longest label in it; null if none is."""
     x = clean(text)

@@ -44,12 +44,9 @@ UNIT_PATTERN = "(kg|kgs|kilogram|kilograms|g|gm|gms|gram|grams|mg|ml|millilitre|
 
 # Month spellings.
 MONTHS = {
-    name: short
-    for short, names in {
-        "JAN": "jan january", "FEB": "feb february", "MAR": "mar march", "APR": "apr april", "MAY": "may", "JUN": "jun june",
-        "JUL": "jul july", "AUG": "aug august", "SEP": "sep sept september", "OCT": "oct october", "NOV": "nov november", "DEC": "dec december",
-    }.items()
-    for name in names.split()
+    "jan": "JAN", "january": "JAN", "feb": "FEB", "february": "FEB", "mar": "MAR", "march": "MAR", "apr": "APR", "april": "APR", "may": "MAY",
+    "jun": "JUN", "june": "JUN", "jul": "JUL", "july": "JUL", "aug": "AUG", "august": "AUG", "sep": "SEP", "sept": "SEP", "september": "SEP",
+    "oct": "OCT", "october": "OCT", "nov": "NOV", "november": "NOV", "dec": "DEC", "december": "DEC",
 }
 MONTH_PATTERN = r"(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|jun(?:e)?|jul(?:y)?|aug(?:ust)?|sep(?:t(?:ember)?)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelloom.functions import geometry as G
+from labelloom.functions import similarity as S
 from labelloom.functions import text as T
 from labelloom.functions import vocabulary as V
 from labelloom.functions.similarity import labels_in, sequence_ratio, similarity
@@ -82,8 +83,8 @@ class Lines:
 
 
 def without_label(text: Column, matched: Column, labels: list[str]) -> Column:
-    """The text without its label; where the label isn't there to the letter, the text as it is."""
-    return F.when(matched.isNotNull(), F.coalesce(T.without_exact_label(text, labels), T.clean(text)))
+    """The text without its label, for lines that bear one."""
+    return F.when(matched.isNotNull(), S.without_label(text, labels))
 
 
 def product_candidates(lines: Lines) -> DataFrame:

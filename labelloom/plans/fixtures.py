@@ -75,7 +75,7 @@ def label_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("package_id", "index", "text", ((n + 50) / 100).alias("confidence"), box.alias("box"), F.when(F.col("index") % 2 == 0, "original").otherwise("enhanced").alias("source"))
 
 
-PACKAGES = """packages AS (
+PACKAGES = """packages AS MATERIALIZED (
   SELECT p.*, s.s_suppkey, s.s_name, l.l_shipdate
   FROM part p
   JOIN (SELECT l_partkey, l_suppkey, l_shipdate, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_shipdate) AS r FROM lineitem) l ON l.l_partkey = p.p_partkey AND l.r = 1
@@ -103,6 +103,28 @@ label_lines AS (
     CAST(length(text) * 8 AS DOUBLE) AS x1, CAST(i * 400 + 20 AS DOUBLE) AS y1, CASE WHEN i % 2 = 0 THEN 'original' ELSE 'enhanced' END AS source
   FROM printed WHERE text IS NOT NULL)"""
 
+def close_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines 30 pixels apart, with the label on one and the value on the next: a kind of declaration for each package."""
+    k, size = F.col("p_partkey"), F.greatest(F.col("p_size"), F.lit(1)).cast("string")
+    key = k.cast("string")
+    told = [
+        ("Net Weight:", F.concat(size, F.lit(" kg"))), ("Batch No", F.concat(F.lit("AB"), key, F.lit("X"))), ("BEST BEFORE", F.lit("6 MONTHS")),
+        ("FSSAI Lic No", F.concat(F.lit("1001"), F.lpad(key, 10, "0"))), ("Manufactured by", F.concat("s_name", F.lit(" Foods Ltd"))), ("Ingredients:", F.concat(F.lit("Sugar and Salt "), key)),
+        ("PACKING DATE: 11 APR", F.lit("2026")), ("Nutritional Information", F.concat(F.lit("Energy "), key, F.lit(" kcal"))),
+    ]
+    texts = F.element_at(F.array(*(F.array(F.lit(a), b) for a, b in told)), (k % 8 + 1).cast("int"))
+    lines = packages(spark, sf_dir).select(k.alias("package_id"), F.posexplode(texts).alias("index", "text"))
+    box = _box(F.lit(0), F.col("index") * 30, F.lit(200), F.lit(20))
+    return lines.select("package_id", "index", "text", (F.lit(0.9) - F.col("index") * 0.1).alias("confidence"), box.alias("box"), F.lit("original").alias("source"))
+
+
+CLOSE = f"""{PACKAGES},
+close AS (SELECT *, p_partkey % 8 AS kind, CASE p_partkey % 8 WHEN 0 THEN greatest(p_size, 1) || ' kg' WHEN 1 THEN 'AB' || p_partkey || 'X' WHEN 2 THEN '6 MONTHS' WHEN 3 THEN '1001' || lpad(CAST(p_partkey AS VARCHAR), 10, '0')
+  WHEN 4 THEN s_name || ' Foods Ltd' WHEN 5 THEN 'Sugar and Salt ' || p_partkey WHEN 6 THEN '11 APR 2026' ELSE 'Energy ' || p_partkey || ' kcal' END AS value,
+  CASE p_partkey % 8 WHEN 0 THEN 'net_quantity' WHEN 1 THEN 'batch_number' WHEN 2 THEN 'best_before' WHEN 3 THEN 'fssai_license_number' WHEN 4 THEN 'manufacturer' WHEN 5 THEN 'ingredients'
+  WHEN 6 THEN 'manufacturing_date' ELSE 'nutrition' END AS field FROM packages)"""
+
+
 #: Field, and the value printed for it, in terms of `packages`.
 _TOLD = {
     "product_name": "CASE WHEN p_partkey % 11 <> 0 THEN p_name END",
@@ -119,7 +141,8 @@ _TOLD = {
     "expiry_date": "CASE WHEN p_partkey % 4 = 2 THEN upper(strftime(CAST(l_shipdate AS DATE) + 365, '%d %b %Y')) END",
 }
 TOLD = f"""{LABEL_LINES},
-told AS ({' UNION ALL '.join(f"SELECT p_partkey AS package_id, '{f}' AS field, {x} AS value FROM packages" for f, x in _TOLD.items())}),
+told AS MATERIALIZED (
+  SELECT p_partkey AS package_id, unnest([{', '.join(f"'{f}'" for f in _TOLD)}]) AS field, unnest([{', '.join(_TOLD.values())}]) AS value FROM packages),
 declared AS (
   SELECT package_id, {', '.join(f"max(value) FILTER (field = '{f}') AS {f}" for f in _TOLD)}, any_value(raw) AS raw
   FROM told JOIN (SELECT package_id, string_agg(text, ' ' ORDER BY "index") AS raw FROM label_lines GROUP BY package_id) USING (package_id) GROUP BY package_id)"""

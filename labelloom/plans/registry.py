@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -20,6 +21,7 @@ from labelloom.operators.rules import rules as rules_table
 from labelloom.plans import fixtures as D
 from labelloom.plans.package_analysis import analyse, ordered_lines
 from labelloom.sources import images, store
+from labelloom.staging import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -153,6 +155,29 @@ def similarity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("package_id", "i", "j", S.similarity(x, y).alias("ratio"), S.reading_similarity(x, y).alias("reading"), S.fusion_similarity(x, y).alias("fusion"))
 
 
+@query(
+    f"WITH {D.PACKAGES}, t AS (SELECT p_partkey AS package_id, length(p_name) AS a, length(p_name || ' ' || p_type) AS b FROM packages) "
+    "SELECT package_id, round(2.0 * a / (a + b), 6) AS ratio, round(0.75 + 0.25 * length(replace(p_name, ' ', '')) / length(replace(p_name || p_type, ' ', '')), 6) AS reading, round(2.0 * a / (a + b), 6) AS fusion "
+    "FROM t JOIN packages ON p_partkey = package_id"
+)
+def prefix_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A name against itself and more: all of the shorter is matched, so the ratios follow from the lengths."""
+    x, y = F.col("p_name"), F.concat_ws(" ", "p_name", "p_type")
+    ratios = (S.similarity(x, y).alias("ratio"), S.reading_similarity(x, y).alias("reading"), S.fusion_similarity(x, y).alias("fusion"))
+    told = D.packages(spark, sf_dir).select(F.col("p_partkey").alias("package_id"), *ratios)
+    return told.select("package_id", *(F.round(c, 6).alias(c) for c in ("ratio", "reading", "fusion")))
+
+
+@query(
+    f"WITH {D.LABEL_LINES}, t AS (SELECT package_id, \"index\", {form('text')} AS f FROM label_lines), hits AS ("
+    + " UNION ALL ".join(f"SELECT package_id, \"index\", strpos(f, {_q(x)}) - 1 AS \"at\", {len(x)} AS \"length\", {_q(x)} AS label FROM t WHERE contains(f, {_q(x)})" for x in V.LABELS["manufacturer"])
+    + ') SELECT package_id, "index", CAST(row_number() OVER (PARTITION BY package_id, "index" ORDER BY "at", "length", label) AS INT) AS n, CAST("at" AS INT) AS "at", CAST("length" AS INT) AS "length", label FROM hits'
+)
+def label_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = D.label_lines(spark, sf_dir).select("package_id", "index", F.posexplode(T.label_positions(T.match_form(F.col("text")), V.LABELS["manufacturer"])).alias("n", "hit"))
+    return told.select("package_id", "index", (F.col("n") + 1).alias("n"), "hit.*")
+
+
 # ---- geometry ------------------------------------------------------------------------------------------------------
 
 
@@ -169,7 +194,7 @@ def box_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_PAIRS = 'FROM doc_lines a JOIN doc_lines b ON a.package_id = b.package_id AND b."index" - a."index" BETWEEN 1 AND 3'
+_PAIRS = 'FROM doc_lines a JOIN doc_lines b ON a.package_id = b.package_id AND b."index" > a."index" AND abs((a.y0 + a.y1 - b.y0 - b.y1) / 2) <= 180'
 
 
 @query(
@@ -180,9 +205,11 @@ SELECT package_id, i, j, round(CASE WHEN s - c > 0 THEN c / (s - c) ELSE 0 END,
   abs(dy) <= 55 AND abs(dx) <= 500 AS same_region FROM p"""
 )
 def box_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of a document's lines within the reach of neighbours."""
     t = D.doc_lines(spark, sf_dir)
-    a = t.select("package_id", F.col("index").alias("i"), F.col("box").alias("a"), F.explode(F.array(*(F.col("index") + n for n in (1, 2, 3)))).alias("j"))
-    p = a.join(t.select("package_id", F.col("index").alias("j"), F.col("box").alias("b")), ["package_id", "j"])
+    near = lines.ranked_neighbours(t.select("package_id", F.col("index").alias("pos"), G.extent(F.col("box")).alias("geo")), (180.0,)).where("i < j").select("package_id", "i", "j")
+    p = near.join(t.select("package_id", F.col("index").alias("i"), F.col("box").alias("a")), ["package_id", "i"])
+    p = p.join(t.select("package_id", F.col("index").alias("j"), F.col("box").alias("b")), ["package_id", "j"])
     x, y = F.col("a"), F.col("b")
     ex, ey = G.extent(x), G.extent(y)
     return p.select(
@@ -230,18 +257,28 @@ def nearby_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.neighbours(lines.prepare(D.doc_lines(spark, sf_dir))).withColumn("distance", F.round("distance", 4))
 
 
-@query()
-def merged_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two passes over the printed lines, one of them a pixel off."""
+def _two_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two passes over the printed lines, one of them a pixel off and less sure."""
     one = D.label_lines(spark, sf_dir)
     two = one.withColumn("source", F.lit("enhanced")).withColumn("confidence", F.col("confidence") * 0.9).withColumn("index", F.col("index") + 100)
-    two = two.withColumn("box", F.transform("box", lambda p: F.transform(p, lambda v: v + 1)))
-    return ordered_lines(one.unionByName(two))
+    return one.unionByName(two.withColumn("box", F.transform("box", lambda p: F.transform(p, lambda v: v + 1))))
 
 
-@query()
+@query(
+    f'WITH {D.LABEL_LINES} SELECT package_id, CAST(row_number() OVER (PARTITION BY package_id ORDER BY "index") - 1 AS INT) AS "index", text, confidence, x0 AS "left", y0 AS top, source FROM label_lines'
+)
+def merged_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line once, as the surer pass has it."""
+    told = ordered_lines(_two_passes(spark, sf_dir))
+    return told.select("package_id", "index", "text", "confidence", F.col("box")[0][0].alias("left"), F.col("box")[0][1].alias("top"), "source")
+
+
+@query(
+    f'WITH {D.LABEL_LINES}, n AS (SELECT package_id, "index", row_number() OVER (PARTITION BY package_id ORDER BY "index") - 1 AS cluster FROM label_lines) '
+    'SELECT package_id, CAST("index" AS BIGINT) AS "index", cluster FROM n UNION ALL SELECT package_id, CAST("index" AS BIGINT) + 100, cluster FROM n'
+)
 def reading_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.reading_clusters(D.label_lines(spark, sf_dir))
+    return lines.reading_clusters(_two_passes(spark, sf_dir))
 
 
 # ---- parsers -------------------------------------------------------------------------------------------------------
@@ -265,10 +302,14 @@ def quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.label_lines(spark, sf_dir).select("package_id", "index", q.alias("quantity")).where("quantity is not null")
 
 
-@query(f"WITH {D.LABEL_LINES} SELECT package_id, \"index\", regexp_extract(text, 'LOT[0-9]+') AS batch, true AS valid FROM label_lines WHERE \"index\" = 3")
+@query(
+    f"WITH {D.LABEL_LINES} SELECT package_id, \"index\", regexp_extract(text, 'LOT[0-9]+') AS batch, true AS valid FROM label_lines WHERE \"index\" = 3 "
+    # "plot" holds "lot"; what follows has no code but the postal one, which is no batch
+    "UNION ALL SELECT package_id, \"index\", regexp_extract(text, '[0-9]{6}') AS batch, false AS valid FROM label_lines WHERE \"index\" = 12"
+)
 def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     rest = T.found(F.col("text"), r"(?i)(?:batch|lot)\s*(?:no|number)?\s*[:;._\-]?\s*(.+)$")
-    t = D.label_lines(spark, sf_dir).where(F.col("text").startswith("Batch")).select("package_id", "index", T.batch_token(rest).alias("batch"))
+    t = D.label_lines(spark, sf_dir).select("package_id", "index", T.batch_token(rest).alias("batch")).where("batch is not null")
     return t.withColumn("valid", T.is_batch(F.col("batch")))
 
 
@@ -284,7 +325,7 @@ def printed_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(rf"WITH {D.LABEL_LINES} SELECT package_id, " + "\"index\", '+91-98' || regexp_extract(text, '98([0-9]{8})$', 1) AS phone FROM label_lines WHERE \"index\" = 7")
 def phones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = D.label_lines(spark, sf_dir).where(F.col("text").contains("Care"))
+    t = D.label_lines(spark, sf_dir)
     return t.select("package_id", "index", F.explode(T.phones_in(F.col("text"))).alias("phone"))
 
 
@@ -293,9 +334,9 @@ def emails(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.doc_lines(spark, sf_dir).select("package_id", "index", F.explode(T.emails_in(F.col("text"))).alias("mail"))
 
 
-@query(f"WITH {D.DOC_LINES} SELECT package_id, \"index\", regexp_replace(text, '[^0-9]', '', 'g') AS licence FROM doc_lines WHERE length(regexp_replace(text, '[^0-9]', '', 'g')) = 14")
+@query(f"WITH {D.LABEL_LINES} SELECT package_id, \"index\", regexp_replace(text, '[^0-9]', '', 'g') AS licence FROM label_lines WHERE length(regexp_replace(text, '[^0-9]', '', 'g')) = 14")
 def licence_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.doc_lines(spark, sf_dir).select("package_id", "index", T.licence_number(F.col("text")).alias("licence")).where("licence is not null")
+    return D.label_lines(spark, sf_dir).select("package_id", "index", T.licence_number(F.col("text")).alias("licence")).where("licence is not null")
 
 
 def _rlike(x: str, pattern: str) -> str:
@@ -332,6 +373,23 @@ def extracted_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.extract_fields(lines.prepare(D.label_lines(spark, sf_dir)))
 
 
+_EXTRACTED = ORACLE["extracted_fields"]
+
+
+@query(
+    f"""WITH x AS ({_EXTRACTED}), lines AS (WITH {D.LABEL_LINES} SELECT package_id, count(*) AS n_lines, string_agg(text, chr(10) ORDER BY "index") AS raw_text, round(max(confidence), 4) AS best FROM label_lines GROUP BY package_id),
+wide AS (SELECT package_id, """
+    + ", ".join(f"max(value) FILTER (field = '{f}') AS {f}" for f in V.DECLARED_FIELDS)
+    + " FROM x GROUP BY package_id) SELECT * FROM lines LEFT JOIN wide USING (package_id)"
+)
+def package_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One wide row a package, from lines, with its texts and evidence."""
+    prepared = lines.prepare(D.label_lines(spark, sf_dir))
+    told = X.declarations(prepared, X.extract_fields(prepared))
+    best = F.array_max(F.transform("evidence", lambda e: e["confidence"])).alias("best")
+    return told.select("package_id", *V.DECLARED_FIELDS, F.array_join("raw_text", "\n").alias("raw_text"), F.size("evidence").cast("long").alias("n_lines"), best)
+
+
 @query(f"WITH {D.TOLD} SELECT package_id, value FROM told WHERE field = 'mrp' AND value IS NOT NULL")
 def mrp_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.exact_top(X.price_candidates(X.Lines.of(lines.prepare(D.label_lines(spark, sf_dir))))).select("package_id", "value")
@@ -339,7 +397,7 @@ def mrp_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {D.TOLD} SELECT package_id, value FROM told WHERE field = 'consumer_care' AND value IS NOT NULL")
 def consumer_care_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.consumer_care(X.Lines.of(lines.prepare(D.label_lines(spark, sf_dir)))).select("package_id", "value").where("value like '+91-98%'")
+    return X.consumer_care(X.Lines.of(lines.prepare(D.label_lines(spark, sf_dir)))).select("package_id", "value")
 
 
 @query(f"WITH {D.TOLD} SELECT package_id, value FROM told WHERE field = 'veg_nonveg' AND value IS NOT NULL")
@@ -383,6 +441,26 @@ def best_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_group(group_scores(_given_groups(spark, sf_dir)).withColumn("score", F.round("score", 6))).select("package_id", "best")
 
 
+@query(f"WITH {D.CLOSE} SELECT p_partkey AS package_id, field, value FROM close")
+def nearby_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields whose label is on one line and whose value is on the next: every strategy that looks at neighbours."""
+    return X.extract_fields(lines.prepare(D.close_lines(spark, sf_dir)))
+
+
+# a neighbour's points: those of the label's line at confidence .9, of the value's at .8, less 30 pixels over a height of 20
+_NEARBY = f"""{D.CLOSE},
+c AS (SELECT p_partkey AS package_id, field, value, CASE kind WHEN 0 THEN 135 + 18 + 16 WHEN 1 THEN 105 + 18 + 24 - 1.5 WHEN 2 THEN 115 + 18 + 20 WHEN 3 THEN 165 + 22.5 + 44 - 1.5
+    WHEN 4 THEN 115 + 18 + 28 - 1.5 + 25 ELSE 125 + 22.5 + 28 - 1.5 END AS score, CASE WHEN kind IN (0, 2) THEN 0.85 ELSE 0.8 END AS confidence, 1 AS no FROM close WHERE kind <> 6
+  UNION ALL SELECT p_partkey, field, value, 62 + 16 + 45, 0.8, 2 FROM close WHERE kind = 0)"""
+
+
+@query(f"WITH {_NEARBY} SELECT package_id, field, value, round(score, 4)::DOUBLE AS score, round(confidence, 4)::DOUBLE AS confidence, CAST(no AS INT) AS no, 0::INT AS \"group\" FROM c")
+def nearby_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All candidates of such lines, with their points and groups."""
+    told = first_fit(X.clustered_candidates(X.Lines.of(lines.prepare(D.close_lines(spark, sf_dir)))))
+    return told.select("package_id", "field", "value", F.round("score", 4).alias("score"), F.round("confidence", 4).alias("confidence"), "no", "group")
+
+
 @query()
 def value_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_fit(X.clustered_candidates(X.Lines.of(lines.prepare(D.label_lines(spark, sf_dir))))).select("package_id", "field", "no", "group", "value")
@@ -390,9 +468,8 @@ def value_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def contact_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Companies that contact lines suggest, for documents with e-mail addresses."""
-    told = D.doc_lines(spark, sf_dir).where(F.col("text").contains("@"))
-    return X.contact_names(X.Lines(lines.prepare(told))).select("package_id", "hint")
+    """Companies that contact lines of the documents suggest."""
+    return X.contact_names(X.Lines(lines.prepare(D.doc_lines(spark, sf_dir)))).select("package_id", "hint")
 
 
 # ---- model answers and fusion --------------------------------------------------------------------------------------
@@ -539,7 +616,16 @@ def key_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.key_facts(D.told_declarations(spark, sf_dir), ["product_name", "mrp", "net_quantity", "batch_number"])
 
 
-@query()
+_ANALYSED = "WITH ext AS (" + ORACLE["extracted_fields"] + f"), {_FINDINGS.replace('LEFT JOIN told t', 'LEFT JOIN ext t')}"
+
+
+@query(
+    f"""{_ANALYSED}, n AS (SELECT package_id, count(*) AS total_rules, count(*) FILTER (status <> 'not_applicable') AS applicable_rules, count(*) FILTER (status = 'detected') AS detected_rules,
+  count(*) FILTER (status = 'missing') AS missing_rules, 0::BIGINT AS unclear_rules FROM findings GROUP BY package_id),
+w AS (SELECT package_id, CAST(count(DISTINCT field) AS INT) AS detected_fields FROM ext WHERE field IN ({', '.join(_q(f) for f in V.SUMMARY_FIELDS)}) GROUP BY package_id)
+SELECT n.*, round(detected_rules * 100.0::DOUBLE / applicable_rules, 1) AS compliance_percent, CASE WHEN missing_rules > 0 THEN 'review' ELSE 'pass' END AS status,
+  CAST({len(V.SUMMARY_FIELDS)} AS INT) AS total_fields, coalesce(detected_fields, 0) AS detected_fields FROM n LEFT JOIN w USING (package_id)"""
+)
 def package_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole way from lines to verdicts."""
     return analyse(D.label_lines(spark, sf_dir))["compliance"].drop("context", "missing_fields")
@@ -561,13 +647,15 @@ def inspection_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {D.INSPECTIONS} SELECT inspection_id, decision FROM inspections WHERE id % 10 <> 0")
 def inspection_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tombstones hide rows."""
-    rows = D.inspections(spark, sf_dir)
-    return rows.join(rows.where("id % 10 = 0").select("inspection_id"), "inspection_id", "left_anti").select("inspection_id", "decision")
+    kept = store.InspectionStore(spark, f"{shared_dir(spark)}/inspections-{uuid.uuid4().hex}")
+    kept.append(D.inspections(spark, sf_dir).withColumn("_order", F.col("id")).drop("id", "inspection_id"), "_order")
+    kept.delete_all(kept.rows().where("id % 10 = 0"))
+    return kept.rows().select("inspection_id", "decision")
 
 
-@query("SELECT o_orderkey, printf('INS-%05d', row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) + 7) AS inspection_id FROM orders WHERE o_orderstatus = 'P'")
+@query("SELECT o_orderkey, printf('INS-%05d', row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) + 7) AS inspection_id FROM orders")
 def inspection_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = D.table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").withColumn("_d", -F.col("o_orderdate").cast("timestamp").cast("long"))
+    rows = D.table(spark, sf_dir, "orders").withColumn("_d", -F.col("o_orderdate").cast("timestamp").cast("long"))
     return store.with_numbers(rows, 7, "_d", "o_orderkey").select("o_orderkey", "inspection_id")
 
 
@@ -609,3 +697,31 @@ def signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = D.table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("image_no"), F.col("text").cast("binary").alias("content"))
     return images.signature(parts, "conv_id")
 
+
+
+@query(
+    "WITH s AS (SELECT conv_id, sha256(unhex(string_agg(printf('%016x', octet_length(encode(text))) || hex(encode(text)), '' ORDER BY turn))) AS signature FROM conversations GROUP BY conv_id) "
+    'SELECT conv_id, signature, min(conv_id) OVER (PARTITION BY signature) AS "first" FROM s'
+)
+def signature_firsts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What needs one analysis only; turns stand for images."""
+    parts = D.table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("image_no"), F.col("text").cast("binary").alias("content"))
+    return images.once_per_signature(parts, "conv_id")
+
+
+@query("SELECT conv_id, turn, 'data:image/jpeg;base64,' || to_base64(encode(text)) AS url FROM conversations")
+def image_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = D.table(spark, sf_dir, "conversations")
+    return t.select("conv_id", "turn", images.data_url(F.col("text").cast("binary")).alias("url"))
+
+
+@query(
+    f"""WITH {_FINDINGS}, n AS (SELECT package_id, CAST(count(*) FILTER (status <> 'not_applicable') AS INT) AS applicable_rules, CAST(count(*) FILTER (status = 'detected') AS INT) AS detected_rules,
+  CAST(count(*) FILTER (status = 'missing') AS INT) AS missing_rules, 0::INT AS unclear_rules FROM findings GROUP BY package_id)
+SELECT n.*, round(detected_rules * 100.0::DOUBLE / applicable_rules, 1) AS compliance_percent, CAST(n.package_id % 4 AS INT) AS evidence_images, product_name, manufacturer, CAST(NULL AS VARCHAR) AS manufacturer_address, batch_number, mrp, net_quantity,
+  fssai_license_number, manufacturing_date, expiry_date FROM n JOIN declared USING (package_id)"""
+)
+def saved_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is saved of a review."""
+    declared = D.told_declarations(spark, sf_dir).withColumn("evidence_images", F.pmod(F.col("package_id"), F.lit(4)).cast("int"))
+    return store.save_records(declared, _findings(spark, sf_dir))

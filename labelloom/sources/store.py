@@ -68,6 +68,21 @@ def decoded(inspections: DataFrame, schema: str) -> DataFrame:
     return told.withColumn("record", record)
 
 
+def save_records(declared: DataFrame, findings: DataFrame) -> DataFrame:
+    """The fifteen summary values to save of each package, counts made anew from its findings.
+
+    declared has the fields and `evidence_images`; findings (package_id, status). Without applicable rules the percent is 100.
+    """
+    applies = F.col("status") != "not_applicable"
+    counts = findings.groupBy("package_id").agg(
+        F.count_if(applies).cast("int").alias("applicable_rules"), *(F.count_if(F.col("status") == s).cast("int").alias(f"{s}_rules") for s in ("detected", "missing", "unclear"))
+    )
+    names = ("product_name", "manufacturer", "manufacturer_address", "batch_number", "mrp", "net_quantity", "fssai_license_number", "manufacturing_date", "expiry_date")
+    told = declared.select("package_id", *names, F.coalesce("evidence_images", F.lit(0)).alias("evidence_images")).join(counts, "package_id", "left").na.fill(0)
+    percent = F.round(F.try_divide(F.col("detected_rules") * 100.0, F.col("applicable_rules")), 1)
+    return told.withColumn("compliance_percent", F.coalesce(percent, F.lit(100.0)))
+
+
 class InspectionStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -84,8 +99,11 @@ class InspectionStore:
         gone = self._read("deleted", "inspection_id string")
         return self._read("rows", SCHEMA).join(gone, "inspection_id", "left_anti").select(*[c.split()[0] for c in SCHEMA.split(", ")])
 
-    def save(self, records: DataFrame, *order: str) -> list[str]:
-        """Append records (columns of SCHEMA without the numbers; others go into the JSON record) and return their ids."""
+    def append(self, records: DataFrame, *order: str) -> DataFrame:
+        """Append records (columns of SCHEMA without the numbers; others go into the JSON record): (id, inspection_id) of the new ones.
+
+        One writer at a time: numbers follow the highest that is there.
+        """
         last = self._read("rows", SCHEMA).agg(F.max("id")).first()[0] or 0
         told = with_numbers(records, last, *(order or records.columns[:1]))
         if "created_at" not in told.columns:
@@ -94,7 +112,11 @@ class InspectionStore:
         names = [c.split() for c in SCHEMA.split(", ")]
         told = told.select(*((F.col(n) if n in told.columns else F.lit(None)).cast(t).alias(n) for n, t in names))
         told.write.mode("append").parquet(f"{self.path}/rows")
-        return [r[0] for r in self._read("rows", SCHEMA).where(F.col("id") > last).orderBy("id").select("inspection_id").collect()]
+        return self._read("rows", SCHEMA).where(F.col("id") > last).select("id", "inspection_id")
+
+    def save(self, records: DataFrame, *order: str) -> list[str]:
+        """`append` for a few records, whose ids are returned in order."""
+        return [r.inspection_id for r in self.append(records, *order).orderBy("id").collect()]
 
     def list(self, limit: int | None = DEFAULT_LIMIT) -> DataFrame:
         return newest(self.rows(), limit)
@@ -105,5 +127,9 @@ class InspectionStore:
     def delete(self, id_: str) -> bool:
         if self.get(id_).isEmpty():
             return False
-        self.spark.createDataFrame([(id_,)], "inspection_id string").write.mode("append").parquet(f"{self.path}/deleted")
+        self.delete_all(self.spark.createDataFrame([(id_,)], "inspection_id string"))
         return True
+
+    def delete_all(self, ids: DataFrame) -> None:
+        """Tombstones for all of the inspection_id."""
+        ids.select("inspection_id").write.mode("append").parquet(f"{self.path}/deleted")

@@ -138,3 +138,65 @@ def test_stream_of_lines(spark, tmp_path):
     seen = []
     stream_packages(spark, f"file://{tmp_path}/in", lambda df, n: seen.append(df.count()), f"file://{tmp_path}/state").awaitTermination(120)
     assert sum(seen) == 1
+
+
+def test_damaged_label_goes_with_its_words(spark):
+    """The form holds a label that the text has not to the letter: the words that resemble it most go."""
+    from labelloom.functions import similarity as S
+
+    labels = ["net weight", "manufactured by"]
+    texts = ["Manufactured  By: Acme", "Net|Weight 5 kg", "plain text", None, "see Manufactured;by Acme Foods"]
+    rows = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "n int, t string").select("n", S.without_label(F.col("t"), labels).alias("r"))
+    assert [r.r for r in rows.orderBy("n").collect()] == ["Acme", "5 kg", "plain text", "", "see Acme Foods"]
+
+
+def test_first_fit_by_brute_force(spark):
+    import random
+    from difflib import SequenceMatcher
+
+    from labelloom.operators.candidates import first_fit
+
+    rng = random.Random(4)
+    base = ["red lentil", "black gram", "red lentils", "blck gram", "rice", "basmati rice", "red", "kidney beans"]
+    rows = [(p, "x", [n, 0, 0], "".join(c for c in rng.choice(base) if rng.random() > 0.06)) for p in range(12) for n in range(9)]
+    cands = spark.createDataFrame(rows, "package_id long, field string, ord array<int>, value string").where("trim(value) <> ''")
+    got = {(r.package_id, r.no): r["group"] for r in first_fit(cands).collect()}
+    for p in range(12):
+        firsts: list[str] = []
+        for n, v in enumerate((" ".join(v.split()) for q, _, _, v in rows if q == p and v.strip()), 1):
+            for g, f in enumerate(firsts):
+                a, b = set(v.split()), set(f.split())
+                x, y = v.replace(" ", ""), f.replace(" ", "")
+                if len(a & b) / max(len(a), len(b)) >= 0.78 or x in y or y in x or SequenceMatcher(None, v, f).ratio() >= 0.78:
+                    break
+            else:
+                g = len(firsts)
+                firsts.append(v)
+            assert got[p, n] == g, (p, n, v)
+
+
+def test_images_to_verdicts(spark):
+    """Every package is told of: one that reads, its copy, one whose images fail, and one without images."""
+    from labelloom.plans.package_analysis import analyse_images
+
+    box = [[0.0, 0.0], [90.0, 0.0], [90.0, 20.0], [0.0, 20.0]]
+
+    def reader(content, name):
+        if content == b"bad":
+            raise ValueError("no picture")
+        return [(content.decode(), 0.9, box)] if name == "original" else []
+
+    def answerer(prompt, images):
+        assert all(u.startswith("data:image/jpeg;base64,") for u in images) and len(images) == prompt.count("MRP")
+        return "{}"
+
+    images = spark.createDataFrame(
+        [("a", 0, b"MRP Rs 50.00"), ("b", 0, b"MRP Rs 50.00"), ("c", 0, b"bad"), ("d", 0, b"bad"), ("d", 1, b"MRP Rs 7.00")], "package_id string, image_no int, content binary"
+    )
+    packages = spark.createDataFrame([(x,) for x in "abcde"], "package_id string")
+    # d has two images, of which one reads
+    found = analyse_images(images, reader, lambda p, u: answerer(p, u[:1]), packages)
+    told = {r.package_id: (r["first"], r.status, r.images_processed, len(r.errors)) for r in found["packages"].collect()}
+    assert told == {"a": ("a", "ok", 1, 0), "b": ("a", "ok", 1, 0), "c": ("c", "error", 0, 1), "d": ("d", "ok", 1, 1), "e": ("e", "error", 0, 1)}
+    assert {r.package_id: r.mrp for r in found["declarations"].collect()} == {"a": "₹50.00", "d": "₹7.00"}
+    assert found["errors"].count() == 0
