@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 
 from labelloom.llm.common import labelled_rows, labelled_sample
 
-TOKEN = re.compile(r"[^\s]+")
 WINDOW = 5
 STEMS = (4, 5, 6)
 FUZZY_LETTERS = 5
@@ -76,7 +75,7 @@ class Trie:
         return depths
 
     def _near_stem(self, word: str) -> bool:
-        return word[:2] in self.stem_heads or any(word[i : i + 3] in self.stem_tails for i in self.stem_starts)
+        return word[:2] in self.stem_heads or not self.stem_tails.isdisjoint([word[i : i + 3] for i in self.stem_starts])
 
     def match(self, word: str) -> int:
         at = 0
@@ -95,31 +94,34 @@ class Trie:
         return NONE
 
     def within_one_edit(self, word: str) -> int:
-        """Trie and automaton in step: states are trie nodes with the edits used so far. A stem needs only the word's beginning."""
-        states, near = {(0, 0)}, False
-        for c in word:
-            reach = set()
-            for node, used in states:
-                if (same := self.next[node].get(c)) is not None:
-                    reach.add((same, used))
-                if not used:
-                    reach.add((node, 1))  # a letter too many
-                    for d, child in self.next[node].items():
-                        if d != c:
-                            reach.add((child, 1))  # another letter
-                        if (after := self.next[child].get(c)) is not None:
-                            reach.add((after, 1))  # a letter too few before this one
-            near = near or any(self.fuzzy_stem[node] for node, _ in reach)
-            if not reach:
+        """Trie and automaton in step, an edit tried after each letter that fits. A stem needs only the word's beginning."""
+        at, near, end = 0, False, len(word)
+        for i in range(end + 1):
+            c = word[i : i + 1]
+            edits = [(at, i + 1)] if c else []  # a letter too many
+            for d, child in self.next[at].items():
+                if c and d != c:
+                    edits.append((child, i + 1))  # another letter
+                    near = near or self.fuzzy_stem[child]
+                if not c or c in self.next[child]:
+                    edits.append((child, i))  # a letter too few
+            for node, j in edits:
+                while j < end and (node := self.next[node].get(word[j], -1)) >= 0:
+                    near = near or self.fuzzy_stem[node]
+                    j += 1
+                if node >= 0 and self.fuzzy[node]:
+                    return FUZZY
+            if (at := self.next[at].get(c, -1)) < 0:
                 break
-            states = reach
-        else:
-            if any(self.fuzzy[node] or (not used and any(self.fuzzy[x] for x in self.next[node].values())) for node, used in states):
+            near = near or self.fuzzy_stem[at]
+            if i == end - 1 and self.fuzzy[at]:
                 return FUZZY
         return NEAR_STEM if near else NONE
 
 
 class _Matches(dict):
+    """Kinds by token."""
+
     def __init__(self, trie: Trie):
         super().__init__()
         self.trie = trie
@@ -128,6 +130,10 @@ class _Matches(dict):
         self[token] = kind = self.trie.match(normal(token))
         return kind
 
+    def bound(self) -> None:
+        if len(self) > CACHED_WORDS:
+            self.clear()
+
 
 def normal(token: str) -> str:
     return _EDGE.sub("", token.lower())
@@ -147,9 +153,8 @@ class Scorer:
         self.matches, self.context = _Matches(trie), context
 
     def hits(self, text: str) -> tuple[list[str], list[tuple[int, int]]]:
-        tokens = TOKEN.findall(text)
-        if len(self.matches) > CACHED_WORDS:
-            self.matches.clear()
+        tokens = text.split()
+        self.matches.bound()
         kinds = list(map(self.matches.__getitem__, tokens))
         return tokens, [(i, k) for i, k in enumerate(kinds) if k] if any(kinds) else []
 
@@ -174,7 +179,7 @@ def _term_counts(rows: DataFrame) -> DataFrame:
         for batch in batches:
             counts: dict[tuple[str, int], list[int]] = {}
             for label, text in zip(batch["label"], batch["text"], strict=True):
-                words = {w for t in set(TOKEN.findall(text)) if len(w := normal(t)) >= 3}
+                words = {w for t in set(text.split()) if len(w := normal(t)) >= 3}
                 found = {(w, 0) for w in words} | {(w[:k], 1) for w in words for k in STEMS if len(w) > k}
                 for f in found:
                     counts.setdefault(f, [0, 0])[1 - int(label > 0)] += 1
@@ -245,8 +250,12 @@ def score_toxicity(
     trie = Trie(words, stems)
 
     def clean_forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        matches = _Matches(trie)
         for batch in batches:
-            found = {(w, f) for t, f in zip(batch["text"], batch["fold"], strict=True) for w in map(normal, TOKEN.findall(t)) if trie.match(w) in (FUZZY, NEAR_STEM)}
+            found = set()
+            for text, fold in zip(batch["text"], batch["fold"], strict=True):
+                matches.bound()
+                found |= {(normal(t), fold) for t in set(text.split()) if matches[t] in (FUZZY, NEAR_STEM)}
             yield pd.DataFrame(sorted(found), columns=["form", "fold"])
 
     forms = rows.where("label = 0").select("text", "fold").mapInPandas(clean_forms, "form string, fold int").distinct().collect()
