@@ -178,94 +178,175 @@ def test_urls_by_brute_force(spark):
         assert r.verdict == best.verdict if best else r.verdict in ("allow", "block")
 
 
+def judged(spark, rows, **parameters):
+    """By host and shape, the judged row of (host, shape, bad) rows."""
+    urls = spark.createDataFrame(rows, "host string, shape array<string>, bad int")
+    keys = {r.k: tuple(r["shape"]) for r in urls.select("shape", F.xxhash64("shape").alias("k")).collect()}
+    return {(r.host, keys[r.shape_key]): r for r in url_filter.template_verdicts(urls, **parameters).collect()}
+
+
 def test_templates_follow_labels(spark):
     rows = [("h", [p, "*"], bad) for p, bad in (("ads", 1), ("news", 0)) for _ in range(40)] + [("h", ["ads", "x"], None), ("h", ["news", "x"], None), ("g", ["ads", "x"], None)]
-    got = url_filter.template_verdicts(spark.createDataFrame(rows, "host string, shape array<string>, bad int"))
-    verdict = {(r.host, *r["shape"]): r.verdict for r in got.collect()}
-    assert verdict["h", "ads", "*"] == "block" and verdict["h", "news", "*"] == "allow" and verdict["g", "ads", "x"] == "allow"
+    got = judged(spark, rows)
+    assert len(got) == 5 and sum(r.n for r in got.values()) == len(rows)
+    assert got["h", ("ads", "*")].verdict == got["h", ("ads", "x")].verdict == "block"
+    assert got["h", ("news", "*")].verdict == got["h", ("news", "x")].verdict == got["g", ("ads", "x")].verdict == "allow"
     assert url_filter.filter_urls(spark.createDataFrame([], "page_id bigint, url string"), queries.URL_RULES).count() == 0
 
 
 def test_templates_without_labels_are_not_blocked_for_their_host(spark):
     """Blocks under one branch of a host say nothing of its others, however many or rare those are."""
-    rows = [("h", ["de", "*"], 1)] * 40 + [("h", ["en", "*"], None)] * 9 + [("h", ["*", "*"], None), ("h", ["de", "x", "y"], None), ("h", ["de"], None)]
-    rows += [("r", ["de", "*"], 1)] * 9 + [("r", [f"v{n}", "*"], None) for n in range(90)]
-    rows += [("m", [p, "*"], 1) for p in ("de", "at") for _ in range(9)] + [("m", ["*", "*"], None), ("m", ["en"], None)]
-    rows += [("f", ["de", "*"], 1)] * 2 + [("f", ["en", "*"], None)]
+    rows = [("h.a", ["de", "*"], 1)] * 40 + [("h.a", ["en", "*"], None)] * 9 + [("h.a", ["*", "*"], None), ("h.a", ["de", "x", "y"], None), ("h.a", ["de"], None)]
+    rows += [("r.b", ["dr", "*"], 1)] * 9 + [("r.b", [f"v{n}", "*"], None) for n in range(90)]
+    rows += [("m.c", [p, "*"], 1) for p in ("dm", "at") for _ in range(9)] + [("m.c", ["*", "*"], None), ("m.c", ["en"], None)]
+    rows += [("f.d", ["df", "*"], 1)] * 2 + [("f.d", ["en", "*"], None)]
     # below a branch of one kind rare values share its verdict
-    rows += [("b", ["ads", f"v{n}"], 1 if n < 9 else None) for n in range(90)] + [("b", ["news", "x"], 0), ("b", ["news", "y"], None)]
-    got = url_filter.template_verdicts(spark.createDataFrame(rows, "host string, shape array<string>, bad int")).collect()
-    blocked = {(r.host, r["shape"][0]) for r in got if r.verdict == "block"}
+    rows += [("b.e", ["ads", f"v{n}"], 1 if n < 9 else None) for n in range(90)] + [("b.e", ["news", "x"], 0), ("b.e", ["news", "y"], None)]
+    got = judged(spark, rows)
+    blocked = {(host, shape[0]) for (host, shape), r in got.items() if r.verdict == "block"}
     assert len(got) == len({(h, *s) for h, s, _ in rows})
-    assert blocked == {("h", "de"), ("r", "de"), ("m", "de"), ("m", "at"), ("b", "ads")}
-    assert all(r.verdict == "block" for r in got if (r.host, r["shape"][0]) in blocked)
+    assert blocked == {("h.a", "de"), ("r.b", "dr"), ("m.c", "dm"), ("m.c", "at"), ("b.e", "ads")}
+    assert all(r.verdict == "block" for (host, shape), r in got.items() if (host, shape[0]) in blocked)
+
+
+def test_like_templates_of_other_hosts_speak(spark):
+    """Hosts of the same domain count once each; other domains count once each however many hosts they have."""
+    rows = [(f"h{k}.shop.com", ["ads", "*"], 1) for k in range(6)] + [("new.shop.com", ["ads", "7"], None), ("new.shop.com", ["news", "7"], None)]
+    rows += [("new.other.org", ["ads", "*"], None)] + [("h0.shop.com", ["ads", "*"], 1)] * 50
+    got = judged(spark, rows)
+    assert got["new.shop.com", ("ads", "7")].verdict == "block"
+    assert got["new.shop.com", ("news", "7")].verdict == got["new.other.org", ("ads", "*")].verdict == "allow"
+    assert got["new.other.org", ("ads", "*")].purity > got["new.shop.com", ("news", "7")].purity
 
 
 def test_deep_branches_have_templates_of_their_own(spark):
-    """Labels below the sixth segment decide there, and long single branches cost no levels."""
-    urls = [f"http://x.org/a/b/c/d/e/{kind}/{n}" for kind in ("ads", "news") for n in range(9)] + ["http://x.org/" + "s/" * 500 + "end"]
+    """Labels below the sixth segment decide there, and long paths and segments cost no more than their length."""
+    urls = [f"http://x.org/a/b/c/d/e/{kind}/{n}" for kind in ("ads", "news") for n in range(9)] + ["http://x.org/" + "s/" * 10_000 + "end"]
+    urls += ["http://x.org/" + "z" * 65 + "/1", "http://x.org/" + "z" * 64 + "y/1"]
     rules = [url_filter.Rule("block", "x.org", f"/a/b/c/d/e/ads/{n}") for n in range(8)] + [url_filter.Rule("allow", "x.org", "/a/b/c/d/e/news/1")]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
-    got = {urls[r.page_id]: r for r in url_filter.filter_urls(pages, rules).collect()}
+    got = {urls[r.page_id]: r for r in url_filter.filter_urls(pages, rules, most_values=1000).collect()}
     ads, news = (got[f"http://x.org/a/b/c/d/e/{kind}/8"] for kind in ("ads", "news"))
-    assert len(got) == 19 and not ads.rule and not news.rule
+    assert len(got) == 21 and not ads.rule and not news.rule
     assert (ads.verdict, news.verdict) == ("block", "allow") and ads.template != news.template
-    assert got[urls[-1]].template.endswith("/s/end")
-
-
-def _purities(rows, smoothing=4.0, prior=0.1):
-    """By host and shape, without merging: own labels or the nearest branch's, drawn towards the host's other branches."""
-    found = {}
-    for host, shape, _ in rows:
-        told = [(s, b) for h, s, b in rows if h == host and b is not None]
-        others: dict[str, list[int]] = {}
-        for s, b in told:
-            if s[0] != shape[0]:
-                others.setdefault(s[0], []).append(b)
-        base = (sum(sum(c) / len(c) for c in others.values()) + smoothing * prior) / (len(others) + smoothing)
-        near = [b for s, b in told if s == shape]
-        for k in range(len(shape), 0, -1):
-            near = near or [b for s, b in told if s[:k] == shape[:k]]
-        found[host, tuple(shape)] = (sum(near) + smoothing * base) / (len(near) + smoothing)
-    return found
-
-
-def test_purity_down_the_tree_by_brute_force(spark):
-    """Siblings differ in depth and share of bad rows, so that none merge."""
+    assert got[urls[-3]].template.endswith("/s/end")
+
+
+def test_long_segments_are_not_one(spark):
+    long = ["l" * 65, "m" * 65]
+    rows = [("h", [long[0]], 1)] * 9 + [("h", [long[1]], 0)] * 9
+    got = judged(spark, rows)
+    assert [got["h", (x,)].verdict for x in long] == ["block", "allow"]
+    assert {r.template for r in got.values()} == {f"/{x}" for x in long}
+
+
+def judged_by_hand(rows, most_values=64, least_support=3.0, z=1.96, smoothing=4.0, kin=2.0, prior=0.1):
+    """(template, purity) by host and shape, from the definition."""
+    shapes: dict[tuple, list] = {}
+    for h, s, bad in rows:
+        x = shapes.setdefault((h, tuple(s)), [0, 0, 0])
+        x[0], x[1], x[2] = x[0] + 1, x[1] + (bad or 0), x[2] + (bad is not None)
+    to = {}
+    for h, s in shapes:
+        for k in range(len(s)):
+            under: dict[str, list] = {}
+            for (h2, s2), x in shapes.items():
+                if h2 == h and len(s2) > k and s2[:k] == s[:k]:
+                    v = under.setdefault(s2[k], [0, 0, 0, set()])
+                    v[0], v[1], v[2] = v[0] + x[0], v[1] + x[1], v[2] + x[2]
+                    v[3].add(s2[k + 1 :])
+            n, bad, labelled = (sum(v[i] for v in under.values()) for i in range(3))
+            own = under[s[k]]
+            if own[2]:
+                p = bad / labelled
+                alike = abs(own[1] / own[2] - p) <= z * (max(p * (1 - p), 0.01) / own[2]) ** 0.5
+                to[h, s, k] = "?" if alike and sum(v[2] > 0 for v in under.values()) > 1 else s[k]
+            else:
+                same = sum(v[2] == 0 and v[3] == own[3] for v in under.values()) > 1
+                to[h, s, k] = "#" if same or (len(under) > most_values and n < least_support * len(under)) else s[k]
+    template = {(h, s): tuple(to[h, s, k] for k in range(len(s))) for h, s in shapes}
+
+    def mean(x):
+        return sum(x) / len(x)
+
+    def share(keys):
+        return sum(shapes[k][1] for k in keys) / sum(shapes[k][2] for k in keys)
+
+    def chain(host):
+        labels = host.split(".")
+        return ["" if k == 0 else ".".join(labels[-k:]) for k in range(min(len(labels) - 1, url_filter.DOMAINS) + 1)] + [host]
+
+    base = {}
+    for h, s in shapes:
+        told = [k for k in shapes if k[0] == h and shapes[k][2]]
+        others = [share([k for k in told if k[1][0] == c]) for c in {k[1][0] for k in told if template[k][0] != template[h, s][0]}]
+        x = (sum(others) + smoothing * prior) / (len(others) + smoothing)
+        for at, domain in enumerate(chain(h)[:-1]):
+            for k in range(len(s), 0, -1):
+                children: dict[tuple, list] = {}
+                for h2 in {k2[0] for k2 in shapes}:
+                    c = chain(h2)
+                    keys = [k2 for k2 in shapes if k2[0] == h2 and shapes[k2][2] and k2[1][:k] == s[:k]]
+                    if keys and len(c) > at + 1 and c[at] == domain and (c[at + 1], len(c) == at + 2) != (chain(h)[at + 1], len(chain(h)) == at + 2):
+                        children.setdefault((c[at + 1], len(c) == at + 2), []).append(share(keys))
+                if children:
+                    w = kin if at >= url_filter.KIN else smoothing
+                    x = (sum(mean(c) for c in children.values()) + w * x) / (len(children) + w)
+                    break
+        base[h, s] = x
+    out = {}
+    for h, s in shapes:
+        t = template[h, s]
+        same = [k for k in shapes if k[0] == h and template[k] == t]
+        b = base[h, s]
+        near = [k for k in same if shapes[k][2]]
+        for k in range(len(t), 0, -1):
+            near = near or [x for x in shapes if x[0] == h and shapes[x][2] and template[x][:k] == t[:k]]
+        out[h, s] = "/" + "/".join(t), (sum(shapes[k][1] for k in near) + smoothing * b) / (sum(shapes[k][2] for k in near) + smoothing)
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_templates_and_purity_by_brute_force(spark, seed):
+    """With merged branches of both kinds, hosts without labels, domains of all depths."""
+    rng = random.Random(seed)
+    hosts = ["", "com", "a.com", "b.com", "c.b.com", "d.c.b.com", "e.d.c.b.com", "f.e.d.c.b.com", "g.e.d.c.b.com", "x.org", "y.org"]
     rows = []
-    for host in ("h", "g"):
-        for a, share in (("p", 0.0), ("q", 0.5), ("r", 1.0)):
-            for b in range({"p": 1, "q": 2, "r": 3}[a]):
-                rows += [(host, [a, *["x"] * b, "end"], int(n < share * 40)) for n in range(40)]
-            rows.append((host, [a, "y", "z", f"t{a}"], None))
-        rows.append((host, ["alone"], None))
-    rows.append(("empty", [""], None))
-    got = url_filter.template_verdicts(spark.createDataFrame(rows, "host string, shape array<string>, bad int"), chance_z=0.0).collect()
-    want = _purities([(h, s, b) for h, s, b in rows])
-    assert len(got) == len(want)
-    for r in got:
-        assert abs(r.purity - want[r.host, tuple(r["shape"])]) < 1e-9, r
+    for _ in range(700):
+        h = rng.choice(hosts)
+        s = [rng.choice(["p", "q", "r", "s", ""]) for _ in range(rng.randrange(1, 4))]
+        rows.append((h, s, None if h == "y.org" or s[0] == "s" or rng.random() < 0.3 else int(rng.random() < {"p": 0.9, "q": 0.5}.get(s[0], 0.1))))
+    rows += [("x.org", ["v", f"u{n}", "*"], None) for n in range(9)] + [("x.org", ["w", f"u{n % 6}", f"t{n}"], None) for n in range(9)]
+    got = judged(spark, rows, most_values=5)
+    want = judged_by_hand(rows, most_values=5)
+    assert got.keys() == want.keys() and {"?", "#"} <= {x for r in got.values() for x in r.template.split("/")}
+    for k, r in got.items():
+        assert r.template == want[k][0] and abs(r.purity - want[k][1]) < 1e-9, k
         assert r.verdict == ("block" if r.purity >= 0.5 else "allow")
 
 
-def test_hidden_rule_labels_are_found_again(spark):
-    """A fifth of the pages that rules decide goes without; what the tree then says of them agrees with the rules."""
-    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+@pytest.mark.parametrize(("sf", "parts"), [("sf0.01", 5), ("sf0.1", 1)])
+def test_hidden_rule_labels_are_found_again(spark, sf, parts):
+    """A fifth of the pages that rules decide goes without (at the small size each fifth in turn); what the tree then says of them agrees with the rules."""
+    pages = spark.read.parquet(f"/root/testdata/{sf}/pages.parquet")
     host, path = url_filter.url_host(F.col("url")), url_filter.url_path(F.col("url"))
     rule, verdict = url_filter.matching_rule(F.col("host"), F.col("path"), queries.URL_RULES)
     urls = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("want", verdict)
-    urls = urls.withColumn("shape", F.transform(F.split(F.regexp_replace("path", "^/", ""), "/"), url_filter._generalised))
-    hidden = F.pmod(F.xxhash64("page_id"), F.lit(5)) == 0
-    urls = urls.withColumn("bad", F.when(~hidden, F.when(F.col("want") == "block", 1).when(F.col("want") == "allow", 0)))
-    judged = url_filter.template_verdicts(urls.select("host", "shape", "bad"))
-    rows = urls.where(hidden & F.col("want").isNotNull()).join(judged, ["host", "shape"]).select("want", "verdict").collect()
-    blocked = [r.want for r in rows if r.verdict == "block"]
-    allowed = [r.want for r in rows if r.verdict == "allow"]
-    assert len(rows) >= 20 and blocked.count("block") >= 0.95 * len(blocked) and allowed.count("allow") == sum(r.want == "allow" for r in rows)
+    urls = urls.withColumn("shape", url_filter.url_shape(F.col("path")))
+    found = []
+    for part in range(parts):
+        hidden = F.pmod(F.xxhash64("page_id"), F.lit(5)) == part
+        told = urls.withColumn("bad", F.when(~hidden, F.when(F.col("want") == "block", 1).when(F.col("want") == "allow", 0)))
+        verdicts = url_filter.template_verdicts(told.select("host", "shape", "bad"))
+        asked = urls.where(hidden & F.col("want").isNotNull()).withColumn("shape_key", F.xxhash64("shape"))
+        found += asked.join(verdicts, ["host", "shape_key"]).select("want", "verdict").collect()
+    bad, blocked = (sum(r[k] == "block" for r in found) for k in (0, 1))
+    both = sum(tuple(r) == ("block", "block") for r in found)
+    assert bad >= 50 and both >= 0.9 * bad and both >= 0.95 * blocked
 
 
 def test_urls_repeated_long_and_with_clashing_columns(spark):
-    long = "http://a.org/fr/" + "x" * 50_000 + "/1" * 400
+    long = "http://a.org/fr/" + "x" * 50_000 + "/1" * 10_000
     rows = [(1, long), (1, long), (2, "http://a.org/fr/1"), (None, "http://a.net/x"), (3, None)]
     pages = spark.createDataFrame(rows, "page_id bigint, url string").withColumns({c: F.lit(c) for c in ("host", "path", "rule", "verdict", "shape", "template", "parent", "n")})
     got = url_filter.filter_urls(pages, queries.URL_RULES)
