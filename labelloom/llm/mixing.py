@@ -18,9 +18,15 @@ Sources share `share` times all words by weight. Weights repeat along the
 sources in code point order, null last. A target stops at `most` times its
 source; the rest goes to the other sources by weight until none is above.
 
+Rows equal in id, source and all other columns are placed together and then dealt
+out, so a row that is a third of the table fills no bucket alone. The table of
+sources has a row for each and is ordered in one task: it is meant for up to
+some millions of sources.
+
 Null texts have size 0; they are returned with taken 0, and so are all rows of
 a source or a table without words. Repeated rows are separate documents of their
-source. An empty table gives no rows; other columns don't matter.
+source, with places of their own. An empty table gives no rows; other columns
+only tell rows of one id apart.
 """
 
 from __future__ import annotations
@@ -144,24 +150,40 @@ def _slots(sources: DataFrame, count: int, shard_slots: int, seed: int, cells: i
     )
 
 
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of all columns, but for maps, which have no order."""
+    return F.xxhash64(*(F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"))
+
+
+def _one_by_one(placed: DataFrame, tasks: int, lane: int = 1000) -> DataFrame:
+    """A row for each of the `copies` of a placed row, each with its own start; many copies of one row are dealt to all tasks."""
+    many = placed.where("copies > 1").withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(lane).cast("long"))))
+    many = many.repartition(tasks).withColumn("at", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + lane, F.col("copies")) - 1)))
+    start = F.col("start") + F.col("at") * F.col("size")
+    return placed.where("copies = 1").drop("copies").unionByName(many.withColumn("start", start).drop("copies", "from", "at"))
+
+
 def mix_sources(
     docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block: int = 512,
     shard_slots: int = 256, buckets: int = 1024, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
 ) -> tuple[DataFrame, DataFrame]:
     """The mixed documents and the pieces that the mix takes of them.
 
-    First (id, text_hash, source, size, source_size, target, taken), one row for
-    each input row; then (id, text_hash, source_no, shard, k, pass, from_word,
-    to_word): pieces in slot k of the source, in words of the document.
+    First (id, row_hash, source, size, source_size, target, taken), one row for
+    each input row; then (id, row_hash, source_no, start, shard, k, pass, from_word,
+    to_word): pieces in slot k of the source, in words of the document that starts
+    at that word of its source.
     """
     base = docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"),
-        F.xxhash64(F.col(text_col)).alias("text_hash"), word_count(F.col(text_col)).alias("size"),
+        row_hash(docs).alias("row_hash"), word_count(F.col(text_col)).alias("size"),
     )
-    bucket = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(buckets)).cast("int")
-    order = Window.partitionBy("source", "bucket").orderBy("doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = stage(base.withColumn("bucket", bucket).withColumn("end", F.sum("size").over(order)), "mix-documents")
-    totals = placed.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
+    base = base.groupBy("doc_id", "source", "row_hash", "size").agg(F.count("*").alias("copies"))
+    bucket = F.pmod(F.xxhash64("doc_id", "row_hash"), F.lit(buckets)).cast("int")
+    order = Window.partitionBy("source", "bucket").orderBy("doc_id", "row_hash").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    all_size = F.col("size") * F.col("copies")
+    placed = stage(base.withColumn("bucket", bucket).withColumn("end", F.sum(all_size).over(order)), "mix-documents")
+    totals = placed.groupBy("source", "bucket").agg(F.sum(all_size).alias("n"))
     ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sources = stage(source_targets(totals.groupBy("source").agg(F.sum("n").alias("source_size")), weights, share, most), "mix-sources")
     count = sources.count()
@@ -172,9 +194,10 @@ def mix_sources(
     spread = (
         placed.alias("d")
         .join(o, F.col("d.source").eqNullSafe(F.col("o.source")) & (F.col("d.bucket") == F.col("o.bucket")))
-        .select("d.doc_id", "d.text_hash", "d.source", "size", "source_no", "source_size", "target", (F.col("offset") + F.col("end") - F.col("size")).alias("start"))
+        .select("d.doc_id", "d.row_hash", "d.source", "size", "source_no", "source_size", "target", "copies", (F.col("offset") + F.col("end") - all_size).alias("start"))
     )
-    spread = stage(spread, "mix-placed")
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = stage(_one_by_one(stage(spread, "mix-groups"), tasks), "mix-placed")
     words = F.least(F.round("target"), F.floor(most * F.col("source_size"))).cast("long")
     budget = sources.select("source_no", "source_size", words.alias("words"))
     blocks = F.ceil(F.col("source_size") / block)
@@ -207,20 +230,20 @@ def mix_sources(
         .select("source_no", "block", "shard", "k", "pass", "fill")
     )
     segments = spread.where("size > 0").select(
-        "doc_id", "text_hash", "source_no", "start", "size",
+        "doc_id", "row_hash", "source_no", "start", "size",
         F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("block"),
     )
     first = F.greatest(F.col("start"), F.col("block") * block)
     last = F.least(F.col("start") + F.col("size"), F.col("block") * block + F.col("fill"))
     pieces = (
         segments.join(taken_slots, ["source_no", "block"])
-        .select("doc_id", "text_hash", "source_no", "start", "shard", "k", "pass", (first - F.col("start")).alias("from_word"), (last - F.col("start")).alias("to_word"))
+        .select("doc_id", "row_hash", "source_no", "start", "shard", "k", "pass", (first - F.col("start")).alias("from_word"), (last - F.col("start")).alias("to_word"))
         .where("to_word > from_word")
     )
     got = pieces.groupBy("source_no", "start").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
     words_of = spread.where("size > 0").join(got, ["source_no", "start"], "left").select(*spread.columns, F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     mixed = words_of.unionByName(spread.where("size = 0").withColumn("taken", F.lit(0).cast("long")))
-    names = [F.col("doc_id").alias(id_col), "text_hash", F.col("source").alias(source_col), "size", "source_size", "target", "taken"]
+    names = [F.col("doc_id").alias(id_col), "row_hash", F.col("source").alias(source_col), "size", "source_size", "target", "taken"]
     return mixed.select(*names), pieces.withColumnRenamed("doc_id", id_col)
 
 
@@ -229,18 +252,19 @@ def mixed_documents(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id",
 
     A document that a pass takes whole stays as it is; of others the words taken
     remain, with a space between. The number of characters, if there is such a
-    column, follows the text.
+    column, follows the text. Rows that share an id keep their own columns; only
+    rows equal in all of them stand for each other.
     """
-    parts = pieces.select(F.col(id_col).alias("id"), "text_hash", "source_no", "start", "pass", "from_word", "to_word")
-    parts = parts.groupBy("id", "text_hash", "source_no", "start", "pass").agg(
+    parts = pieces.select(F.col(id_col).alias("id"), "row_hash", "source_no", "start", "pass", "from_word", "to_word")
+    parts = parts.groupBy("id", "row_hash", "source_no", "start", "pass").agg(
         F.sum(F.col("to_word") - F.col("from_word")).alias("taken"),
         F.array_sort(F.collect_list(F.struct("from_word", "to_word"))).alias("spans"),
     )
     p = parts.alias("p")
     # the row is kept as one struct, so its columns may have any names
-    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.struct(*docs.columns).alias("row"))
-    t = texts.dropDuplicates(["id", "text_hash"]).alias("t")
-    joined = t.join(p, F.col("t.id").eqNullSafe(F.col("p.id")) & (F.col("t.text_hash") == F.col("p.text_hash"))).select("row", "taken", "spans")
+    texts = docs.select(F.col(id_col).alias("id"), row_hash(docs).alias("row_hash"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    t = texts.dropDuplicates(["id", "row_hash"]).alias("t")
+    joined = t.join(p, F.col("t.id").eqNullSafe(F.col("p.id")) & (F.col("t.row_hash") == F.col("p.row_hash"))).select("row", "taken", "spans")
     text = F.col("row")[text_col]
     cut = joined.where(F.col("taken") < word_count(text)).withColumn("words", F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)))
     span = F.transform("spans", lambda s: F.slice("words", (s["from_word"] + 1).cast("int"), (s["to_word"] - s["from_word"]).cast("int")))

@@ -83,6 +83,30 @@ def test_permutation(spark):
     assert sorted(r.p for r in rows) == list(range(97)) and all(r.q == r.id for r in rows) and sum(r.p == r.id for r in rows) < 20
 
 
+def test_mixed_rows_keep_their_own_columns(spark):
+    """Rows of equal or no id and equal text that differ in source, language or length only, and rows repeated often."""
+    text = "a b c d"
+    rows = [(None, text, "de", "B", 7), (None, text, "en", "A", 7), (1, text, "de", "A", 7), (1, text, "en", "A", 7), (1, text, "en", None, 7), (2, "x y", "fr", "B", 3)]
+    rows += [(3, "one two three", "es", "C", 13)] * 2500 + [(4, None, "es", "C", 0), (5, "", "es", "D", 0)]
+    docs = spark.createDataFrame(rows, DOC)
+    mixed, pieces = mixing.mix_sources(docs, block=3)
+    told = mixed.collect()
+    assert len(told) == len(rows) and len({r.source for r in told}) == 5
+    taken = {}
+    for r in told:
+        taken[r.doc_id, r.source] = taken.get((r.doc_id, r.source), 0) + r.taken
+        assert r.taken <= 2 * r.size
+    held, seen = {}, set()
+    for r in mixing.mixed_documents(docs, pieces).collect():
+        held[r.doc_id, r.source] = held.get((r.doc_id, r.source), 0) + len(WORD.findall(r.text))
+        seen.add((r.doc_id, r.lang, r.source))
+        assert r.n_chars == len(r.text)
+    assert held == {k: n for k, n in taken.items() if n}
+    assert seen <= {(i, lang, s) for i, _, lang, s, _ in rows} and {(None, "de", "B"), (None, "en", "A")} <= seen
+    again = mixing.mix_sources(docs.repartition(7), block=3)[0].collect()
+    assert sorted(map(str, again)) == sorted(map(str, told))
+
+
 def test_mix_edges(spark):
     assert mixing.mix_sources(odd(spark))[0].count() == 6
     assert mixing.mix_sources(odd(spark).limit(0))[0].count() == 0
