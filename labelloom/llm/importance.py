@@ -53,7 +53,7 @@ class _Forms(dict):
         import zlib
 
         form = _RUN.sub(rb"\1", word.translate(_KINDS))
-        self[word] = out = zlib.crc32(form if len(form) <= 12 else form[:12] + b"~") & 0xFFFFF
+        self[word] = out = zlib.crc32(form) & 0xFFFFF
         return out
 
 
