@@ -1,23 +1,22 @@
 """Sequence similarity, for which Spark has no function: Arrow batches through difflib.
 
 Callers compare what needs no sequence matching with Column expressions, and
-send null for it.
+send null for it, or join texts on lengths and letters first and send what is
+left, each different pair once.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache, reduce
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import DoubleType
 
 from labelloom.functions import text as T
-from labelloom.functions import vocabulary as V
+from labelloom.staging import dealt, stage
 
 
 @lru_cache(maxsize=50_000)
@@ -65,77 +64,108 @@ def fusion_similarity(a: Column, b: Column) -> Column:
     return F.when(none, 0.0).when(same, 1.0).otherwise(sequence_ratio(F.when(open_, x), F.when(open_, y)))
 
 
-def _windows(words: list[str], width: int) -> Iterator[str]:
-    for n in range(max(1, width - 1), min(len(words), width + 1) + 1):
-        for i in range(len(words) - n + 1):
-            yield " ".join(words[i : i + n])
-
-
-@lru_cache(maxsize=50_000)
-def _closest(form: str, labels: tuple[str, ...], least: float) -> str | None:
-    best, found = 0.0, None
-    words = form.split()
-    for label in labels:
-        for window in _windows(words, label.count(" ") + 1):
-            score = at_least(window, label, least)
-            if score >= least and score > best:
-                best, found = score, label
-    return found
-
-
-def closest_label(form: Column, labels: list[str], least: float = 0.82) -> Column:
-    """The label that a run of about as many words resembles most, or null. For forms that contain none."""
-
-    @F.pandas_udf("string")
-    def closest(forms: pd.Series) -> pd.Series:
-        return pd.Series([None if f is None else _closest(f, tuple(labels), least) for f in forms], dtype="object")
-
-    return closest(form)
-
-
-def _form(text: str) -> str:
-    low = reduce(lambda x, r: x.replace(*r), V.MATCH_REPLACEMENTS, " ".join(text.split()).lower())
-    return " ".join(re.sub("[;|]+", " ", low).split())
-
-
-def _without_window(text: str, label: str, least: float = 0.84) -> str:
-    words, width = text.split(), label.count(" ") + 1
-    best, at = 0.0, None
-    for n in range(max(1, width - 1), min(len(words), width + 1) + 1):
-        for i in range(len(words) - n + 1):
-            score = ratio(_form(" ".join(words[i : i + n])), label)
-            if score >= least and score > best:
-                best, at = score, (i, n)
-    return text if at is None else " ".join(words[: at[0]] + words[at[0] + at[1] :]).lstrip(" :-;.")
-
-
-@F.pandas_udf(StringType())
-def without_window(text: pd.Series, label: pd.Series) -> pd.Series:
-    """The text without the run of words that resembles the label most, by .84 at least; else as it is. Null labels: null."""
-    return pd.Series([None if t is None or x is None else _without_window(t, x) for t, x in zip(text, label, strict=True)], dtype="object")
-
-
-def without_label(text: Column, labels: list[str]) -> Column:
-    """The text without its label, if its matching form contains one; a damaged one goes with the words it is in."""
-    found = T.exact_label(T.match_form(text), labels)
-    literal = T.without_exact_label(text, labels)
-    return F.when(found.isNull(), T.clean(text)).otherwise(F.coalesce(literal, without_window(T.clean(text), F.when(literal.isNull(), found))))
-
-
-def labels_in(form: Column, kinds: dict[str, list[str]], least: float = 0.82) -> Column:
-    """struct of the label of each kind, as `label_in` tells them, in one call for all kinds."""
-    exact = {k: T.exact_label(form, labels) for k, labels in kinds.items()}
-
-    @F.pandas_udf(", ".join(f"`{k}` string" for k in kinds))
-    def closest(forms: pd.Series, open_: pd.Series) -> pd.DataFrame:
-        told = [[_closest(f, tuple(labels), least) if f and o[n] else None for n, labels in enumerate(kinds.values())] for f, o in zip(forms, open_, strict=True)]
-        return pd.DataFrame(told, columns=list(kinds), dtype="object")
-
-    found = closest(form, F.array(*(x.isNull() for x in exact.values())))
-    return F.struct(*(F.coalesce(x, found[k]).alias(k) for k, x in exact.items()))
-
-
-def label_in(form: Column, labels: list[str]) -> Column:
-    """The first label contained, else the closest, else null."""
-    exact = T.exact_label(form, labels)
-    return F.coalesce(exact, closest_label(F.when(exact.isNull() & (form != ""), form), labels))
+def word_windows(words: Column, widths: list[int] | Column) -> Column:
+    """All runs of so many neighbouring words, as structs (n, i, text): n words from the i-th on."""
+    all_widths = widths if isinstance(widths, Column) else F.array(*map(F.lit, widths))
+
+    def of(n: Column) -> Column:
+        last = F.size(words) - n + 1
+        runs = F.transform(F.sequence(F.lit(1), last), lambda i: F.struct(n.alias("n"), i.alias("i"), F.array_join(F.slice(words, i, n), " ").alias("text")))
+        return F.when((n >= 1) & (last >= 1), runs).otherwise(F.array().cast("array<struct<n:int,i:int,text:string>>"))
+
+    return F.flatten(F.transform(F.array_distinct(all_widths), of))
+
+
+#: Letters that are counted each; all other characters are counted together.
+_LETTERS = "abcdefghijklmnopqrstuvwxyz "
+
+
+def letter_counts(text: Column) -> Column:
+    counts = F.transform(F.array(*map(F.lit, _LETTERS)), lambda c: F.length(text) - F.length(F.replace(text, c, F.lit(""))))
+    return F.concat(counts, F.array(F.length(text) - F.aggregate(counts, F.lit(0), lambda s, x: s + x)))
+
+
+def ratio_bound(a: Column, b: Column, counts_a: Column, counts_b: Column) -> Column:
+    """No ratio is above twice the characters that two texts have in common, in any order, over all."""
+    common = reduce(lambda s, k: s + F.least(F.get(counts_a, F.lit(k)), F.get(counts_b, F.lit(k))), range(len(_LETTERS) + 1), F.lit(0))
+    return 2 * common / (F.length(a) + F.length(b))
+
+
+def label_lengths(spark: SparkSession, kinds: dict[str, list[str]], least: float) -> DataFrame:
+    """(chars, n, kind, label, label_no): each label with the lengths in characters and words of the windows that may resemble it.
+
+    Its size follows from the fixed labels: some dozens, by lengths and three widths.
+    """
+    labels = [(kind, label, no) for kind, labels in kinds.items() for no, label in enumerate(labels)]
+    rows = [
+        (chars, n, kind, label, no)
+        for kind, label, no in labels
+        for n in range(max(1, label.count(" ")), label.count(" ") + 3)
+        for chars in range(1, int(len(label) * (2 / least - 1)) + 1)
+        if 2 * min(chars, len(label)) >= least * (chars + len(label)) - 1e-9
+    ]
+    return spark.createDataFrame(rows, "chars int, n int, kind string, label string, label_no int")
+
+
+def closest_labels(forms: DataFrame, kinds: dict[str, list[str]], least: float = 0.82) -> DataFrame:
+    """(form, kind, label): of each kind the label that a run of about as many words of a form resembles most, by `least`; ties to the first label.
+
+    A similarity join of the windows of different forms with the labels: by their
+    lengths, then by a bound from their letters; ratios of what is left, each
+    different pair once.
+    """
+    spark = forms.sparkSession
+    labels = label_lengths(spark, kinds, least).withColumn("label_counts", letter_counts(F.col("label")))
+    most = max(label.count(" ") + 2 for found in kinds.values() for label in found)
+    runs = dealt(forms.select("form").where("form <> ''"), "form").distinct().select("form", F.inline(word_windows(F.split("form", " "), list(range(1, most + 1)))))
+    # counted once a window, not once a pair
+    runs = runs.select("form", "n", "text", F.length("text").alias("chars"), letter_counts(F.col("text")).alias("counts")).join(F.broadcast(labels), ["chars", "n"])
+    bound = ratio_bound(F.col("text"), F.col("label"), F.col("counts"), F.col("label_counts"))
+    pairs = stage(runs.where(bound >= least - 1e-9).select("form", "text", "kind", "label", "label_no").distinct(), "label-pairs")
+    different = dealt(pairs.select("text", "label").distinct(), "text", "label")
+    ratios = different.withColumn("ratio", sequence_ratio(F.col("text"), F.col("label"))).where(F.col("ratio") >= least)
+    order = F.struct((-F.col("ratio")).alias("r"), "label_no")
+    return pairs.join(ratios, ["text", "label"]).groupBy("form", "kind").agg(F.min_by("label", order).alias("label"))
+
+
+def with_labels(lines: DataFrame, kinds: dict[str, list[str]], name: str = "label", least: float = 0.82) -> DataFrame:
+    """Lines (with `form`) and a struct of the label of each kind: the first contained, else the closest, else null."""
+    exact = F.struct(*(T.exact_label(F.col("form"), labels).alias(k) for k, labels in kinds.items()))
+    close = closest_labels(lines.select("form"), kinds, least).groupBy("form").agg(F.map_from_entries(F.collect_list(F.struct("kind", "label"))).alias("_close"))
+    told = lines.withColumn("_exact", exact).join(stage(close, "close-labels"), "form", "left")
+    both = F.struct(*(F.coalesce(F.col(f"_exact.{k}"), F.col("_close")[k]).alias(k) for k in kinds))
+    return told.select(*lines.columns, both.alias(name))
+
+
+def without_damaged_label(pairs: DataFrame, least: float = 0.84) -> DataFrame:
+    """(text, label, rest) of different (text, label): the text without the run of about as many words that resembles the label most.
+
+    Where none does by `least` the text stays. Ties go to the narrower run, then to the earlier one.
+    """
+    pairs = dealt(pairs.select("text", "label"), "text", "label").distinct()
+    words, width = F.split("text", " "), F.size(F.split("label", " "))
+    runs = pairs.select(F.col("text").alias("whole"), "label", F.inline(word_windows(words, F.array(width - 1, width, width + 1))))
+    runs = runs.withColumn("form", T.match_form(F.col("text")))
+    ratios = stage(runs.select("form", "label").distinct().withColumn("ratio", sequence_ratio(F.col("form"), F.col("label"))).where(F.col("ratio") >= least), "damaged-labels")
+    order = F.struct("ratio", (-F.col("n")).alias("n"), (-F.col("i")).alias("i"))
+    best = runs.join(ratios, ["form", "label"]).groupBy("whole", "label").agg(F.max_by(F.struct("n", "i"), order).alias("b"))
+    rest = F.concat(F.slice(words, F.lit(1), F.col("b.i") - 1), F.slice(words, F.col("b.i") + F.col("b.n"), F.size(words)))
+    told = pairs.join(best.withColumnRenamed("whole", "text"), ["text", "label"], "left")
+    return told.select("text", "label", F.when(F.col("b").isNull(), F.col("text")).otherwise(F.ltrim(F.array_join(rest, " "), F.lit(" :-;."))).alias("rest"))
+
+
+def with_rests(lines: DataFrame, kinds: dict[str, list[str]], name: str = "rest") -> DataFrame:
+    """Lines (with text, form and a struct `label`) and a struct of their text without the label of each kind; null where they bear none.
+
+    A label that the form contains to the letter goes from the text; one that is
+    damaged in the text goes with the words it is in; a text without any stays.
+    """
+    text = T.clean(F.col("text"))
+    found = {k: F.when(F.col(f"label.{k}").isNotNull(), T.exact_label(F.col("form"), labels)) for k, labels in kinds.items()}
+    literal = F.struct(*(F.when(F.col(f"label.{k}").isNotNull(), F.coalesce(T.without_exact_label(F.col("text"), labels), F.when(found[k].isNull(), text))).alias(k) for k, labels in kinds.items()))
+    told = stage(lines.withColumn("_text", text).withColumn("_found", F.struct(*(c.alias(k) for k, c in found.items()))).withColumn("_rest", literal), "lines-and-rests")
+    damaged = F.array(*(F.when(F.col(f"_rest.{k}").isNull(), F.col(f"_found.{k}")) for k in kinds))
+    pairs = told.select(F.col("_text").alias("text"), F.explode(damaged).alias("label")).where("label is not null")
+    rests = without_damaged_label(pairs).groupBy(F.col("text").alias("_text")).agg(F.map_from_entries(F.collect_list(F.struct("label", "rest"))).alias("_damaged"))
+    both = F.struct(*(F.coalesce(F.col(f"_rest.{k}"), F.try_element_at(F.col("_damaged"), F.col(f"_found.{k}"))).alias(k) for k in kinds))
+    return told.join(stage(rests, "rests"), "_text", "left").select(*lines.columns, both.alias(name))

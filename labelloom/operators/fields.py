@@ -14,10 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelloom.functions import geometry as G
-from labelloom.functions import similarity as S
 from labelloom.functions import text as T
 from labelloom.functions import vocabulary as V
-from labelloom.functions.similarity import labels_in, sequence_ratio, similarity
+from labelloom.functions.similarity import sequence_ratio, similarity, with_labels, with_rests
 from labelloom.operators.candidates import exact_groups, first_fit, group_scores, top_group
 from labelloom.operators.lines import ranked_neighbours
 from labelloom.staging import dealt, stage
@@ -25,6 +24,8 @@ from labelloom.staging import dealt, stage
 #: Vertical reaches in which extractors look for neighbours.
 GAPS = (80, 100, 120, 140, 150, 170, 180)
 MOST_NEIGHBOURS = 8
+#: Kinds of label whose line may hold the value, too.
+RESTS = ("manufacturer", "best_before", "ingredients", "nutrition")
 #: What a line is told of its neighbours.
 NEIGHBOUR = ("text", "form", "confidence", "geo", "label", "source")
 
@@ -57,7 +58,7 @@ class Lines:
     @classmethod
     def of(cls, prepared: DataFrame) -> Lines:
         plain = stage(dealt(prepared.withColumn("pos", F.col("pos").cast("int")), "package_id"), "lines")
-        told = stage(plain.withColumn("label", labels_in(F.col("form"), V.LABELS)), "labelled-lines")
+        told = stage(with_rests(with_labels(plain, V.LABELS), {k: V.LABELS[k] for k in RESTS}), "labelled-lines")
         pairs = ranked_neighbours(plain, GAPS).where(F.array_min("ranks") <= MOST_NEIGHBOURS)
         pairs = pairs.select("package_id", F.col("i").cast("int").alias("pos"), F.col("j").cast("int").alias("n_pos"), "ranks")
         item = F.struct("n_pos", *(f"n_{c}" for c in NEIGHBOUR), "ranks")
@@ -82,11 +83,6 @@ class Lines:
         return base.withColumn("label_near", F.coalesce(found, F.lit(False)))
 
 
-def without_label(text: Column, matched: Column, labels: list[str]) -> Column:
-    """The text without its label, for lines that bear one."""
-    return F.when(matched.isNotNull(), S.without_label(text, labels))
-
-
 def product_candidates(lines: Lines) -> DataFrame:
     rows = lines.rows
     named = T.clean_token(T.found(F.col("text"), r"(?i)^(?:product(?:\s+name)?|item(?:\s+name)?)\s*[:\-]\s*(.+)$"))
@@ -196,7 +192,7 @@ def dates(lines: Lines, name: str) -> DataFrame:
 
 def manufacturer_candidates(lines: Lines) -> DataFrame:
     bonus = rf"(?i){V.COMPANY_SUFFIX}"
-    base = lines.by_label("manufacturer").withColumn("v", without_label(F.col("text"), F.col("label.manufacturer"), V.LABELS["manufacturer"]))
+    base = lines.by_label("manufacturer").withColumn("v", F.col("rest.manufacturer"))
     own = base.where(T.is_company(F.col("v")))
     direct = candidate(own, "manufacturer", F.col("v"), 145 + conf() * 30 + F.when(F.col("v").rlike(bonus), 25).otherwise(0), 0)
     beside = lines.near(6, 150, base).where(T.is_company(F.col("n_text")) & ~F.col("n_form").rlike(V.COMPANY_NEIGHBOUR_BAD))
@@ -268,7 +264,7 @@ def country_candidates(lines: Lines) -> DataFrame:
 
 
 def best_before_candidates(lines: Lines) -> DataFrame:
-    base = lines.by_label("best_before").withColumn("v", without_label(F.col("text"), F.col("label.best_before"), V.LABELS["best_before"]))
+    base = lines.by_label("best_before").withColumn("v", F.col("rest.best_before"))
     own = candidate(base.where(T.present(F.col("v"))), "best_before", F.col("v"), 145 + conf() * 25, 0)
     beside = lines.near(4, 120, base.where(~T.present(F.col("v")))).where(~F.col("n_form").rlike(V.BEST_BEFORE_NEIGHBOUR_BAD))
     score = 115 + conf() * 20 + F.col("n_confidence") * 25
@@ -284,7 +280,7 @@ def licence_candidates(lines: Lines) -> DataFrame:
 
 
 def section_candidates(lines: Lines, name: str, count: int, gap: int) -> DataFrame:
-    base = lines.by_label(name).withColumn("v", without_label(F.col("text"), F.col(f"label.{name}"), V.LABELS[name]))
+    base = lines.by_label(name).withColumn("v", F.col(f"rest.{name}"))
     told = T.present(F.col("v")) & ~T.is_next_declaration(F.col("v"))
     own = candidate(base.where(told), name, F.col("v"), 180 + conf() * 35, 0)
     beside = lines.near(count, gap, base.where(~told)).where(

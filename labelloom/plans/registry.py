@@ -139,20 +139,57 @@ def label_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.where("rest is not null")
 
 
-@query()
+def _matched(pairs: str) -> str:
+    """Tables that end in `ratios` (a, b, ratio) of the table `pairs` (a, b): the longest common block, then again left and right of it."""
+    block = "list_max(flatten(list_transform(range(1, length(a) + 1), lambda i: list_transform(range(1, length(a) - i + 2), lambda k: {'k': CASE WHEN contains(b, substr(a, i, k)) THEN k ELSE 0 END, 'i': -i, 'j': -strpos(b, substr(a, i, k))}))))"
+    return f"""parts AS (
+  SELECT a AS x, b AS y, a, b, 0 AS k FROM {pairs}
+  UNION ALL
+  SELECT x, y, CASE side WHEN 0 THEN substr(a, 1, -m.i - 1) ELSE substr(a, -m.i + m.k) END AS a, CASE side WHEN 0 THEN substr(b, 1, -m.j - 1) ELSE substr(b, -m.j + m.k) END AS b, CASE side WHEN 0 THEN m.k ELSE 0 END AS k
+  FROM (SELECT x, y, a, b, {block} AS m FROM parts WHERE a <> '' AND b <> ''), range(0, 2) sides(side) WHERE m.k > 0),
+ratios AS (SELECT x AS a, y AS b, 2.0 * sum(k) / (length(x) + length(y)) AS ratio FROM parts GROUP BY x, y)"""
+
+
+@query(
+    f"""WITH RECURSIVE {D.LABEL_LINES}, t AS (SELECT package_id, "index", f, string_split(f, ' ') AS w FROM (SELECT package_id, "index", {form("regexp_replace(text, 'a', '')")} AS f FROM label_lines)),
+exact AS (SELECT * FROM ({" UNION ALL ".join(f"SELECT package_id, {chr(34)}index{chr(34)}, '{k}' AS kind, {_label_case(v)} AS label FROM t" for k, v in V.LABELS.items())}) WHERE label IS NOT NULL),
+labels(kind, label, no) AS (VALUES {", ".join(f"('{k}', {_q(x)}, {n})" for k, v in V.LABELS.items() for n, x in enumerate(v))}),
+runs AS (SELECT package_id, "index", n, array_to_string(w[i:i + n - 1], ' ') AS a FROM t, range(1, 6) widths(n), range(1, 40) starts(i) WHERE i + n - 1 <= len(w)),
+sizes AS (SELECT kind, label AS b, no, len(string_split(label, ' ')) AS words FROM labels),
+-- a ratio of .82 leaves no more than .18 of all letters to be put in or out
+pairs AS (SELECT DISTINCT a, b FROM (SELECT DISTINCT a, n FROM runs) JOIN sizes ON abs(n - words) <= 1 WHERE levenshtein(a, b) <= 0.18 * (length(a) + length(b)) + 1e-9),
+{_matched("pairs")},
+near AS (SELECT package_id, "index", kind, arg_min(b, (-ratio, no)) AS label FROM runs JOIN ratios USING (a) JOIN sizes USING (b) WHERE abs(n - words) <= 1 AND ratio >= 0.82 GROUP BY package_id, "index", kind)
+SELECT * FROM exact UNION ALL SELECT * FROM near n WHERE NOT EXISTS (SELECT 1 FROM exact e WHERE e.package_id = n.package_id AND e."index" = n."index" AND e.kind = n.kind)"""
+)
 def fuzzy_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels with a letter lost are still found."""
-    damaged = D.label_lines(spark, sf_dir).select("package_id", "index", F.regexp_replace("text", "a", "").alias("text")).withColumn("f", T.match_form(F.col("text")))
-    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), S.label_in(F.col("f"), v).alias("label")) for k, v in V.LABELS.items()))
-    return damaged.select("package_id", "index", F.inline(kinds)).where("label is not null")
+    damaged = D.label_lines(spark, sf_dir).select("package_id", "index", T.match_form(F.regexp_replace("text", "^([^a]*)a", "$1")).alias("form"))
+    told = S.with_labels(damaged, V.LABELS)
+    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(f"label.{k}").alias("label")) for k in V.LABELS))
+    return told.select("package_id", "index", F.inline(kinds)).where("label is not null")
 
 
-@query()
+def _letters(x: str) -> str:
+    return rf"regexp_replace(lower({ws(x)}), '[^\pL\pN]', '', 'g')"
+
+
+@query(
+    f"""WITH RECURSIVE {D.LABEL_LINES}, t AS (SELECT package_id, "index", {form('text')} AS f, {_letters('text')} AS u, {fform('text')} AS ff, regexp_replace({fform('text')}, '[^\\pL\\pN]', '', 'g') AS fc FROM label_lines),
+p AS (SELECT x.package_id, x."index" AS i, y."index" AS j, x.f AS fx, y.f AS fy, x.u AS ux, y.u AS uy, x.ff AS ffx, y.ff AS ffy, x.fc AS fcx, y.fc AS fcy FROM t x JOIN t y ON x.package_id = y.package_id AND x."index" < y."index"),
+pairs AS (SELECT fx AS a, fy AS b FROM p UNION SELECT ux, uy FROM p UNION SELECT ffx, ffy FROM p),
+{_matched("pairs")}
+SELECT package_id, i, j, round(CASE WHEN fx = '' OR fy = '' THEN 0 ELSE r.ratio END, 6) AS ratio,
+  round(CASE WHEN ux = '' OR uy = '' THEN 0 WHEN ux = uy THEN 1 WHEN contains(ux, uy) OR contains(uy, ux) THEN 0.75 + 0.25 * least(length(ux), length(uy)) / greatest(length(ux), length(uy)) ELSE u.ratio END, 6) AS reading,
+  round(CASE WHEN ffx = '' OR ffy = '' THEN 0 WHEN ffx = ffy OR (fcx <> '' AND fcx = fcy) THEN 1 ELSE v.ratio END, 6) AS fusion
+FROM p JOIN ratios r ON r.a = fx AND r.b = fy JOIN ratios u ON u.a = ux AND u.b = uy JOIN ratios v ON v.a = ffx AND v.b = ffy"""
+)
 def similarity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = (D.label_lines(spark, sf_dir).select("package_id", F.col("index").alias(n), F.col("text").alias(f"t{n}")) for n in "ij")
     p = a.join(b, "package_id").where("i < j")
     x, y = F.col("ti"), F.col("tj")
-    return p.select("package_id", "i", "j", S.similarity(x, y).alias("ratio"), S.reading_similarity(x, y).alias("reading"), S.fusion_similarity(x, y).alias("fusion"))
+    told = p.select("package_id", "i", "j", S.similarity(x, y).alias("ratio"), S.reading_similarity(x, y).alias("reading"), S.fusion_similarity(x, y).alias("fusion"))
+    return told.select("package_id", "i", "j", *(F.round(c, 6).alias(c) for c in ("ratio", "reading", "fusion")))
 
 
 @query(

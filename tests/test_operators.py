@@ -143,11 +143,46 @@ def test_stream_of_lines(spark, tmp_path):
 def test_damaged_label_goes_with_its_words(spark):
     """The form holds a label that the text has not to the letter: the words that resemble it most go."""
     from labelloom.functions import similarity as S
+    from labelloom.functions import text as T
 
-    labels = ["net weight", "manufactured by"]
-    texts = ["Manufactured  By: Acme", "Net|Weight 5 kg", "plain text", None, "see Manufactured;by Acme Foods"]
-    rows = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "n int, t string").select("n", S.without_label(F.col("t"), labels).alias("r"))
-    assert [r.r for r in rows.orderBy("n").collect()] == ["Acme", "5 kg", "plain text", "", "see Acme Foods"]
+    kinds = {"x": ["net weight", "manufactured by"], "y": ["best before"]}
+    texts = ["Manufactured  By: Acme", "Net|Weight 5 kg", "plain text", None, "see Manufactured;by Acme Foods", "Best;before 6 months", "mnufactured by Acme"]
+    rows = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "n int, text string").withColumn("form", T.match_form(F.col("text")))
+    told = S.with_rests(S.with_labels(rows, kinds), kinds).orderBy("n").collect()
+    assert [r.rest.x for r in told] == ["Acme", "5 kg", None, None, "see Acme Foods", None, "mnufactured by Acme"]
+    assert [r.rest.y for r in told] == [None] * 5 + ["6 months", None]
+    assert [r.label.x for r in told] == ["manufactured by", "net weight", None, None, "manufactured by", None, "manufactured by"]
+    assert S.with_rests(S.with_labels(rows.limit(0), kinds), kinds).count() == 0
+
+
+def test_closest_labels_by_brute_force(spark):
+    """Every window against every label, without pruning; ties to the first label."""
+    import random
+    from difflib import SequenceMatcher
+
+    from labelloom.functions import similarity as S
+    from labelloom.functions import vocabulary as V
+
+    rng = random.Random(7)
+    every = [x for labels in V.LABELS.values() for x in labels]
+    forms = {""}
+    for _ in range(250):
+        words = [rng.choice(every), rng.choice(["of", "12", "x"]), rng.choice(every)]
+        text = "".join(rng.choice([c, c, c, c, c, c, c, c, "", c + rng.choice("aeiou 7")]) for c in " ".join(words[: rng.randrange(1, 4)]))
+        forms.add(" ".join(text.split()))
+    want = set()
+    for f in forms:
+        words = f.split()
+        for kind, labels in V.LABELS.items():
+            scored = []
+            for no, label in enumerate(labels):
+                n = len(label.split())
+                runs = [" ".join(words[i : i + k]) for k in (n - 1, n, n + 1) if k for i in range(len(words) - k + 1)]
+                scored += [(SequenceMatcher(None, r, label).ratio(), -no, label) for r in runs]
+            if scored and max(scored)[0] >= 0.82:
+                want.add((f, kind, max(scored)[2]))
+    got = S.closest_labels(spark.createDataFrame([(f,) for f in sorted(forms)] * 2, "form string"), V.LABELS)
+    assert {tuple(r) for r in got.collect()} == want and len(want) > 200
 
 
 def test_first_fit_by_brute_force(spark):
