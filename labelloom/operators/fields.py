@@ -59,7 +59,7 @@ class Lines:
     def of(cls, prepared: DataFrame) -> Lines:
         plain = stage(dealt(prepared.withColumn("pos", F.col("pos").cast("int")), "package_id"), "lines")
         told = stage(with_rests(with_labels(plain, V.LABELS), {k: V.LABELS[k] for k in RESTS}), "labelled-lines")
-        pairs = ranked_neighbours(plain, GAPS).where(F.array_min("ranks") <= MOST_NEIGHBOURS)
+        pairs = ranked_neighbours(plain, GAPS, MOST_NEIGHBOURS).where(F.array_min("ranks") <= MOST_NEIGHBOURS)
         pairs = pairs.select("package_id", F.col("i").cast("int").alias("pos"), F.col("j").cast("int").alias("n_pos"), "ranks")
         item = F.struct("n_pos", *(f"n_{c}" for c in NEIGHBOUR), "ranks")
         other = told.select("package_id", F.col("pos").alias("n_pos"), *(F.col(c).alias(f"n_{c}") for c in NEIGHBOUR))

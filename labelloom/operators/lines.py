@@ -138,13 +138,16 @@ def reading_order(lines: DataFrame) -> DataFrame:
     )
 
 
-def ranked_neighbours(lines: DataFrame, gaps: tuple[float, ...]) -> DataFrame:
+def ranked_neighbours(lines: DataFrame, gaps: tuple[float, ...], most: int = 8) -> DataFrame:
     """(package_id, i, j, distance, ranks): pairs of lines near each other, with their rank under each gap.
 
     With boxes: vertical distance, the gap at most, and 0.35 of the horizontal.
     Bands of the largest gap bound the pairs that are compared, and one pass
     over them ranks for all gaps. Where either has no box the distance is that
-    of the positions. A rank is null where the gap is too small for the pair.
+    of the positions, and only those pairs are made that can come among the
+    `most` nearest: for a line, the `most` next lines without box on either side,
+    and for one without, also the `most` next of any kind. So ranks hold up to
+    `most`. A rank is null where the gap is too small for the pair.
     """
     gap = max(gaps)
     slim = lines.select("package_id", "pos", F.col("geo.x").alias("x"), F.col("geo.y").alias("y"))
@@ -157,14 +160,15 @@ def ranked_neighbours(lines: DataFrame, gaps: tuple[float, ...]) -> DataFrame:
         .where((F.col("i") != F.col("j")) & (rise <= gap))
         .select("package_id", "i", "j", (rise + 0.35 * F.abs(F.col("xj") - F.col("xi"))).alias("distance"), rise.alias("rise"))
     )
-    bare = slim.where("y is null").select("package_id", F.col("pos").alias("p"))
-    others = slim.select("package_id", F.col("pos").alias("q"), F.col("y").isNotNull().alias("boxed"))
-    mixed = bare.join(others, "package_id").where("p <> q")
-    apart = F.abs(F.col("p") - F.col("q")).cast("double").alias("distance")
-    none = F.lit(0.0).alias("rise")
-    odd = mixed.select("package_id", F.col("p").alias("i"), F.col("q").alias("j"), apart, none).unionByName(
-        mixed.where("boxed").select("package_id", F.col("q").alias("i"), F.col("p").alias("j"), apart, none)
-    )
+    # lines without box are numbered, so that the next of them on either side are known by number
+    before = Window.partitionBy("package_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = slim.select("package_id", "pos", F.col("y").isNull().alias("bare"), F.count_if(F.col("y").isNull()).over(before).alias("no"))
+    bare = counted.where("bare").select("package_id", "no", F.col("pos").alias("j"))
+    to_bare = counted.select("package_id", F.col("pos").alias("i"), F.explode(F.sequence(F.col("no") - most, F.col("no") + most)).alias("no")).join(bare, ["package_id", "no"])
+    others = counted.where("not bare").select("package_id", F.col("pos").alias("j"))
+    around = counted.where("bare").select("package_id", F.col("pos").alias("i"), F.explode(F.sequence(F.col("pos") - most, F.col("pos") + most)).alias("j"))
+    odd = to_bare.select("package_id", "i", "j").where("i <> j").unionByName(around.join(others, ["package_id", "j"]).select("package_id", "i", "j"))
+    odd = odd.select("package_id", "i", "j", F.abs(F.col("i") - F.col("j")).cast("double").alias("distance"), F.lit(0.0).alias("rise"))
     order = Window.partitionBy("package_id", "i").orderBy("distance", "j").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranks = F.array(*(F.when(F.col("rise") <= g, F.count_if(F.col("rise") <= g).over(order).cast("int")) for g in gaps))
     return near.unionByName(odd).select("package_id", "i", "j", "distance", ranks.alias("ranks"))
@@ -172,7 +176,7 @@ def ranked_neighbours(lines: DataFrame, gaps: tuple[float, ...]) -> DataFrame:
 
 def neighbours(lines: DataFrame, count: int = 5, gap: float = 180.0) -> DataFrame:
     """(package_id, i, j, distance, rank): the nearest `count` lines of each line, by pos."""
-    told = ranked_neighbours(lines, (gap,)).withColumn("rank", F.col("ranks")[0])
+    told = ranked_neighbours(lines, (gap,), count).withColumn("rank", F.col("ranks")[0])
     return told.where(F.col("rank") <= count).drop("ranks")
 
 

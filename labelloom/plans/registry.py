@@ -668,6 +668,32 @@ def package_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analyse(D.label_lines(spark, sf_dir))["compliance"].drop("context", "missing_fields")
 
 
+@query(
+    f"""WITH {D.LABEL_LINES}, p AS (SELECT DISTINCT package_id, package_id * 2 AS id, true AS told FROM label_lines UNION ALL SELECT DISTINCT package_id, package_id * 2 + 1, false FROM label_lines)
+SELECT id AS package_id, 'ok' AS status, CASE WHEN told AND package_id % 7 = 0 THEN 'AI semantic extraction failed: RuntimeError: no answer' ELSE '' END AS errors,
+  CAST({len(RULES)} AS BIGINT) AS findings, CASE WHEN NOT told THEN CAST(7 AS BIGINT) END AS applicable_without_text, CASE WHEN NOT told THEN CAST({len(V.SUMMARY_FIELDS)} AS INT) END AS missing_without_text FROM p"""
+)
+def package_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every package has a verdict and its errors: each beside one without text, every seventh with a model that fails."""
+
+    def answerer(prompt: str, urls: list[str]) -> str:
+        if int(prompt.split("(mod 7: ")[1][0]) == 0:
+            raise RuntimeError("no answer")
+        return "{}"
+
+    told = D.label_lines(spark, sf_dir)
+    mark = told.select("package_id").distinct().select("package_id", F.lit(99).alias("index"), F.format_string("(mod 7: %d)", F.col("package_id") % 7).alias("text"))
+    said = told.unionByName(mark.withColumns({c: F.lit(None).cast(told.schema[c].dataType) for c in told.columns if c not in mark.columns}).withColumn("confidence", F.lit(0.9)).select(*(F.col(c).cast(told.schema[c].dataType) for c in told.columns)))
+    packages = told.select(F.explode(F.array(F.col("package_id") * 2, F.col("package_id") * 2 + 1)).alias("package_id"))
+    found = analyse(said.withColumn("package_id", F.col("package_id") * 2), answerer, packages=packages)
+    verdicts = found["packages"].join(found["compliance"].select("package_id", "total_rules", "applicable_rules", "missing_fields"), "package_id")
+    empty = F.col("package_id") % 2 == 1
+    return verdicts.select(
+        "package_id", "status", F.array_join("errors", "; ").alias("errors"), F.col("total_rules").alias("findings"),
+        F.when(empty, F.col("applicable_rules")).alias("applicable_without_text"), F.when(empty, F.size("missing_fields")).alias("missing_without_text"),
+    )
+
+
 # ---- store and history ---------------------------------------------------------------------------------------------
 
 
