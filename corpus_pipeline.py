@@ -22,11 +22,18 @@ from labelloom.shipping import ship_package
 
 #: Rows up to which ids of rejected documents are broadcast.
 BROADCAST_ROWS = 500_000
+#: Rows of an Arrow batch: texts are long, and a worker holds a batch and what it makes of it.
+ARROW_ROWS = 2_000
+
+
+def _ready(spark: SparkSession) -> None:
+    ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that importance resampling draws. Null and empty texts score as the raw text does; repeated rows share one fate."""
-    ship_package(spark)
+    _ready(spark)
     draw, scored = fit_resampling(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=True)
     return scored.where(F.col("key") >= draw.cut).select("row.*")
 
@@ -38,7 +45,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     whole, or with another column changed, leave one. Null texts and those
     without words have no copies but their own repetition; rows without id stay.
     """
-    ship_package(spark)
+    _ready(spark)
     found = near_duplicates(docs.select("doc_id", "text"))
     gone = stage(found.where(~F.col("leads") & F.col("doc_id").isNotNull()).select("doc_id", "text_hash").distinct(), "duplicates")
     again = found.where("leads and doc_id is not null").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1")
@@ -69,7 +76,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of the mix, as they read back."""
-    ship_package(spark)
+    _ready(spark)
     path = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
     write_token_files(docs, path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return read_token_files(spark, path)
