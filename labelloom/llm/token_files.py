@@ -182,6 +182,12 @@ class Encoder:
             text = text.lower()
         return np.frombuffer(b"".join(map(self.words.__getitem__, text.split())), self.kind).astype(np.uint32)
 
+    def forget(self) -> None:
+        """Give up the words: workers outlive their task, and other stages need the memory."""
+        if self.words is not None:
+            self.words.clear()
+            self.words.parts.clear()
+
 
 _encoders: dict[str, Encoder] = {}
 
@@ -228,6 +234,7 @@ def write_token_files(
                     ids, parts, sizes, held = [], [], [], 0
         if held:
             yield flush()
+        encoder.forget()
 
     ordered = (
         docs.select(F.col(id_col).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), F.monotonically_increasing_id().alias("m"))
