@@ -34,8 +34,9 @@ def _ready(spark: SparkSession) -> None:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that importance resampling draws. Null and empty texts score as the raw text does; repeated rows share one fate."""
     _ready(spark)
-    draw, scored = fit_resampling(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=True)
-    return scored.where(F.col("key") >= draw.cut).select("row.*")
+    draw, _ = fit_resampling(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    # scored again rather than staged with their texts
+    return docs.where(draw.kept(F.col("doc_id"), F.col("text")))
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
