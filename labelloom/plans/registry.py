@@ -19,6 +19,7 @@ from labelloom.operators.candidates import first_fit, group_scores, top_group
 from labelloom.operators.rules import EFFECTIVE, RULES
 from labelloom.operators.rules import rules as rules_table
 from labelloom.plans import fixtures as D
+from labelloom.plans.memo import AnalysisMemo, remembered
 from labelloom.plans.package_analysis import analyse, ordered_lines
 from labelloom.sources import images, store
 from labelloom.staging import shared_dir
@@ -772,6 +773,25 @@ def signature_firsts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images.once_per_signature(parts, "conv_id")
 
 
+@query(
+    """WITH s AS (SELECT doc_id, text, sha256(unhex(coalesce(printf('%016x', octet_length(encode(text))) || hex(encode(text)), ''))) AS signature FROM documents),
+known AS (SELECT DISTINCT signature FROM s JOIN (SELECT DISTINCT doc_id FROM labels) USING (doc_id))
+SELECT doc_id, signature, signature IN (SELECT signature FROM known) AS reused, coalesce(octet_length(encode(text)), 0)::BIGINT AS octets FROM s"""
+)
+def analyses_reused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run over the labelled documents, then one over all, which reads anew only texts that the first had not; texts stand for images."""
+    docs = D.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("package_id"), F.lit(0).alias("image_no"), F.col("text").cast("binary").alias("content"))
+    labelled = D.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("package_id")).distinct()
+    memo = AnalysisMemo(spark, f"{shared_dir(spark)}/memo-{uuid.uuid4().hex}", ("sizes",))
+
+    def sizes(images: DataFrame) -> dict[str, DataFrame]:
+        return {"sizes": images.groupBy("package_id").agg(F.sum(F.coalesce(F.octet_length("content"), F.lit(0))).cast("bigint").alias("octets"))}
+
+    remembered(memo, docs.join(labelled, "package_id", "left_semi"), sizes)
+    ids, found = remembered(memo, docs, sizes)
+    return ids.join(found["sizes"].withColumnRenamed("package_id", "signature"), "signature").select(F.col("package_id").alias("doc_id"), "signature", "reused", "octets")
+
+
 @query("SELECT conv_id, turn, 'data:image/jpeg;base64,' || to_base64(encode(text)) AS url FROM conversations")
 def image_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = D.table(spark, sf_dir, "conversations")
