@@ -30,6 +30,37 @@ def useful_readings(lines: DataFrame) -> DataFrame:
     )
 
 
+LINE_OBJECT = "text string, confidence string, bbox string, source string, variant string"
+
+
+def adapt(raw: DataFrame) -> DataFrame:
+    """Lines (package_id, index, line) of mixed form as a table of lines; `line` is JSON text.
+
+    An object has text, confidence, bbox, and source or else variant. An array of three or more is box, text and
+    confidence. Anything else is text alone: a JSON string or number as its value, a shorter array or what isn't
+    JSON as it stands. What is missing or not of its type (a word for a confidence, a box of fewer than four corners) gives
+    null text, confidence 0, no box and source `unknown`, and never fails; null lines have null text, which
+    `prepare` drops while the others keep their index.
+    """
+    line = F.col("line")
+    whole = F.from_json(line, LINE_OBJECT)
+    parts = F.from_json(line, "array<string>")
+    is_object, is_tuple = F.json_object_keys(line).isNotNull(), F.coalesce(F.json_array_length(line), F.lit(0)) >= 3
+    scalar = F.when(F.json_array_length(line).isNotNull(), line).when(F.trim(line) != "null", F.coalesce(F.get_json_object(line, "$"), line))
+
+    def of(in_object: Column, at: int, otherwise: Column) -> Column:
+        return F.when(is_object, in_object).when(is_tuple, F.get(parts, at)).otherwise(otherwise)
+
+    confidence = of(whole["confidence"], 2, F.lit(None))
+    box = F.from_json(of(whole["bbox"], 0, F.lit(None)), "array<array<double>>")
+    told = raw.select(
+        "package_id", "index", of(whole["text"], 1, scalar).alias("text"), F.when(confidence == "true", 1.0).otherwise(T.to_double(confidence)).alias("confidence"), box.alias("box"),
+        F.when(is_object, F.coalesce(whole["source"], whole["variant"])).alias("source"),
+    )
+    is_box = (F.size("box") >= 4) & ~F.exists("box", lambda p: F.coalesce(F.size(p) != 2, F.lit(True)) | F.exists(p, lambda v: v.isNull()))
+    return told.withColumns({"box": F.when(is_box, F.col("box")), "source": F.coalesce("source", F.lit("unknown"))})
+
+
 def prepare(lines: DataFrame) -> DataFrame:
     """Lines with text, normal form and extent; index counts the blank ones that are dropped, pos does not."""
     order = Window.partitionBy("package_id").orderBy("index")

@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelloom.functions import geometry as G
@@ -259,6 +259,29 @@ def box_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- lines ---------------------------------------------------------------------------------------------------------
 
 
+def _json_text(name: str) -> Column:
+    """A text as a JSON string."""
+    array = F.to_json(F.array(name))
+    return array.substr(F.lit(2), F.length(array) - 2)
+
+
+@query(
+    f"""WITH {D.DOC_LINES}, f AS (SELECT *, (package_id + "index") % 4 AS form FROM doc_lines)
+SELECT package_id, "index", text, CASE WHEN form = 2 THEN 0.0 ELSE confidence END AS confidence, CASE WHEN form < 2 THEN x0 END AS x0, CASE WHEN form < 2 THEN y1 END AS y1,
+  CASE form WHEN 0 THEN source WHEN 3 THEN 'variant' ELSE 'unknown' END AS source FROM f"""
+)
+def adapted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line in one of four forms: an object, an array, its text alone, an object with a faulty box and a variant."""
+    t = D.doc_lines(spark, sf_dir)
+    tuple_ = F.concat(F.lit("["), F.to_json("box"), F.lit(","), _json_text("text"), F.lit(","), F.col("confidence").cast("string"), F.lit("]"))
+    object_ = F.to_json(F.struct("text", "confidence", F.col("box").alias("bbox"), "source"))
+    faulty = F.to_json(F.struct("text", "confidence", F.lit("nowhere").alias("bbox"), F.lit("variant").alias("variant")))
+    form = (F.col("package_id") + F.col("index")) % 4
+    raw = t.select("package_id", "index", F.when(form == 0, object_).when(form == 1, tuple_).when(form == 2, _json_text("text")).otherwise(faulty).alias("line"))
+    told = lines.adapt(raw)
+    return told.select("package_id", "index", "text", "confidence", F.get(F.get("box", 0), 0).alias("x0"), F.get(F.get("box", 2), 1).alias("y1"), "source")
+
+
 @query(f"WITH {D.DOC_LINES} SELECT package_id, \"index\", CAST(row_number() OVER (PARTITION BY package_id ORDER BY \"index\") - 1 AS INT) AS pos, {ws('text')} AS text, {form('text')} AS form, confidence FROM doc_lines WHERE {ws('text')} <> ''")
 def prepared_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.prepare(D.doc_lines(spark, sf_dir)).select("package_id", "index", "pos", "text", "form", "confidence")

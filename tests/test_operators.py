@@ -271,3 +271,34 @@ def test_neighbours_of_many_lines_without_boxes(spark):
 
     many = spark.range(100_000).select(F.lit(1).alias("package_id"), F.col("id").cast("int").alias("pos"), F.lit(None).cast("struct<x: double, y: double>").alias("geo"))
     assert ranked_neighbours(many, (80.0, 180.0)).count() <= 16 * 100_000
+
+
+def test_lines_of_mixed_form(spark):
+    corners = [[0, 0], [9, 0], [9, 5], [0, 5]]
+    boxed = [[float(x), float(y)] for x, y in corners]
+    cases = [
+        (json.dumps({"text": "a \"q\" \\ ₹5", "confidence": 0.5, "bbox": corners, "source": "original", "extra": [1]}), ('a "q" \\ ₹5', 0.5, boxed, "original")),
+        (json.dumps({"text": 12.5, "confidence": "0.25", "variant": "enhanced"}), ("12.5", 0.25, None, "enhanced")),
+        (json.dumps({"text": None, "confidence": "high", "bbox": [[1, 2], [3, 4]]}), (None, 0.0, None, "unknown")),
+        (json.dumps({"confidence": True, "bbox": "nowhere", "source": None, "variant": "v"}), (None, 1.0, None, "v")),
+        ("{}", (None, 0.0, None, "unknown")),
+        (json.dumps([corners, "MRP, [x]", 0.9]), ("MRP, [x]", 0.9, boxed, "unknown")),
+        (json.dumps([None, "no box", None, "more"]), ("no box", 0.0, None, "unknown")),
+        (json.dumps([[[1, 2], [3, None], [5, 6], [7, 8]], "hole", 7]), ("hole", 7.0, None, "unknown")),
+        (json.dumps(["a", "b"]), ('["a", "b"]', 0.0, None, "unknown")),
+        (json.dumps("just [text]"), ("just [text]", 0.0, None, "unknown")),
+        ("42", ("42", 0.0, None, "unknown")),
+        ("not JSON at all", ("not JSON at all", 0.0, None, "unknown")),
+        ('{"text": broken', ('{"text": broken', 0.0, None, "unknown")),
+        ("", ("", 0.0, None, "unknown")),
+        ("null", (None, 0.0, None, "unknown")),
+        (None, (None, 0.0, None, "unknown")),
+        (json.dumps([corners, "long " * 50_000, 1]), ("long " * 50_000, 1.0, boxed, "unknown")),
+    ]
+    raw = spark.createDataFrame([(1, n, c) for n, (c, _) in enumerate(cases)], "package_id bigint, index int, line string")
+    got = {r["index"]: (r.text, r.confidence, r.box, r.source) for r in L.adapt(raw).collect()}
+    assert {n: got[n] for n in got if got[n] != cases[n][1]} == {}
+    # blank ones go, the others keep their index
+    kept = [r["index"] for r in L.prepare(L.adapt(raw)).orderBy("pos").collect()]
+    assert kept == [n for n, (_, want) in enumerate(cases) if want[0]]
+    assert L.adapt(raw.limit(0)).count() == 0
