@@ -302,3 +302,25 @@ def test_lines_of_mixed_form(spark):
     kept = [r["index"] for r in L.prepare(L.adapt(raw)).orderBy("pos").collect()]
     assert kept == [n for n, (_, want) in enumerate(cases) if want[0]]
     assert L.adapt(raw.limit(0)).count() == 0
+
+
+def test_faulty_answers_are_errors_of_their_package(spark):
+    from labelloom.operators.fusion import answer_schema
+    from labelloom.sources.images import answers
+
+    field = {"value": "Tea", "status": "detected", "confidence": 0.9, "evidence_ids": [1], "reason": "read"}
+    good = json.dumps({"fields": {"product_name": field}})
+    told = ["", "no JSON", "[1]", '{"fields": [1]}', "{}", good]
+
+    def answerer(prompt, urls):
+        return None if prompt == "none" else told[int(prompt)]
+
+    prompts = spark.createDataFrame([(n, str(n)) for n in range(len(told))] + [(99, "none")], "package_id int, prompt string")
+    got = {r.package_id: r for r in answers(prompts, answerer).collect()}
+    assert {p: r.payload for p, r in got.items()} == {**dict.fromkeys([0, 1, 2, 3, 4, 99], "{}"), 5: good}
+    assert {p for p, r in got.items() if r.error} == {0, 1, 2, 3, 99} and got[1].error.startswith("JSONDecodeError") and "empty" in got[99].error
+    dense = spark.createDataFrame([(p, 1, "Tea") for p in got], "package_id int, id int, text string")
+    checked = validated(spark.createDataFrame([(p, r.payload) for p, r in got.items()], "package_id int, payload string"), dense)
+    assert {r.package_id for r in checked.where("status = 'detected'").collect()} == {5} and checked.count() == 18 * len(got)
+    schema = answer_schema()["properties"]["fields"]
+    assert len(schema["required"]) == 18 and set(schema["properties"]["mrp"]["required"]) == set(field)
