@@ -28,7 +28,7 @@ def ratio(a: str, b: str) -> float:
 def at_least(a: str, b: str, least: float) -> float:
     """The ratio, or 0 where its bound by length, or by letters in common, is below `least`."""
     total = least * (len(a) + len(b))
-    if not a or not b or 2 * min(len(a), len(b)) < total or 2 * sum(min(a.count(c), b.count(c)) for c in set(a)) < total - 1e-9:
+    if not a or not b or 2 * min(len(a), len(b)) < total - 1e-9 or 2 * sum(min(a.count(c), b.count(c)) for c in set(a)) < total - 1e-9:
         return 0.0
     return ratio(a, b)
 

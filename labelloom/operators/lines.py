@@ -7,17 +7,13 @@ Everything is keyed by package_id, so one hash distribution serves all stages.
 
 from __future__ import annotations
 
-from types import SimpleNamespace
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType
 
 from labelloom.functions import geometry as G
 from labelloom.functions import text as T
-from labelloom.functions.similarity import ratio
-from labelloom.staging import dealt
+from labelloom.operators import folds
+from labelloom.staging import stage
 
 LEAST_CONFIDENCE = 0.15
 GROUP_READINGS = 6
@@ -92,66 +88,37 @@ def prompt_lines(dense: DataFrame) -> DataFrame:
     return dense.groupBy("package_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\n").alias("prompt"))
 
 
-def merge_readings(lines: DataFrame) -> DataFrame:
+def _placed(lines: DataFrame, *order: Column | str) -> DataFrame:
+    """Lines in order as items of a fold; `first` is the number of the first of equal text and place."""
+    centre, size = G.centre(F.col("box")), G.extent(F.col("box"))
+    shape = {"x": centre["x"], "y": centre["y"], "x0": size["left"], "y0": size["top"], "x1": size["right"], "y1": size["bottom"]}
+    package = Window.partitionBy("package_id")
+    told = lines.withColumns({"no": F.row_number().over(package.orderBy(*order)).cast("long"), "letters": T.unicode_alnum(F.col("text"))})
+    told = told.withColumns({k: F.coalesce(c, F.lit(0.0)) for k, c in shape.items()})
+    same = Window.partitionBy("package_id", "letters", *shape)
+    # readings without letters resemble none
+    return stage(told.withColumn("first", F.when(F.col("letters") != "", F.min("no").over(same)).otherwise(F.col("no"))), "placed-lines")
+
+
+def merge_readings(lines: DataFrame, tile: int = folds.TILE) -> DataFrame:
     """Readings of all passes as one list: (package_id, merge_no, text, confidence, adjusted_confidence, box, source).
 
-    Readings go by adjusted confidence, then length. One is dropped if it is
+    Readings go by adjusted confidence, then length, then index. One is dropped if it is
     nearly a kept one's text at nearly its place. The rest gather around the
-    first reading of similar text within 35 pixels, six of them at most. The
-    result depends on that order, so a package is folded in one call.
+    first reading of similar text within 35 pixels, six of them at most.
+    Equal readings are dropped first, the others folded by links of place and text, in tiles, so a package may be of any size.
     """
-
-    centre, size = G.centre(F.col("box")), G.extent(F.col("box"))
-    told = lines.where(T.present(T.clean(F.col("text")))).withColumn("text", T.clean(F.col("text")))
-    shape = told.select(
-        "package_id", "index", "adjusted_confidence", F.length("text").alias("length"), T.unicode_alnum(F.col("text")).alias("letters"),
-        centre["x"].alias("cx"), centre["y"].alias("cy"), size["left"].alias("x0"), size["top"].alias("y0"), size["right"].alias("x1"), size["bottom"].alias("y1"),
-    ).na.fill(0.0)
-    names = shape.columns[1:]
-    packages = shape.groupBy("package_id").agg(F.collect_list(F.struct(*names)).alias("rows"))
-
-    @F.pandas_udf(ArrayType(lines.schema["index"].dataType))
-    def order(rows: pd.Series) -> pd.Series:
-        return pd.Series([_merged([SimpleNamespace(**x) for x in r]) for r in rows])
-
-    merged = dealt(packages, "package_id").select("package_id", F.posexplode(order("rows")).alias("merge_no", "index"))
-    return told.join(merged, ["package_id", "index"]).select("package_id", F.col("merge_no").cast("long").alias("merge_no"), "text", "confidence", "adjusted_confidence", "box", "source")
-
-
-def _alike(a: str, b: str) -> float:
-    """1 for equal readings, from .75 on for containment, else the ratio."""
-    if not a or not b:
-        return 0.0
-    if a in b or b in a:
-        return 0.75 + 0.25 * min(len(a), len(b)) / max(len(a), len(b))
-    return ratio(a, b)
-
-
-def _apart(a: SimpleNamespace, b: SimpleNamespace) -> float:
-    return ((a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2) ** 0.5
-
-
-def _overlap(a: SimpleNamespace, b: SimpleNamespace) -> float:
-    common = max(0.0, min(a.x1, b.x1) - max(a.x0, b.x0)) * max(0.0, min(a.y1, b.y1) - max(a.y0, b.y0))
-    union = (a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) - common
-    return common / union if union > 0 else 0.0
-
-
-def _merged(rows: list[SimpleNamespace]) -> list[int]:
-    """Indices of the readings kept, group by group."""
-    kept: list[SimpleNamespace] = []
-    for r in sorted(rows, key=lambda r: (-r.adjusted_confidence, -r.length, r.index)):
-        # place first, as it is cheap
-        if not any((_apart(r, k) <= 15 or _overlap(r, k) >= 0.35) and _alike(r.letters, k.letters) >= 0.90 for k in kept):
-            kept.append(r)
-    groups: list[list[SimpleNamespace]] = []
-    for r in kept:
-        home = next((g for g in groups if _apart(r, g[0]) <= 35 and _alike(r.letters, g[0].letters) >= 0.72), None)
-        if home is None:
-            groups.append([r])
-        elif len(home) < GROUP_READINGS:
-            home.append(r)
-    return [r.index for g in groups for r in sorted(g, key=lambda r: (-r.adjusted_confidence, -r.length))]
+    text = T.clean(F.col("text"))
+    told = lines.where(text != "").withColumn("text", text)
+    told = _placed(told, F.desc("adjusted_confidence"), F.desc(F.length("text")), "index").where("no = first")
+    near = folds.within(told, 15.0).unionByName(folds.overlapping(told, 0.35)).distinct()
+    dropped = folds.joining(stage(folds.alike(near, told, 0.90), "links"), tile)
+    kept = stage(told.join(dropped, ["package_id", "no"], "left_anti"), "kept-readings")
+    grouped = folds.homes(kept, folds.alike(folds.within(kept, 35.0), kept, 0.72), tile)
+    group = Window.partitionBy("package_id", "home").orderBy("no")
+    full = grouped.withColumn("_at", F.row_number().over(group)).where(F.col("_at") <= GROUP_READINGS)
+    number = F.row_number().over(Window.partitionBy("package_id").orderBy("home", "no")) - 1
+    return full.select("package_id", number.cast("long").alias("merge_no"), "text", "confidence", "adjusted_confidence", "box", "source")
 
 
 def reading_order(lines: DataFrame) -> DataFrame:
@@ -219,28 +186,13 @@ def duplicate_reading(a: Column, b: Column, similarity: Column) -> Column:
     return (similarity >= 0.72) & close
 
 
-def reading_clusters(lines: DataFrame, least: float = 0.55, reach: float = 60.0) -> DataFrame:
-    """(package_id, index, cluster): first fit in order by text similarity and distance, to look at readings."""
-
-    c = G.centre(F.col("box"))
-    slim = lines.select("package_id", F.struct(F.col("index").cast("long").alias("index"), T.unicode_alnum(F.col("text")).alias("letters"), c["x"].alias("cx"), c["y"].alias("cy")).alias("r"))
-    packages = slim.groupBy("package_id").agg(F.array_sort(F.collect_list("r")).alias("rows"))
-
-    @F.pandas_udf("array<long>")
-    def clusters(rows: pd.Series) -> pd.Series:
-        return pd.Series([_first_fit([SimpleNamespace(**x) for x in r], least, reach) for r in rows])
+def reading_clusters(lines: DataFrame, least: float = 0.55, reach: float = 60.0, tile: int = folds.TILE) -> DataFrame:
+    """(package_id, index, cluster): first fit in order by text similarity and distance, to look at readings.
 
-    told = dealt(packages, "package_id").withColumn("cluster", clusters("rows"))
-    return told.select("package_id", F.inline(F.arrays_zip("rows", "cluster"))).select("package_id", "rows.index", "cluster")
-
-
-def _first_fit(rows: list[SimpleNamespace], least: float, reach: float) -> list[int]:
-    first: list[SimpleNamespace] = []
-    numbers = []
-    for r in rows:
-        at = next((n for n, g in enumerate(first) if _apart(r, g) <= reach and _alike(r.letters, g.letters) >= least), None)
-        if at is None:
-            first.append(r)
-            at = len(first) - 1
-        numbers.append(at)
-    return numbers
+    Equal readings go with their first one; the others are folded by links, in tiles, so a package may be of any size.
+    """
+    told = _placed(lines.withColumn("index", F.col("index").cast("long")), "index")
+    different = told.where("no = first").select("package_id", "no", "letters", "x", "y")
+    found = folds.homes(different, folds.alike(folds.within(different, reach), different, least), tile).select("package_id", F.col("no").alias("first"), "home")
+    number = F.dense_rank().over(Window.partitionBy("package_id").orderBy("home")) - 1
+    return told.select("package_id", "index", "first").join(found, ["package_id", "first"]).select("package_id", "index", number.cast("long").alias("cluster"))

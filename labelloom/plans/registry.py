@@ -342,6 +342,25 @@ def reading_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.reading_clusters(_two_passes(spark, sf_dir))
 
 
+@query(
+    f"""WITH {D.LABEL_LINES}, k AS (SELECT unnest(range(8)) AS k)
+SELECT package_id, l."index" * 8 + k AS reading, text || CASE k WHEN 0 THEN '' ELSE repeat(chr(CAST(96 + k AS INT)), length(text)) END AS text, x0 + k AS "left", k AS member
+FROM label_lines l, k WHERE k < 6"""
+)
+def alternative_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight passes that read more and more into every line, and each of them twice: six of a line stay, the seventh and eighth go, copies too."""
+    t = D.label_lines(spark, sf_dir).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    more = F.when(F.col("k") == 0, "").otherwise(F.repeat(F.char(F.lit(96) + F.col("k")), F.length("text")))
+    passes = t.select(
+        "package_id", (F.col("index") * 8 + F.col("k")).cast("long").alias("index"), F.concat("text", more).alias("text"), (F.col("confidence") * 0.9 * (1 - F.col("k") / 16)).alias("confidence"),
+        F.transform("box", lambda p: F.array(p[0] + F.col("k"), p[1])).alias("box"), F.lit("enhanced").alias("source"), "k",
+    )
+    again = passes.withColumns({"index": F.col("index") + 100_000, "confidence": F.col("confidence") * 0.99})
+    told = lines.merge_readings(lines.useful_readings(passes.drop("k").unionByName(again.drop("k"))))
+    kept = told.select("package_id", "text", F.col("box")[0][0].alias("left")).join(passes.select("package_id", "text", F.col("index").alias("reading"), F.col("k").cast("long").alias("member")), ["package_id", "text"])
+    return kept.select("package_id", "reading", "text", "left", "member")
+
+
 # ---- parsers -------------------------------------------------------------------------------------------------------
 
 

@@ -18,6 +18,7 @@ HELD = [
     "clean_text", "normal_forms", "adjusted_confidence", "box_pairs", "reading_order", "nearby_lines", "prices", "quantities", "printed_dates", "line_kinds",
     "fused_scores", "best_values", "fused_fields", "fused_declarations", "rule_findings", "compliance_summary", "history_kpis", "history_search", "signatures",
     "nearby_fields", "nearby_candidates", "merged_readings", "saved_summaries", "inspection_numbers", "inspection_delete", "package_analysis", "analyses_reused", "adapted_lines",
+    "reading_clusters", "alternative_readings",
 ]
 
 
