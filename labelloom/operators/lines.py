@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from labelloom.functions import geometry as G
 from labelloom.functions import text as T
 from labelloom.operators import folds
-from labelloom.staging import stage
+from labelloom.staging import dealt, stage
 
 LEAST_CONFIDENCE = 0.15
 GROUP_READINGS = 6
@@ -93,7 +93,7 @@ def _placed(lines: DataFrame, *order: Column | str) -> DataFrame:
     centre, size = G.centre(F.col("box")), G.extent(F.col("box"))
     shape = {"x": centre["x"], "y": centre["y"], "x0": size["left"], "y0": size["top"], "x1": size["right"], "y1": size["bottom"]}
     package = Window.partitionBy("package_id")
-    told = lines.withColumns({"no": F.row_number().over(package.orderBy(*order)).cast("long"), "letters": T.unicode_alnum(F.col("text"))})
+    told = dealt(lines, "package_id").withColumns({"no": F.row_number().over(package.orderBy(*order)).cast("long"), "letters": T.unicode_alnum(F.col("text"))})
     told = told.withColumns({k: F.coalesce(c, F.lit(0.0)) for k, c in shape.items()})
     same = Window.partitionBy("package_id", "letters", *shape)
     # readings without letters resemble none
