@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from labelloom.llm import importance, language_id, quality_rules, queries, toxicity
-from labelloom.llm.common import held_out
+from labelloom.llm.common import held_out, labelled_sample
 from labelloom.shipping import ship_package
 
 DATA = "/root/testdata/sf0.01"
@@ -282,6 +282,63 @@ def test_quality_verdicts_by_brute_force(spark):
     assert (kept == rest.kept).all() and not got[got.base_failed].kept.any()
 
 
+def test_forest_grows_over_all_rows(spark):
+    """Trees grown by hand over every row, more of them than samples of 256 hold; paths walked down the tree."""
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    got = quality_rules.judge_quality(docs, labels, trees=3, height=5).toPandas()
+    rest = got[~got.base_failed]
+    assert len(rest) > 3 * 256
+    x = rest[list(quality_rules.RATES)].to_numpy(float)
+    paths = np.zeros((3, len(x)))
+
+    def grow(tree, node, part, depth):
+        low, high = x[part].min(axis=0), x[part].max(axis=0)
+        spread = np.flatnonzero(high > low)
+        if depth == 5 or not len(spread):
+            paths[tree, part] = depth + quality_rules.expected_path(len(part))
+            return
+        rng = np.random.default_rng((8, tree, node))
+        f = int(rng.choice(spread))
+        c = rng.uniform(low[f], high[f])
+        grow(tree, 2 * node + 1, part[x[part, f] <= c], depth + 1)
+        grow(tree, 2 * node + 2, part[x[part, f] > c], depth + 1)
+
+    for tree in range(3):
+        grow(tree, 0, np.arange(len(x)), 0)
+    assert np.allclose(2.0 ** (-paths.mean(axis=0) / quality_rules.expected_path(len(x))), rest.anomaly)
+    again = quality_rules.judge_quality(docs.repartition(7), labels, trees=3, height=5).toPandas()
+    assert again.sort_values("doc_id")[["doc_id", "anomaly", "kept"]].values.tolist() == got.sort_values("doc_id")[["doc_id", "anomaly", "kept"]].values.tolist()
+
+
+def test_threshold_is_of_all_labelled_rows(spark):
+    """Of 40,000 labels those past the 20,000 of smallest hash are the only ones that have documents."""
+    labels = spark.range(40_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    inside = {r.doc_id for r in labelled_sample(labels, "quality", 20_000).collect()}
+    ids = [n for n in range(40_000) if n not in inside][:60]
+    bad = set(ids[::10])
+    labels = labels.withColumn("quality", F.when(F.col("doc_id").isin(list(bad)), 0).otherwise(1))
+    clean = " ".join(f"word{k}" for k in range(60))
+    docs = spark.createDataFrame([(n, clean + " #" * 9 * (n in bad) + " $%" * n * (n in bad)) for n in ids], "doc_id bigint, text string")
+    got = quality_rules.judge_quality(docs, labels, trees=20).toPandas()
+    got = got[~got.base_failed]
+    assert bad & set(got.doc_id) and set(got[~got.kept].doc_id) == bad & set(got.doc_id)
+
+
+@pytest.mark.parametrize("bins", [1, 7, 1 << 16])
+def test_threshold_over_a_table(spark, bins):
+    rng = np.random.default_rng(bins)
+    bad = rng.random(3000) < 0.1
+    score = np.round(np.where(bad, rng.normal(0.7, 0.1, 3000), rng.normal(0.4, 0.1, 3000)).clip(0, 1), 3)
+    kinds = [("both", np.ones(3000, bool)), ("good", ~bad), ("bad", bad), ("none", np.zeros(3000, bool))]
+    for name, held in kinds:
+        rows = [(float(s), int(not b), int(b)) for s, b in zip(score[held], bad[held], strict=True)]
+        got = quality_rules.calibrated_over(spark.createDataFrame(rows, "anomaly double, good long, bad long"), 10.0, bins)
+        want = quality_rules.calibrated(score[held], bad[held], 10.0)
+        assert got == want and (got is None) == (name != "both"), name
+    turned = spark.createDataFrame([(0.9, 5, 0), (0.1, 0, 5)], "anomaly double, good long, bad long")
+    assert quality_rules.calibrated_over(turned, 10.0, bins) is None
+
+
 def test_quality_edges(spark):
     labels = spark.createDataFrame([(1, 1, 0), (3, 0, 0), (None, 1, 0), (4, None, 0)], LABEL)
     assert quality_rules.judge_quality(odd(spark), labels).where("kept").count() == 0
