@@ -39,6 +39,8 @@ from labelloom.llm.common import WORD, stage, with_broadcast_if_small
 ROUNDS = 24
 #: Beyond so many sources their table is joined by a shuffle.
 BROADCAST_SOURCES = 50_000
+#: Up to so many ids and hashes of repeated rows are broadcast.
+BROADCAST_REPEATED = 500_000
 
 
 def word_count(text: Column) -> Column:
@@ -247,13 +249,31 @@ def mix_sources(
     return mixed.select(*names), pieces.withColumnRenamed("doc_id", id_col)
 
 
+def _one_of_each(texts: DataFrame) -> DataFrame:
+    """One row of each id and row_hash.
+
+    Which are repeated is found without the rows themselves, and those alone are
+    shuffled; beyond BROADCAST_REPEATED of them all rows are.
+    """
+    keys = ["id", "row_hash"]
+    again = stage(texts.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys), "mix-repeated")
+    count = again.count()
+    if not count:
+        return texts
+    if count > BROADCAST_REPEATED:
+        return texts.dropDuplicates(keys)
+    t, a = texts.alias("t"), F.broadcast(again).alias("a")
+    same = F.col("t.id").eqNullSafe(F.col("a.id")) & (F.col("t.row_hash") == F.col("a.row_hash"))
+    return t.join(a, same, "left_anti").unionByName(t.join(a, same, "left_semi").dropDuplicates(keys))
+
+
 def mixed_documents(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """The mix as documents, with the columns of `docs`: one row a document and pass.
 
     A document that a pass takes whole stays as it is; of others the words taken
     remain, with a space between. The number of characters, if there is such a
     column, follows the text. Rows that share an id keep their own columns; only
-    rows equal in all of them stand for each other.
+    rows equal in all of them stand for each other. Texts are shuffled once.
     """
     parts = pieces.select(F.col(id_col).alias("id"), "row_hash", "source_no", "start", "pass", "from_word", "to_word")
     parts = parts.groupBy("id", "row_hash", "source_no", "start", "pass").agg(
@@ -263,7 +283,7 @@ def mixed_documents(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id",
     p = parts.alias("p")
     # the row is kept as one struct, so its columns may have any names
     texts = docs.select(F.col(id_col).alias("id"), row_hash(docs).alias("row_hash"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    t = texts.dropDuplicates(["id", "row_hash"]).alias("t")
+    t = _one_of_each(texts).alias("t")
     joined = t.join(p, F.col("t.id").eqNullSafe(F.col("p.id")) & (F.col("t.row_hash") == F.col("p.row_hash"))).select("row", "taken", "spans")
     text = F.col("row")[text_col]
     cut = joined.where(F.col("taken") < word_count(text)).withColumn("words", F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)))

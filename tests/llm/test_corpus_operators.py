@@ -107,6 +107,26 @@ def test_mixed_rows_keep_their_own_columns(spark):
     assert sorted(map(str, again)) == sorted(map(str, told))
 
 
+def test_mixed_texts_are_shuffled_once(spark, monkeypatch):
+    """Rows without repetition go through one shuffle, that of the join; repeated ones are told apart in either way alike."""
+    docs = documents(spark, *(f"a b c {n}" for n in range(50)))
+    pieces = mixing.mix_sources(docs)[1]
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = spark._jvm.PythonSQLUtils.explainString(mixing.mixed_documents(docs, pieces)._jdf.queryExecution(), "formatted")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+    carried = [node for node in plan.split("\n\n") if re.match(r"\s*\(\d+\) Exchange", node) and re.search(r"\brow#", node)]
+    assert len(carried) == 1 and "first(row" not in plan
+    twice = docs.unionByName(docs.where("doc_id < 5")).unionByName(docs.where("doc_id < 2").withColumn("doc_id", F.lit(None).cast("long")))
+    pieces = mixing.mix_sources(twice.unionByName(twice.where("doc_id is null")))[1]
+    twice = twice.unionByName(twice.where("doc_id is null"))
+    got = sorted(map(str, mixing.mixed_documents(twice, pieces).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_REPEATED", 0)
+    assert got == sorted(map(str, mixing.mixed_documents(twice, pieces).collect()))
+
+
 def test_mix_edges(spark):
     assert mixing.mix_sources(odd(spark))[0].count() == 6
     assert mixing.mix_sources(odd(spark).limit(0))[0].count() == 0
