@@ -23,12 +23,14 @@ from labelloom.shipping import ship_package
 #: Rows up to which ids of rejected documents are broadcast.
 BROADCAST_ROWS = 500_000
 #: Rows of an Arrow batch: texts are long, and a worker holds a batch and what it makes of it.
-ARROW_ROWS = 2_000
+ARROW_ROWS = 250
 
 
 def _ready(spark: SparkSession) -> None:
     ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    # its reader threads each keep buffers as large as their reads, outside the heap
+    spark.conf.set("parquet.hadoop.vectored.io.enabled", "false")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,6 +66,7 @@ def _matching(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without contamination by the benchmark; those without words are clean."""
+    _ready(spark)
     marked = mark_contaminated(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     gone = stage(marked.where("contaminated").select("doc_id", "text_hash").distinct(), "contaminated")
     return _matching(docs, gone, "left_anti")
@@ -71,6 +74,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The words that the mix takes of each document, a row for each pass; texts without words give none."""
+    _ready(spark)
     _, pieces = mix_sources(docs)
     return mixed_documents(docs, pieces)
 

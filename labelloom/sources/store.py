@@ -7,6 +7,7 @@ on disk tell, deleted ones included.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,12 +39,13 @@ def with_numbers(records: DataFrame, above: int, *order: str) -> DataFrame:
     # a place is the range's number in the upper bits and the record's, from 0, in the lower 33
     within = F.col("_place").bitwiseAND((1 << 33) - 1)
     placed = stage(placed.drop("_tie").withColumn("_range", F.shiftright("_place", 33)).withColumn("_place", within), "numbered")
-    starts, start = [], above
+    parts, starts, start = [], [], above
     for part, n in sorted(placed.groupBy("_range").agg(F.max("_place") + 1).collect()):
-        starts.append((part, start + 1))
+        parts.append(part)
+        starts.append(start + 1)
         start += n
-    # one row a range, as many as tasks
-    first = F.broadcast(spark.createDataFrame(starts, "_range bigint, _first bigint"))
+    # one row a range, as many as tasks; from Arrow, as a list of rows would take Python workers of its own on every executor
+    first = F.broadcast(spark.createDataFrame(pa.table({"_range": pa.array(parts, pa.int64()), "_first": pa.array(starts, pa.int64())})))
     numbered = placed.join(first, "_range").withColumn("id", F.col("_first") + F.col("_place"))
     numbered = numbered.select(*(F.lit(None).alias(c) if c in void else F.col(c) for c in records.columns), "id")
     return numbered.withColumn("inspection_id", inspection_id(F.col("id")))

@@ -595,6 +595,16 @@ def test_quality_stage_keeps_what_the_operator_keeps(spark):
     assert {r.doc_id for r in corpus_pipeline.quality(spark, docs, DATA).collect()} == want
 
 
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
+def test_pipeline_stages_bound_what_executors_hold(spark, name):
+    for key in ("spark.sql.execution.arrow.maxRecordsPerBatch", "parquet.hadoop.vectored.io.enabled"):
+        spark.conf.unset(key)
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(5)
+    dict(corpus_pipeline.STAGES)[name](spark, docs, DATA)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 500
+    assert spark.conf.get("parquet.hadoop.vectored.io.enabled") == "false"
+
+
 def test_pipeline_stage_by_stage(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     steps = dict(corpus_pipeline.STAGES)

@@ -124,6 +124,12 @@ def test_all_orders_are_numbered_in_many_tasks(spark):
     assert with_numbers(orders.limit(0), 3, "o_orderkey").count() == 0
 
 
+def test_numbering_takes_no_python_workers(spark):
+    got = with_numbers(spark.range(0, 5000, 1, 5).select(F.lit("x").alias("decision")), 0, "decision")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "LocalTableScan" in plan and "ExistingRDD" not in plan  # a list of rows comes as an RDD that Python workers unpickle
+
+
 def test_images(spark, tmp_path):
     for package, content in (("a", b"one"), ("b", b"two")):
         (tmp_path / package).mkdir()
