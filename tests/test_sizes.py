@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import random
 import re
+from difflib import SequenceMatcher
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from labelloom import staging
+from labelloom.operators import folds
 
 DATA = "/root/testdata/sf0.001"
 
@@ -25,3 +29,39 @@ def test_no_table_of_packages_is_broadcast(spark, monkeypatch, name):
     keys += _broadcast_keys(entry.queries()[name](spark, DATA))
     # what is left is joined with fixed tables: labels by their lengths
     assert [k for k in keys if not k.startswith("chars#")] == []
+
+
+def test_letters_decide_before_texts_are_matched(spark, monkeypatch):
+    """Longer and longer readings share half of their letters at most: none of their pairs need sequence matching."""
+    found = []
+    stage = staging.stage
+
+    def counted(df, name):
+        told = stage(df, name)
+        if name == "near-pairs":
+            found.append((told.where("near").count(), told.where("near is null").count()))
+        return told
+
+    monkeypatch.setattr(staging, "stage", counted)
+    n = entry.queries()["alternative_readings"](spark, DATA).count()
+    # six readings a line stay; seven others contain the first one
+    assert found == [(0, 0), (7 * n // 6, 0)]
+
+
+def test_no_pair_that_resembles_is_ruled_out_by_its_letters(spark):
+    pick = random.Random(5)
+    texts = ["".join(pick.choice(letters) for _ in range(pick.randint(1, 40))) for letters in ("abn", "abcxyz019", "éaz¹n") for _ in range(40)]
+    texts += ["", "n" * 255, "n" * 256, "a" * 300, "an" * 150, "a" * 300 + "b", "\U0001f600a" * 20]
+    items = spark.createDataFrame([(1, no, t, 0.0, 0.0) for no, t in enumerate(texts)], "package_id long, no long, letters string, x double, y double")
+    for least in (0.55, 0.72, 0.90):
+        got = folds.within(items.withColumns(folds.profile(F.col("letters"))), 1.0, least)
+        got = {(r["no"], r["earlier"]) for r in folds.resembling(got, least).collect()}
+        want = set()
+        for i, a in enumerate(texts):
+            for j, b in enumerate(texts[:i]):
+                if a and b:
+                    short, long_ = sorted((len(a), len(b)))
+                    alike = 0.75 + 0.25 * short / long_ if a in b or b in a else SequenceMatcher(None, a, b).ratio()
+                    if alike >= least:
+                        want.add((i, j))
+        assert got == want
