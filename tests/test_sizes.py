@@ -6,12 +6,15 @@ import random
 import re
 from difflib import SequenceMatcher
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from labelloom import staging
-from labelloom.operators import folds
+from labelloom.operators import fields, folds
+from labelloom.operators.lines import prepare
+from labelloom.plans import fixtures
 
 DATA = "/root/testdata/sf0.001"
 
@@ -65,3 +68,22 @@ def test_no_pair_that_resembles_is_ruled_out_by_its_letters(spark):
                     if alike >= least:
                         want.add((i, j))
         assert got == want
+
+
+@pytest.mark.parametrize("name", ["nearby_candidates"])
+def test_keys_of_six_digits_against_sql(spark, tmp_path, name):
+    """Keys that read as a PIN: extraction finds an address there, and the queries on labelled values equal their SQL."""
+    con = duckdb.connect()
+    for t, keys in {"part": ["p_partkey"], "lineitem": ["l_partkey"], "supplier": []}.items():
+        shifted = ", ".join(f"{k} + 100000 AS {k}" for k in keys)
+        told = f"* REPLACE ({shifted})" if keys else "*"
+        con.execute(f"COPY (SELECT {told} FROM read_parquet('{DATA}/{t}.parquet')) TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet')")
+    found = con.execute(entry.oracle_sql()[name])
+    names = [d[0] for d in found.description]
+    want = sorted(found.fetchall())
+    assert sorted(tuple(r[c] for c in names) for r in entry.queries()[name](spark, str(tmp_path)).collect()) == want
+    if name == "nearby_candidates":
+        lines = fields.Lines.of(prepare(fixtures.close_lines(spark, str(tmp_path)).where("package_id % 8 = 5")))
+        addresses = fields.address_candidates(lines)
+        assert addresses.count() == addresses.where(r"value rlike 'Sugar and Salt \\d{6}'").count() > 0
