@@ -70,7 +70,7 @@ def test_no_pair_that_resembles_is_ruled_out_by_its_letters(spark):
         assert got == want
 
 
-@pytest.mark.parametrize("name", ["nearby_candidates"])
+@pytest.mark.parametrize("name", ["nearby_candidates", "nearby_fields"])
 def test_keys_of_six_digits_against_sql(spark, tmp_path, name):
     """Keys that read as a PIN: extraction finds an address there, and the queries on labelled values equal their SQL."""
     con = duckdb.connect()
