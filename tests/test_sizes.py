@@ -24,7 +24,7 @@ def _broadcast_keys(df) -> list[str]:
     return re.findall(r"Broadcast\w*Join \[([^\]]*)\]", df._jdf.queryExecution().sparkPlan().toString())
 
 
-@pytest.mark.parametrize("name", ["extracted_fields", "package_analysis", "value_clusters"])
+@pytest.mark.parametrize("name", ["extracted_fields", "package_analysis", "package_declarations", "value_clusters"])
 def test_no_table_of_packages_is_broadcast(spark, monkeypatch, name):
     keys = []
     stage = staging.stage
